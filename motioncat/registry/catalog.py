@@ -46,11 +46,11 @@ selector_query("selector_empty_list", Selector(devices=["Backyard"], filenames=[
 
 
 @query("filter_filenames", with_ctes("clipd", SQL_KEPT + """ WHERE filename IN (
-  SELECT filename FROM (SELECT filename, count(*) AS n FROM clips GROUP BY filename) WHERE n > 1)"""))
+  SELECT filename FROM clips GROUP BY filename HAVING sum(file_size) > 60)"""))
 def filter_filenames(spark, sf):
     """A long list of names is a table and a semi join."""
     clips = clipd(spark, sf)
-    names = fx.clips(spark, sf).groupBy("filename").count().filter("count > 1")
+    names = fx.clips(spark, sf).groupBy("filename").agg(F.sum("file_size").alias("mb")).filter("mb > 60")
     return clips.join(names, "filename", "left_semi").select(*KEPT)
 
 
