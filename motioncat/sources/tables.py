@@ -1,10 +1,34 @@
-"""Placeholder until the sources are written."""
+"""Small dimension files: devices and the occupancy calendar."""
+
+from __future__ import annotations
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_devices(spark: SparkSession, path: str) -> DataFrame:
+    """Device CSV in file order (``ord``); an empty or unreadable date is open.
+
+    The file is a small dimension, kept whole in one part file so that its order is known.
+    """
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    day = lambda c: (
+        F.when(F.trim(c).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.trim(c)).try_cast("date") if c in raw.columns else F.lit(None).cast("date")
+    )
+    numbered = raw.withColumn("ord", F.monotonically_increasing_id() + 1)
+    return numbered.select(
+        "ord", F.col("Serial").alias("serial"), F.col("Device").alias("device"), day("start_date").alias("start_date"), day("end_date").alias("end_date")
+    )
+
+
+def write_devices(devices: DataFrame, path: str) -> None:
+    out = devices.orderBy("ord").select(F.col("serial").alias("Serial"), F.col("device").alias("Device"), "start_date", "end_date")
+    out.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_occupancy_csv(days: DataFrame, path: str) -> None:
     """``date,occupancy_status`` sorted by date."""
-    out = days.select("date", days["status"].alias("occupancy_status"))
+    out = days.select("date", F.col("status").alias("occupancy_status"))
     out.orderBy("date").write.mode("overwrite").option("header", True).csv(path)
 
 
