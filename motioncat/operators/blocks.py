@@ -162,7 +162,10 @@ def least_neighbour(accept: Callable[[np.ndarray], np.ndarray], later_only: bool
 
 
 def spanning_forest(accept: Callable[[np.ndarray], np.ndarray]) -> Reducer:
-    """Edges of a spanning forest of the neighbour graph of two blocks: fewer than their rows."""
+    """Each connected part of the neighbour graph of two blocks as a star on its least id.
+
+    The stars connect the same rows as all the pairs, with fewer edges than rows.
+    """
 
     def reducer(left, right, sims, valid):
         hit = valid & accept(sims)
@@ -171,25 +174,29 @@ def spanning_forest(accept: Callable[[np.ndarray], np.ndarray]) -> Reducer:
         if left is right:
             hit = hit | hit.T
         ids = (left["id"].to_numpy(), right["id"].to_numpy())
-        fresh = (np.ones(len(left), bool), np.ones(len(right), bool) if left is not right else None)
-        fresh = (fresh[0], fresh[0] if fresh[1] is None else fresh[1])
-        tails, heads = [], []
+        fresh_left = np.ones(len(left), bool)
+        fresh = (fresh_left, fresh_left if left is right else np.ones(len(right), bool))
+        roots, nodes = [], []
         for start in np.flatnonzero(hit.any(axis=1)):
-            if not fresh[0][start]:
+            if not fresh_left[start]:
                 continue
-            fresh[0][start] = False
-            stack = [(0, start)]
+            fresh_left[start] = False
+            part, stack = [ids[0][start : start + 1]], [(0, start)]
             while stack:
                 side, x = stack.pop()
-                row = hit[x] if side == 0 else hit[:, x]
-                found = np.flatnonzero(row & fresh[1 - side])
-                fresh[1 - side][found] = False
-                tails.append(np.full(len(found), ids[side][x]))
-                heads.append(ids[1 - side][found])
-                stack.extend((1 - side, y) for y in found)
-        if not tails:
+                found = np.flatnonzero((hit[x] if side == 0 else hit[:, x]) & fresh[1 - side])
+                if len(found):
+                    fresh[1 - side][found] = False
+                    part.append(ids[1 - side][found])
+                    stack.extend((1 - side, y) for y in found)
+            members = np.concatenate(part)
+            least = members.min()
+            others = members[members != least]
+            roots.append(np.full(len(others), least))
+            nodes.append(others)
+        if not roots:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        return pd.DataFrame({"a": np.concatenate(tails), "b": np.concatenate(heads)})
+        return pd.DataFrame({"a": np.concatenate(roots), "b": np.concatenate(nodes)})
 
     return reducer
 

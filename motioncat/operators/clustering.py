@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -257,17 +260,22 @@ def run_parameter_set(people: DataFrame, spec: tuple) -> DataFrame:
 
 def tuning_summary(people: DataFrame, specs: list[tuple] | None = None) -> DataFrame:
     """One row per parameter set: number, sizes and qualities of its clusters."""
-    out = None
-    for spec in specs or PARAMETER_SETS:
+    specs = specs or PARAMETER_SETS
+
+    def summarize(spec: tuple) -> DataFrame:
         found = run_parameter_set(people, spec)
+        number = lambda f, c: F.coalesce(f(c), F.lit(0.0))
         row = found.agg(
-            F.count("*").alias("num_clusters"), F.coalesce(F.avg("cluster_size"), F.lit(0.0)).alias("avg_cluster_size"),
-            F.coalesce(F.avg("quality_score"), F.lit(0.0)).alias("avg_quality"), F.coalesce(F.min("quality_score"), F.lit(0.0)).alias("min_quality"),
-            F.coalesce(F.max("quality_score"), F.lit(0.0)).alias("max_quality"), F.coalesce(F.max("cluster_size"), F.lit(0)).alias("largest_cluster"),
+            F.count("*").alias("num_clusters"), number(F.avg, "cluster_size").alias("avg_cluster_size"),
+            number(F.avg, "quality_score").alias("avg_quality"), number(F.min, "quality_score").alias("min_quality"),
+            number(F.max, "quality_score").alias("max_quality"), F.coalesce(F.max("cluster_size"), F.lit(0)).alias("largest_cluster"),
             F.coalesce(F.min("cluster_size"), F.lit(0)).alias("smallest_cluster"),
-        ).select(F.lit(spec[0]).alias("name"), "*")
-        out = row if out is None else out.unionByName(row)
-    return materialize(out, "tuning")
+        )
+        return materialize(row.select(F.lit(spec[0]).alias("name"), "*"), "tuning")
+
+    # the sets are independent jobs; a few at a time keep all executors busy
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return reduce(DataFrame.unionByName, pool.map(summarize, specs))
 
 
 def best_runs(summary: DataFrame) -> DataFrame:

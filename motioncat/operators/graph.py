@@ -22,19 +22,25 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("u") != F.col("v")).distinct()
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Number and hash sum of the edges; equal when a round changed nothing."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for nodes with an edge; the component is its smallest id.
 
     ``edges`` has (a, b). Alternating star steps reach one star per component in a number
     of rounds that grows with the logarithm of the diameter.
     """
-    state = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "edges")
-    mark = None
+    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    state = materialize(ends.filter("u <> v").distinct(), "edges")
+    before = _fingerprint(state)
     while True:
         state = materialize(_star(_star(state, large=True), large=False), "edges")
-        now = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == (now.n, now.h):
+        now = _fingerprint(state)
+        if now == before:
             break
-        mark = (now.n, now.h)
+        before = now
     roots = state.select(F.col("v").alias("id"), F.col("v").alias("component"))
     return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots).distinct()
