@@ -121,8 +121,8 @@ def default_fps(clips: DataFrame, keys: list[str]) -> DataFrame:
     """Frame rate for a rendered story: robust mean rounded half to even, at least 1; 15 with no rate."""
     mean = robust_mean(clips.filter(F.col("fps") > 0), keys, "fps")
     groups = clips.select(*keys).distinct()
-    rate = F.greatest(F.lit(1), F.bround("robust_mean").cast("int"))
-    return groups.join(mean, keys, "left").select(*keys, F.coalesce(rate, F.lit(15)).alias("default_fps"))
+    rate = F.when(F.col("robust_mean").isNull(), 15).otherwise(F.greatest(F.lit(1), F.bround("robust_mean").cast("int")))
+    return groups.join(mean, keys, "left").select(*keys, rate.alias("default_fps"))
 
 
 def default_width(clips: DataFrame, keys: list[str], roi: tuple[float, float, float, float] | None = None) -> DataFrame:

@@ -266,13 +266,15 @@ def _against_profiles(rows: DataFrame, profiles: DataFrame, person: str, reduce,
         "_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
     )
     right = wanted.withColumn("_chunk", F.pmod(F.xxhash64("person"), F.lit(chunks)).cast("int")).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("bigint")
+        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))
     )
 
+    empty = [field.split()[0] for field in schema.split(", ")]
+
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("person")
         if a.empty or b.empty:
-            return reduce(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(1), np.zeros(1, object)).iloc[:0]
+            return pd.DataFrame({name: pd.Series(dtype=object) for name in empty})
         sims = _scores(blocks.matrix(a["embedding"]), blocks.matrix(b["profile"]))
         return reduce(a["ord"].to_numpy(), sims, b["threshold"].to_numpy(), b["person"].to_numpy())
 

@@ -10,6 +10,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motioncat.session import materialize
+
 # ---- fixed values ----
 OCCUPIED, NOT_OCCUPIED, UNKNOWN = "OCCUPIED", "NOT_OCCUPIED", "UNKNOWN"
 RULE_DEVICE, RULE_THRESHOLD = "Backyard", 15.5
@@ -83,7 +85,7 @@ def train_occupancy(training: DataFrame, features: list[str], method: str = "sim
     Rows are days, so even decades make a small table; folds are taken from the date so
     that a repeated run scores the same split.
     """
-    data = training.select("date", *features, F.col("label").cast("double").alias("label"))
+    data = materialize(training.select("date", *features, F.col("label").cast("double").alias("label")), "training-days")
     score = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
     day = F.datediff("date", F.lit("1970-01-01"))
     max_depth = 3
