@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motioncat.session import materialize
+from motioncat.session import materialize, small_side
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 1024
@@ -36,13 +36,16 @@ def unit_rows(m: np.ndarray, epsilon: float = 0.0) -> np.ndarray:
 def distinct_vectors(people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors (``id`` = first ord, ``copies``) and the (``ord``, ``id``) membership.
 
-    Copies of one vector share all neighbours, so the heavy work sees them once.
+    Copies of one vector share all neighbours, so the heavy work sees them once. They are
+    found by two independent 64-bit hashes, so that the vectors themselves move only once.
     """
-    reps = materialize(
-        people.groupBy("embedding").agg(F.min("ord").alias("id"), F.count("*").alias("copies")), "vectors"
-    )
-    members = people.select("ord", "embedding").join(reps.select("embedding", "id"), "embedding").select("ord", "id")
-    return reps, members
+    key = ["_h1", "_h2"]
+    keyed = people.select("ord", F.xxhash64("embedding").alias("_h1"), F.xxhash64(F.reverse("embedding"), F.size("embedding")).alias("_h2"))
+    groups = keyed.groupBy(*key).agg(F.min("ord").alias("id"), F.count("*").alias("copies"))
+    members = materialize(keyed.join(groups, key).select("ord", "id", "copies"), "members")
+    first = members.filter("ord = id").select("id", "copies")
+    reps = materialize(first.join(people.select(F.col("ord").alias("id"), "embedding"), "id"), "vectors")
+    return reps, members.select("ord", "id")
 
 
 def _choose_pivots(reps: DataFrame, rows: int) -> np.ndarray:
@@ -81,7 +84,7 @@ def in_cells(reps: DataFrame, min_cosine: float, epsilon: float = 0.0) -> DataFr
             yield out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reps.schema.fields)
-    return reps.mapInPandas(assign, f"cell int, home boolean, {fields}")
+    return materialize(reps.mapInPandas(assign, f"cell int, home boolean, {fields}"), "cells")
 
 
 def block_reduce(rows: DataFrame, key: str, schema: str, reducer: Reducer, block: int = BLOCK_ROWS) -> DataFrame:
@@ -91,7 +94,7 @@ def block_reduce(rows: DataFrame, key: str, schema: str, reducer: Reducer, block
     entries are pairs to look at (each unordered pair once, guests never with guests).
     A key of any size is cut into blocks, so no task holds more than two of them.
     """
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    sizes = small_side(rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")))
     placed = rows.join(sizes, key).withColumn("_sub", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     spread = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     tasks = spread.select(

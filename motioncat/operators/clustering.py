@@ -54,7 +54,7 @@ def cluster_dbscan(people: DataFrame, eps: float, min_samples: int) -> DataFrame
     """
     reps, members = blocks.distinct_vectors(people)
     accept = lambda s: 1 - np.clip(s, 0.0, 1.0) <= eps
-    cells = materialize(blocks.in_cells(reps, 1 - eps), "cells")
+    cells = blocks.in_cells(reps, 1 - eps)
     others = blocks.block_reduce(cells, "cell", "id long, n long", blocks.count_neighbours(accept))
     near = others.groupBy("id").agg(F.sum("n").alias("n"))
     cores = materialize(
@@ -84,7 +84,7 @@ def cluster_greedy(people: DataFrame, min_cosine: float) -> DataFrame:
     """
     reps, members = blocks.distinct_vectors(people)
     accept = lambda s: s >= min_cosine
-    cells = materialize(blocks.in_cells(reps, min_cosine, epsilon=V.EPSILON), "cells")
+    cells = blocks.in_cells(reps, min_cosine, epsilon=V.EPSILON)
 
     def nearest(rows: DataFrame, flags: DataFrame) -> DataFrame:
         """Least flagged earlier neighbour of each row of ``rows``."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motioncat.session import small_side
+
 ALWAYS = "TIMESTAMP_NTZ'0001-01-01 00:00:00'"
 NEVER = "TIMESTAMP_NTZ'9999-12-31 00:00:00'"
 
@@ -51,7 +53,7 @@ def device_segments(devices: DataFrame, end_of_day: bool = False) -> DataFrame:
 def device_asof(clips: DataFrame, devices: DataFrame, ts: Column | None = None, end_of_day: bool = False) -> DataFrame:
     """Add ``device`` to clips: entry in force at ``ts`` (default ``dt``), else first entry, else serial."""
     when = F.col("dt") if ts is None else ts
-    seg = device_segments(devices, end_of_day).select(
+    seg = small_side(device_segments(devices, end_of_day)).select(
         F.col("serial").alias("_serial"), "seg_start", "seg_end", F.col("device").alias("_device")
     )
     found = clips.join(

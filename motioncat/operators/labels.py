@@ -110,7 +110,7 @@ def positive_pairs(rows: DataFrame, mega: str = "mega_id") -> DataFrame:
     ``pos`` of a group stands for its pairs with positions pos + 1 .. pos + partners, and
     ``pair_offset`` is the number of pairs of the group that come before.
     """
-    placed = _positions(rows, mega)
+    placed = _positions(rows.select(mega, "ord"), mega)
     size = rows.groupBy(mega).agg(F.count("*").alias("n"))
     p, n = F.col("pos"), F.col("n")
     return placed.join(size, mega).select(

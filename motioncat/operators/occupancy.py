@@ -10,7 +10,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motioncat.session import materialize
+from motioncat.session import materialize, small_side
 
 # ---- fixed values ----
 OCCUPIED, NOT_OCCUPIED, UNKNOWN = "OCCUPIED", "NOT_OCCUPIED", "UNKNOWN"
@@ -28,7 +28,7 @@ def calendar_expand(calendar: DataFrame) -> DataFrame:
 
 def join_occupancy(dated: DataFrame, calendar: DataFrame) -> DataFrame:
     """Add ``status`` to rows with a ``date``; UNKNOWN outside the calendar."""
-    out = dated.join(calendar_expand(calendar), "date", "left")
+    out = dated.join(small_side(calendar_expand(calendar)), "date", "left")
     return out.withColumn("status", F.coalesce("status", F.lit(UNKNOWN)))
 
 

@@ -209,6 +209,20 @@ def _rounds_large(boxes: DataFrame, above: float) -> DataFrame:
     return best.select(*[F.col(f"anchor.{g}").alias(g) for g in GROUP], "best")
 
 
+def _crowded(tags: DataFrame, crowd: int) -> DataFrame | None:
+    """Frames and values with more than ``crowd`` distinct boxes, or None when there are none.
+
+    Rows are counted first, which needs no box and combines before the shuffle; boxes are
+    compared only where that count leaves it open.
+    """
+    many = tags.groupBy(*GROUP).count().filter(F.col("count") > crowd).select(*GROUP)
+    if many.isEmpty():
+        return None
+    boxes = tags.select(*GROUP, *BOX).join(many, GROUP, "left_semi").distinct()
+    found = materialize(boxes.groupBy(*GROUP).count().filter(F.col("count") > crowd).select(*GROUP), "crowded")
+    return None if found.isEmpty() else found
+
+
 def nms_dedup(tags: DataFrame, above: float = 0.8, crowd: int = 256) -> DataFrame:
     """Keep one tag per set of overlapping tags of a frame and value: the one on the longest track.
 
@@ -218,8 +232,8 @@ def nms_dedup(tags: DataFrame, above: float = 0.8, crowd: int = 256) -> DataFram
     if tags.filter("track_id IS NOT NULL").isEmpty():
         return tags
     boxes = _distinct_boxes(with_track_length(tags))
-    crowded = boxes.groupBy(*GROUP).count().filter(F.col("count") > crowd).select(*GROUP)
-    if crowded.isEmpty():
+    crowded = _crowded(tags, crowd)
+    if crowded is None:
         kept = _fold_small(boxes, above)
     else:
         kept = _fold_small(boxes.join(crowded, GROUP, "left_anti"), above).unionByName(

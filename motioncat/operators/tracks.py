@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motioncat.functions.boxes import BOX, iou, named
-from motioncat.operators.tags import consecutive_frames, overlap_join
+from motioncat.operators.tags import FRAME, consecutive_frames, overlap_join
 from motioncat.session import materialize
 
 # ---- fixed values ----
@@ -64,18 +64,30 @@ def tags_to_tracks(tags: DataFrame) -> DataFrame:
     return last.select(*TRACK, "frame_number", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def _moves(points: DataFrame, tags: DataFrame) -> DataFrame:
+    """Rows of ``points`` whose track vanishes before the next, or appeared after the previous, tagged frame.
+
+    ``points`` has one row per (file, track, frame). Neighbouring frames come from the
+    table of distinct frames, so a file with very many tags is never sorted as a whole.
+    """
+    steps = consecutive_frames(tags)
+    before = steps.select("filename", F.col("next_frame").alias("frame_number"), F.col("frame_number").alias("_from"))
+    frames = steps.join(before, FRAME, "full").select(*FRAME, F.col("next_frame").alias("_to"), "_from")
+    own = Window.partitionBy(*TRACK).orderBy("frame_number")
+    seen = points.withColumn("_next", F.lead("frame_number").over(own)).withColumn("_prev", F.lag("frame_number").over(own))
+    placed = seen.join(frames, FRAME)
+    here = F.col("frame_number")
+    lost = F.when(F.col("_to").isNotNull() & ~F.col("_next").eqNullSafe(F.col("_to")), F.struct(F.lit("lost").alias("kind"), here.alias("at"), F.col("_to").alias("next_frame")))
+    new = F.when(F.col("_from").isNotNull() & ~F.col("_prev").eqNullSafe(F.col("_from")), F.struct(F.lit("new").alias("kind"), F.col("_from").alias("at"), here.alias("next_frame")))
+    moved = placed.withColumn("_move", F.explode(F.array_compact(F.array(lost, new))))
+    kept = [c for c in points.columns if c != "frame_number"]
+    return moved.select(*kept, F.col("_move.kind").alias("kind"), F.col("_move.at").alias("frame_number"), F.col("_move.next_frame").alias("next_frame"))
+
+
 def lost_and_new(tags: DataFrame) -> DataFrame:
     """Tracks that vanish after, or appear after, each pair of consecutive tagged frames."""
     seen = tags.filter("track_id IS NOT NULL").select(*TRACK, "frame_number").distinct()
-    steps = consecutive_frames(tags)
-    own = Window.partitionBy(*TRACK).orderBy("frame_number")
-    moves = seen.withColumn("_next", F.lead("frame_number").over(own)).withColumn("_prev", F.lag("frame_number").over(own))
-    lost = moves.join(steps, ["filename", "frame_number"]).filter(~F.col("_next").eqNullSafe(F.col("next_frame")))
-    back = steps.select("filename", F.col("frame_number").alias("_from"), F.col("next_frame").alias("frame_number"))
-    new = moves.join(back, ["filename", "frame_number"]).filter(~F.col("_prev").eqNullSafe(F.col("_from")))
-    return lost.select("filename", "frame_number", "next_frame", F.lit("lost").alias("kind"), "track_id").unionByName(
-        new.select("filename", F.col("_from").alias("frame_number"), F.col("frame_number").alias("next_frame"), F.lit("new").alias("kind"), "track_id")
-    )
+    return _moves(seen, tags).select("filename", "frame_number", "next_frame", "kind", "track_id")
 
 
 def merge_candidates(tags: DataFrame, above: float = 0.9) -> DataFrame:
@@ -84,15 +96,10 @@ def merge_candidates(tags: DataFrame, above: float = 0.9) -> DataFrame:
     Pairs that share a frame anywhere in the file are left out. Each meeting is a vote to
     rename the larger id to the smaller.
     """
-    points = materialize(tags_to_tracks(tags), "track-points")
-    moves = materialize(lost_and_new(tags), "track-moves")
-
-    def ends(kind: str, frame: str) -> DataFrame:
-        at = moves.filter(F.col("kind") == kind).select("filename", "track_id", "frame_number", "next_frame", F.col(frame).alias("_at"))
-        where = points.select(*TRACK, F.col("frame_number").alias("_at"), "value", *BOX)
-        return at.join(where, [*TRACK, "_at"]).drop("_at")
-
-    met = overlap_join(ends("lost", "frame_number"), ends("new", "next_frame"), ["filename", "frame_number", "value"], above)
+    points = tags_to_tracks(tags).select(*TRACK, "frame_number", "value", *BOX)
+    moves = materialize(_moves(points, tags), "track-moves")
+    lost, new = moves.filter("kind = 'lost'"), moves.filter("kind = 'new'")
+    met = overlap_join(lost, new, [*FRAME, "value"], above)
     pairs = materialize(
         met.select(
             F.col("a.filename").alias("filename"), F.col("a.frame_number").alias("frame_number"),
@@ -100,7 +107,7 @@ def merge_candidates(tags: DataFrame, above: float = 0.9) -> DataFrame:
         ),
         "track-pairs",
     )
-    frames = points.select(*TRACK, "frame_number")
+    frames = tags.filter("track_id IS NOT NULL").select(*TRACK, "frame_number").distinct()
     of_lost = pairs.select("filename", "lost", "new").distinct().join(
         frames.withColumnsRenamed({"track_id": "lost", "frame_number": "shared"}), ["filename", "lost"]
     )

@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 50_000
 
 
 def build_session(master: str = "local[8]", app: str = "motioncat", **conf: str) -> SparkSession:
@@ -49,6 +52,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/motioncat/{name}-{uuid.uuid4().hex}"
 
 
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` as a broadcast local table if it has at most ``max_rows`` rows, else ``df`` itself.
+
+    Checks the true size, so that joining a dimension never moves the large side for want
+    of an estimate, and a dimension that outgrew the bound is joined by shuffle instead.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -111,9 +111,13 @@ def scan_listing(spark: SparkSession, directories: list[str], extensions: tuple[
 # ---- cached table ----
 
 def write_catalog_table(clips: DataFrame, path: str) -> None:
-    """Parquet partitioned by month, so that a date range reads only its months."""
+    """Parquet partitioned by month, so that a date range reads only its months.
+
+    Rows are brought together by month for few files, and adaptive execution splits a month
+    that is too large for one task.
+    """
     dated = clips.withColumn("date", F.to_date("dt")).withColumn("month", F.date_format("dt", "yyyy-MM"))
-    dated.repartition("month", F.pmod(F.dayofmonth("dt"), F.lit(8))).sortWithinPartitions("dt").write.mode("overwrite").partitionBy("month").parquet(path)
+    dated.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path)
 
 
 def read_catalog_table(spark: SparkSession, path: str) -> DataFrame | None:
