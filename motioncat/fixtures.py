@@ -38,6 +38,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread a table that comes in fewer splits than there are cores, such as one small file.
+
+    A table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def devices(spark: SparkSession) -> DataFrame:
     return spark.sql(DEVICES_SQL)
 
@@ -66,7 +75,7 @@ def clips(spark: SparkSession, sf: str) -> DataFrame:
 
 def tags(spark: SparkSession, sf: str) -> DataFrame:
     """One row per detection; ``ord`` is the insertion order, unique over the table."""
-    return table(spark, sf, "lineitem").selectExpr(
+    return spread(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey").selectExpr(
         "concat_ws('|', lpad(l_orderkey, 12, '0'), l_linenumber, lpad(l_partkey, 12, '0'),"
         " lpad(l_suppkey, 12, '0'), lpad(CAST(round(l_extendedprice * 100) AS BIGINT), 14, '0')) AS ord",
         "concat('V', CAST(l_suppkey AS STRING)) AS filename",
@@ -85,7 +94,7 @@ def tags(spark: SparkSession, sf: str) -> DataFrame:
 def people(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings: four jittered copies of every given vector."""
     return (
-        table(spark, sf, "embeddings")
+        spread(table(spark, sf, "embeddings"), "vec_id")
         .selectExpr("*", "explode(array(0, 1, 2, 3)) AS c")
         .selectExpr(
             "vec_id * 4 + c AS ord",

@@ -134,9 +134,9 @@ def count_neighbours(accept: Callable[[np.ndarray], np.ndarray]) -> Reducer:
     """Neighbours of each row, counted with their copies."""
 
     def reducer(left, right, sims, valid):
-        hit = valid & accept(sims)
-        of_left = hit @ right["copies"].to_numpy() if len(right) else np.zeros(len(left))
-        of_right = hit.T @ left["copies"].to_numpy() if len(left) else np.zeros(len(right))
+        i, j = np.nonzero(valid & accept(sims))
+        of_left = np.bincount(i, weights=right["copies"].to_numpy()[j], minlength=len(left))
+        of_right = np.bincount(j, weights=left["copies"].to_numpy()[i], minlength=len(right))
         out = pd.DataFrame({"id": np.concatenate([left["id"], right["id"]]), "n": np.concatenate([of_left, of_right])})
         return out[out["n"] > 0].astype({"id": "int64", "n": "int64"})
 
@@ -145,21 +145,24 @@ def count_neighbours(accept: Callable[[np.ndarray], np.ndarray]) -> Reducer:
 
 def least_neighbour(accept: Callable[[np.ndarray], np.ndarray], later_only: bool = False) -> Reducer:
     """Smallest ``key`` among flagged neighbours of each row; with ``later_only`` only smaller ids count."""
-    far = np.iinfo(np.int64).max
 
     def side(ids, other, hit):
-        flagged = other["flag"].to_numpy(bool)
-        keys = np.where(flagged, other["key"].to_numpy(np.int64), far)
-        best = np.where(hit, keys[None, :], far).min(axis=1) if hit.size else np.full(len(ids), far)
-        return pd.DataFrame({"id": ids.to_numpy(np.int64), "key": best})
+        """The flagged columns in order of their key: the first hit of a row is its least key."""
+        flagged = np.flatnonzero(other["flag"].to_numpy(bool))
+        keys = other["key"].to_numpy(np.int64)[flagged]
+        order = np.argsort(keys, kind="stable")
+        if not len(order) or not len(ids):
+            return pd.DataFrame({"id": [], "key": []}, dtype="int64")
+        near = hit[:, flagged[order]]
+        found = near.any(axis=1)
+        return pd.DataFrame({"id": ids.to_numpy(np.int64)[found], "key": keys[order][near.argmax(axis=1)][found]})
 
     def reducer(left, right, sims, valid):
         hit = valid & accept(sims)
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         to_left = hit & (b[None, :] < a[:, None]) if later_only else hit
         to_right = (hit & (a[:, None] < b[None, :])).T if later_only else hit.T
-        out = pd.concat([side(left["id"], right, to_left), side(right["id"], left, to_right)])
-        return out[out["key"] < far]
+        return pd.concat([side(left["id"], right, to_left), side(right["id"], left, to_right)])
 
     return reducer
 

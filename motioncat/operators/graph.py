@@ -22,9 +22,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("u") != F.col("v")).distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Number and hash sum of the edges; equal when a round changed nothing."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Does every node either hang on exactly one smaller node, or only carry others?"""
+    one, none = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("u").alias("id"), one.alias("hangs"), none.alias("carries")).unionByName(
+        edges.select(F.col("v").alias("id"), none.alias("hangs"), one.alias("carries"))
+    )
+    nodes = ends.groupBy("id").agg(F.sum("hangs").alias("hangs"), F.max("carries").alias("carries"))
+    return nodes.filter((F.col("hangs") > 1) | ((F.col("hangs") == 1) & (F.col("carries") == 1))).isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -35,12 +40,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     state = materialize(ends.filter("u <> v").distinct(), "edges")
-    before = _fingerprint(state)
-    while True:
+    while not _all_stars(state):
         state = materialize(_star(_star(state, large=True), large=False), "edges")
-        now = _fingerprint(state)
-        if now == before:
-            break
-        before = now
     roots = state.select(F.col("v").alias("id"), F.col("v").alias("component"))
     return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots).distinct()
