@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motioncat.functions.boxes import BOX, iou, named
+from motioncat.functions.boxes import BOX, iou, named, tag_hash
 from motioncat.operators.tags import FRAME, consecutive_frames, overlap_join
 from motioncat.session import materialize
 
@@ -64,6 +64,12 @@ def tags_to_tracks(tags: DataFrame) -> DataFrame:
     return last.select(*TRACK, "frame_number", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def tracks_to_tags(tracks: DataFrame) -> DataFrame:
+    """The inverse: tags keyed by (file, frame, hash) with their track id."""
+    rest = [c for c in tracks.columns if c not in ("filename", "frame_number", "track_id")]
+    return tracks.select("filename", "frame_number", tag_hash().alias("hash"), "track_id", *rest)
+
+
 def _moves(points: DataFrame, tags: DataFrame) -> DataFrame:
     """Rows of ``points`` whose track vanishes before the next, or appeared after the previous, tagged frame.
 

@@ -40,9 +40,23 @@ def cluster_greedy_leader(spark, sf):
     return cl.cluster_greedy(fx.people(spark, sf), 0.88)
 
 
-@query("cluster_complete_link")
+COMPLETE = f"""WITH st AS (SELECT 0 AS r, 'E' AS k, p.ord AS a, q.ord AS b, 1 - least(1, {COS}) AS d FROM people p JOIN people q ON p.ord < q.ord WHERE 1 - least(1, greatest(0, {COS})) < 1 - CAST(0.88 AS DOUBLE)
+    UNION ALL SELECT 0, 'L', ord, ord, CAST(0 AS DOUBLE) FROM people
+    UNION ALL (WITH e AS (SELECT r, a, b, d FROM st WHERE k = 'E'),
+      ends AS (SELECT a AS x, d, a, b FROM e UNION ALL SELECT b, d, a, b FROM e),
+      nn AS (SELECT x, arg_min(struct_pack(a := a, b := b), struct_pack(d := d, a := a, b := b)) AS m FROM ends GROUP BY x),
+      mut AS (SELECT m.a AS keep, m.b AS gone FROM nn GROUP BY 1, 2 HAVING count(*) = 2),
+      mp AS (SELECT gone AS x, keep AS t FROM mut UNION ALL SELECT keep, keep FROM mut),
+      ren AS (SELECT e.r, coalesce(ma.t, e.a) AS p, coalesce(mb.t, e.b) AS q, d, (CASE WHEN ma.t IS NULL THEN 1 ELSE 2 END) * (CASE WHEN mb.t IS NULL THEN 1 ELSE 2 END) AS need
+        FROM e LEFT JOIN mp ma ON ma.x = e.a LEFT JOIN mp mb ON mb.x = e.b)
+      SELECT max(r) + 1, 'E', least(p, q), greatest(p, q), max(d) FROM ren WHERE p <> q GROUP BY least(p, q), greatest(p, q) HAVING count(*) = max(need)
+      UNION ALL SELECT l.r + 1, 'L', l.a, coalesce(mp.t, l.b), l.d FROM st l LEFT JOIN mp ON mp.x = l.b WHERE l.k = 'L' AND EXISTS (SELECT 1 FROM e)))
+  SELECT a AS ord, b AS cluster FROM st WHERE k = 'L' AND r = (SELECT max(r) FROM st WHERE k = 'L')"""
+
+
+@query("cluster_complete_link", with_ctes("people", COMPLETE, recursive=True))
 def cluster_complete_link(spark, sf):
-    """Checked against one-by-one merging in the tests."""
+    """The tests also compare it with one-by-one merging."""
     return cl.cluster_complete_link(fx.people(spark, sf), 0.88)
 
 

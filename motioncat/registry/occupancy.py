@@ -10,7 +10,7 @@ from motioncat.operators import occupancy as occ
 from motioncat.operators import rollup
 from motioncat.registry import query
 from motioncat.registry.common import clipd, rounded, sql_day
-from motioncat.session import scratch_path
+from motioncat.session import materialize, scratch_path
 
 FEATURES = ["Backyard", "Front Door", "Walkway"]
 F_SQL = ", ".join(f'"{f}"' for f in FEATURES)
@@ -141,19 +141,22 @@ def occupancy_tree_train(spark, sf):
     return spark.createDataFrame(rows, "method string, accuracy double, feature string, importance double")
 
 
+def taught_by_rule(spark, sf, wide):
+    taught = heuristic(spark, sf, wide).withColumn("label", (F.col("status") == "OCCUPIED").cast("double"))
+    return occ.tree_pipeline(FEATURES, maxDepth=3).fit(materialize(wide.join(taught.select("date", "label"), "date"), "taught"))
+
+
 @query("occupancy_tree_apply", with_ctes("clipd caldays", f"WITH {SQL_THREE} SELECT date, status FROM h"))
 def occupancy_tree_apply(spark, sf):
     """A tree trained on the rule's own verdicts must repeat them when applied as an expression."""
     wide = daily(spark, sf)
-    taught = heuristic(spark, sf, wide).withColumn("label", (F.col("status") == "OCCUPIED").cast("double"))
-    training = wide.join(taught.select("date", "label"), "date")
-    model = occ.tree_pipeline(FEATURES, maxDepth=3).fit(training)
-    return occ.apply_tree(wide, model.stages[-1], FEATURES)
+    return occ.apply_tree(wide, taught_by_rule(spark, sf, wide).stages[-1], FEATURES)
 
 
-@query("occupancy_model_io")
+@query("occupancy_model_io", with_ctes("clipd caldays", f"WITH {SQL_THREE} SELECT date, status FROM h"))
 def occupancy_model_io(spark, sf):
-    """Train, save, load and apply."""
+    """The same tree saved, loaded and applied."""
+    wide = daily(spark, sf)
     path = scratch_path(spark, "occupancy-model")
-    occ.save_model(trained(spark, sf)["model"], path)
-    return occ.load_model_or_calendar(path, daily(spark, sf), FEATURES, fx.calendar(spark))
+    occ.save_model(taught_by_rule(spark, sf, wide), path)
+    return occ.load_model_or_calendar(path, wide, FEATURES, fx.calendar(spark))

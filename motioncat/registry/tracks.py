@@ -9,7 +9,7 @@ from motioncat.fixtures import with_ctes
 from motioncat.operators import tracks as ops
 from motioncat.registry import query
 from motioncat.registry.common import rounded
-from motioncat.registry.tags import ROW, ROW_SQL, iou_sql
+from motioncat.registry.tags import HASH, ROW, ROW_SQL, iou_sql
 
 PERSON = """SELECT ord, filename, frame_number, 'TRACKED_OBJECT' AS type, value, confidence, track_id, x1, y1, x2, y2 FROM tags
   WHERE value = 'person' AND confidence >= 0.3 AND track_id IS NOT NULL AND x2 > x1 AND y2 > y1 AND (x2 - x1) * (y2 - y1) >= 6000"""
@@ -47,6 +47,12 @@ def tags_to_tracks(spark, sf):
     return ops.tags_to_tracks(fx.tags(spark, sf)).select("ord", *ROW)
 
 
+@query("tracks_to_tags", with_ctes("tags", f"WITH {TRACKS} SELECT ord, {HASH} AS hash, {ROW_SQL} FROM tk"))
+def tracks_to_tags(spark, sf):
+    """Tags to tracks and back: one tag per track and frame is left."""
+    return ops.tracks_to_tags(ops.tags_to_tracks(fx.tags(spark, sf))).select("ord", "hash", *ROW)
+
+
 MOVES = f"""{TRACKS}, fr AS (SELECT filename, frame_number, lead(frame_number) OVER (PARTITION BY filename ORDER BY frame_number) AS next_frame
     FROM (SELECT DISTINCT filename, frame_number FROM tags)),
   seen AS (SELECT DISTINCT filename, frame_number, track_id FROM tags),

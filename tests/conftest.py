@@ -11,6 +11,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark(tmp_path_factory):
     from motioncat.session import build_session
 
-    session = build_session(**{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
+    session = build_session(**{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield session
     session.stop()

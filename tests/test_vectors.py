@@ -31,16 +31,16 @@ def vectors():
 @pytest.fixture(scope="module")
 def people(spark, vectors):
     rows = [(i, [float(x) for x in v], f"v{i % 5}", str(i % 9), i % 50, 0.3 + (i % 7) / 10, 0.2 + (i % 8) / 10) for i, v in enumerate(vectors)]
-    return spark.createDataFrame(rows, SCHEMA).repartition(6)
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
 @pytest.fixture(autouse=True)
 def small_blocks(monkeypatch):
     """Blocks and pivots small enough that cells split and vectors travel as guests."""
-    monkeypatch.setattr(blocks, "BLOCK_ROWS", 64)
-    monkeypatch.setattr(blocks.block_reduce, "__defaults__", (64,))
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 128)
+    monkeypatch.setattr(blocks.block_reduce, "__defaults__", (128,))
     original = blocks._choose_pivots
-    monkeypatch.setattr(blocks, "_choose_pivots", lambda reps, rows: original(reps, 400 * 49))
+    monkeypatch.setattr(blocks, "_choose_pivots", lambda reps, rows: original(reps, 400 * 16))
 
 
 def cosines(vectors):
