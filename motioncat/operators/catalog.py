@@ -131,7 +131,7 @@ def default_width(clips: DataFrame, keys: list[str], roi: tuple[float, float, fl
     if roi is not None:
         left, _, right, _ = roi
         if not 0 <= left < right <= 1:
-            raise ValueError("roi values must be between 0 and 1, and left < right")
+            raise ValueError("roi must be (left, top, right, bottom) within 0..1 and not empty")
         widest = F.greatest(F.lit(1), F.least((widest * F.lit(right - left)).cast("int"), widest))
     return clips.groupBy(*keys).agg(widest.alias("default_width"))
 
@@ -213,7 +213,7 @@ def render_plan(clips: DataFrame, output_width: int, roi: tuple[float, float, fl
     else:
         left, top, right, bottom = roi
         if not (0 <= left < right <= 1) or not (0 <= top < bottom <= 1):
-            raise ValueError("roi values must be between 0 and 1, and left < right, top < bottom")
+            raise ValueError("roi must be (left, top, right, bottom) within 0..1 and not empty")
         roi_w = F.greatest(F.lit(1), F.least((w * F.lit(right - left)).cast("int"), w))
         roi_h = F.greatest(F.lit(1), F.least((h * F.lit(bottom - top)).cast("int"), h))
         plan = plan.select("*", roi_w.alias("roi_w"), roi_h.alias("roi_h")).select(

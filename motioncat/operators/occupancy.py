@@ -37,7 +37,7 @@ def join_training(daily: DataFrame, calendar: DataFrame, check: bool = True) ->
     known = calendar_expand(calendar.filter(F.col("status") != UNKNOWN))
     out = daily.join(known, "date").withColumn("label", (F.col("status") == OCCUPIED).cast("int"))
     if check and out.isEmpty():
-        raise ValueError("No matching dates found between daily activity data and occupancy calendar")
+        raise ValueError("the calendar and the daily data share no date")
     return out
 
 
@@ -96,7 +96,7 @@ def train_occupancy(training: DataFrame, features: list[str], method: str = "sim
     if method == "leave_one_out":
         folds = data.count()
     if method not in ("cross_validation", "leave_one_out", "grid_search"):
-        raise ValueError(f"Unknown method: {method}. Choose from 'simple', 'cross_validation', 'leave_one_out', or 'grid_search'.")
+        raise ValueError(f"training method {method!r} is not known")
     first = data.agg(F.min("date")).first()[0]
     if method == "leave_one_out":
         ranks = data.select("date").distinct().orderBy("date").collect()  # one small row per day

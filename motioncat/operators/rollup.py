@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from motioncat.functions.clips import hour_bin
 
-METRICS: dict[str, Column | None] = {"activity": None, "duration": None, "filesize": None}
+METRICS = ("activity", "duration", "filesize")
 
 
 def _measure(metric: str) -> Column:
@@ -19,7 +19,7 @@ def _measure(metric: str) -> Column:
         return F.sum(F.col("duration_s") / 60)
     if metric == "filesize":
         return F.sum("file_size")
-    raise ValueError(f"Invalid metric {metric}; must be one of {sorted(METRICS)}")
+    raise ValueError(f"metric {metric!r} is none of {METRICS}")
 
 
 def rollup_long(clips: DataFrame, metric: str, time_key: Column, name: str) -> DataFrame:

@@ -61,7 +61,7 @@ def attach_tags(existing: DataFrame, incoming: DataFrame, clips: DataFrame, mode
     if mode.upper() == "REPLACE":
         kept = existing.join(matched.select("filename"), "filename", "left_anti")
         return merge_new_tags(kept, matched).drop("added")
-    raise ValueError("Invalid mode. Use 'ADD' or 'REPLACE'.")
+    raise ValueError(f"mode must be ADD or REPLACE, not {mode!r}")
 
 
 def collect_clip_tags(tags: DataFrame, clips: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def _parse_clock(text: str) -> int:
     try:
         t = datetime.strptime(text, "%H:%M:%S")
     except ValueError as exc:
-        raise ValueError(f"Invalid time format in time_range. Expected HH:MM:SS format: {exc}") from exc
+        raise ValueError(f"time_range needs HH:MM:SS, got {text!r}") from exc
     return t.hour * 3600 + t.minute * 60 + t.second
 
 
@@ -53,12 +53,12 @@ class Selector:
         for name, ends in (("duration_range", "min or max"), ("date_range", "start or end"), ("time_range", "start or end")):
             bounds = getattr(self, name)
             if bounds is not None and bounds[0] is None and bounds[1] is None:
-                raise ValueError(f"At least one of {ends} must be specified in {name}")
+                raise ValueError(f"{name} needs {ends}")
         if self.date_regex is not None:
             try:
                 re.compile(f"^{self.date_regex}$")
             except re.error as exc:
-                raise ValueError(f"Invalid date regex pattern '{self.date_regex}': {exc}") from exc
+                raise ValueError(f"date_regex {self.date_regex!r} does not compile: {exc}") from exc
         for text in filter(None, self.time_range or ()):
             _parse_clock(text)
         for text in filter(None, self.date_range or ()):

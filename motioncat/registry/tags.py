@@ -156,14 +156,13 @@ def global_track_id(spark, sf):
     return fx.tags(spark, sf).select("filename", "value", "track_id", B.global_track_id("run-1").alias("global_id")).distinct()
 
 
-@query("iou", with_ctes("tags", f"""WITH n AS (SELECT *, lead(struct_pack(x1 := x1, y1 := y1, x2 := x2, y2 := y2)) OVER (PARTITION BY filename, frame_number, value ORDER BY ord) AS o FROM tags)
-  SELECT ord, round({iou_sql('n', 'o')}, 9) AS iou FROM n WHERE o IS NOT NULL"""))
+@query("iou", with_ctes("tags", f"""WITH o AS (SELECT * FROM tags QUALIFY row_number() OVER (PARTITION BY filename, frame_number, value ORDER BY ord) = 1)
+  SELECT n.ord, round({iou_sql('n', 'o')}, 9) AS iou FROM tags n JOIN o USING (filename, frame_number, value)"""))
 def iou(spark, sf):
-    """Overlap of every tag with the next one of its frame and value."""
-    from pyspark.sql import Window
-
-    nxt = F.lead(F.struct(*B.BOX)).over(Window.partitionBy(*ops.GROUP).orderBy("ord"))
-    paired = fx.tags(spark, sf).withColumn("o", nxt).filter("o IS NOT NULL")
+    """Overlap of every tag with the first one of its frame and value."""
+    tags = fx.tags(spark, sf)
+    first = tags.groupBy(*ops.GROUP).agg(F.min_by(F.struct(*B.BOX), "ord").alias("o"))
+    paired = tags.join(first, ops.GROUP)
     return paired.select("ord", F.round(B.iou({c: F.col(c) for c in B.BOX}, B.of_struct(F.col("o"))), 9).alias("iou"))
 
 
