@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motioncat.llm import bpe_tree, packing, token_counts
+from motioncat.llm import bpe_tree, packing, pii, quality, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,16 +23,55 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+
+    def digest(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"),
+        digest(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf, "documents"))
 
 
+@query
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality.fit_quality(docs, quality.grades(table(spark, sf, "labels")))
+    return quality.rate_quality(docs, model)
+
+
 @query
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
+@query
+def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    groups = simhash.near_duplicates(table(spark, sf, "documents"))
+    return groups.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit_toxicity(docs, toxicity.severities(table(spark, sf, "labels")))
+    return toxicity.rate_toxicity(docs, model)
+
+
 @query
 def op10_bpe_tree(spark: SparkSession, sf: str) -> DataFrame:
     coded = bpe_tree.decode_texts(bpe_tree.encode_texts(table(spark, sf, "documents")))
