@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motioncat.llm import bpe_tree, packing, pii, quality, simhash, token_counts, toxicity
+from motioncat.llm import bpe_tree, embed_dedup, packing, pii, quality, simhash, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,6 +59,17 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
+@query
+def op6_topk(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+@query
+def op7_embed_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf, "embeddings"))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf, "documents"))
