@@ -8,7 +8,7 @@ without evidence at exactly zero.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ from motioncat.llm.common import texts_of
 BUCKETS = 1 << 20
 SAMPLE_DOCUMENTS = 5000
 CACHED_TOKENS = 400_000
-Features = Callable[[str], Iterable[tuple[str, float]]]
+LatentOf = Callable[[dict[int, float]], Callable[[str], float]]
 
 
 def bucket(feature: str) -> int:
@@ -125,18 +125,46 @@ def sample_features(docs: DataFrame, rated: DataFrame, vector: Callable[[str], t
     return [(np.array(r["buckets"], np.int64), np.array(r["values"], float)) for r in got], np.array([r["grade"] for r in got], int)
 
 
-def score(docs: DataFrame, model: OrdinalModel, latent_of: Callable[[dict[int, float]], Callable[[str], float]], key: str, text: str) -> DataFrame:
-    """(key, expected double, tail array<double>): expected grade, and P(grade >= g) for every g but the least."""
-    kind = docs.schema[key].dataType.simpleString()
+def _scorer(docs: DataFrame, model: OrdinalModel, latent_of: LatentOf) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """Makes, in a task, a function from texts to probabilities (rows, grades)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[list[str]], np.ndarray]:
         fitted = shared.value
         latent = latent_of(fitted.table())
-        grades = np.array(fitted.grades or [0], float)
+        if not fitted.grades:
+            return lambda texts: np.ones((len(texts), 1))
+        return lambda texts: fitted.probabilities(np.array([latent(t) for t in texts]))
+
+    return make
+
+
+def score(docs: DataFrame, model: OrdinalModel, latent_of: LatentOf, key: str, text: str) -> DataFrame:
+    """(key, expected double, tail array<double>): expected grade, and P(grade >= g) for every g but the least."""
+    kind = docs.schema[key].dataType.simpleString()
+    make = _scorer(docs, model, latent_of)
+    grades = np.array(model.grades or [0], float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probabilities = make()
         for batch in batches:
-            p = fitted.probabilities(np.array([latent(t) for t in texts_of(batch.column(1))])) if fitted.grades else np.ones((batch.num_rows, 1))
+            p = probabilities(texts_of(batch.column(1)))
             tail = p[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p @ grades), pa.array(list(tail), pa.list_(pa.float64()))], names=["key", "expected", "tail"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, expected double, tail array<double>")
+
+
+def keep_rows(docs: DataFrame, model: OrdinalModel, latent_of: LatentOf, text: str, keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Rows of ``docs``, with all their columns, for which ``keep`` holds of P(grade > least)."""
+    if len(model.grades) < 2:
+        return docs
+    make, place = _scorer(docs, model, latent_of), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probabilities = make()
+        for batch in batches:
+            p = probabilities(texts_of(batch.column(place)))
+            yield batch.filter(pa.array(keep(p[:, 1:].sum(axis=1))))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motioncat.llm.ordinal import CACHED_TOKENS, SAMPLE_DOCUMENTS, OrdinalModel, bucket, fit_ordinal, sample_features, score
+from motioncat.llm.ordinal import CACHED_TOKENS, SAMPLE_DOCUMENTS, OrdinalModel, bucket, fit_ordinal, keep_rows, sample_features, score
 
 KEEP = 0.3
 STEP, L1 = 1.0, 25.0
@@ -107,3 +107,8 @@ def rate_quality(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text
     scored = score(docs, model, latent_of, key, text)
     kept = (F.size("tail") == 0) | (F.get("tail", F.lit(0)) >= keep)
     return scored.select(key, F.col("expected").alias("expected_grade"), "tail", kept.alias("kept"))
+
+
+def keep_good(docs: DataFrame, model: OrdinalModel, text: str = "text", keep: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    return keep_rows(docs, model, latent_of, text, lambda p: p >= keep)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motioncat.llm import bpe_tree, embed_dedup, packing, pii, quality, simhash, token_counts, topk, toxicity
+from motioncat.llm import bpe_tree, embed_dedup, html_extract, packing, pii, quality, simhash, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    texts = html_extract.extract(table(spark, sf, "pages"), carry=("url",))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf, "documents"))

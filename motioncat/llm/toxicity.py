@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motioncat.llm.ordinal import CACHED_TOKENS, SAMPLE_DOCUMENTS, OrdinalModel, bucket, fit_ordinal, sample_features, score
+from motioncat.llm.ordinal import CACHED_TOKENS, SAMPLE_DOCUMENTS, OrdinalModel, bucket, fit_ordinal, keep_rows, sample_features, score
 
 REJECT = 0.5
 STEP, L1 = 3.0, 12.0
@@ -79,3 +79,8 @@ def rate_toxicity(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", tex
     scored = score(docs, model, latent_of, key, text)
     toxic = (F.size("tail") > 0) & (F.get("tail", F.lit(0)) >= reject)
     return scored.select(key, F.col("expected").alias("severity"), "tail", toxic.alias("toxic"))
+
+
+def keep_civil(docs: DataFrame, model: OrdinalModel, text: str = "text", reject: float = REJECT) -> DataFrame:
+    """The rows of ``docs`` that are not toxic, with all their columns."""
+    return keep_rows(docs, model, latent_of, text, lambda p: p < reject)
