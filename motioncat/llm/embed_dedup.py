@@ -36,6 +36,7 @@ MIN_COSINE = 0.9
 CAP_ROWS = 48
 EXPECTED_SHARED = 12.0
 PART_ROWS = 2048
+FEW_COMPONENTS = 24
 SEED = 17
 
 
@@ -50,14 +51,6 @@ def _shared_tail(height: float, cosine: float) -> float:
     return float(sum(math.exp(-(a**2) / 2) / math.sqrt(2 * math.pi) * _tail(b) for a, b in zip(x, inner)) * 0.004)
 
 
-def plan_filters(rows: int, cosine: float = MIN_COSINE) -> tuple[float, int]:
-    """Cap height, in standard deviations of a random direction, and code size of each half."""
-    height = 2.0
-    while rows * _tail(height) > CAP_ROWS and height < 5.5:
-        height += 0.05
-    return height, max(4, math.ceil(math.sqrt(EXPECTED_SHARED / _shared_tail(height, cosine))))
-
-
 class CapFilters:
     """Random product code over unit vectors of ``size`` components."""
 
@@ -94,6 +87,36 @@ class CapFilters:
         return r[by], f[by]
 
 
+def plan_filters(rows: int, size: int, cosine: float = MIN_COSINE) -> tuple[float, int]:
+    """Cap height, in standard deviations of a random direction, and code size of each half.
+
+    In few dimensions inner products are far from normal; there the caps are wide, and the code
+    grows until nearly all of a fixed set of pairs at the limit share a filter.
+    """
+    height = 2.0
+    while rows * _tail(height) > CAP_ROWS and height < 5.5:
+        height += 0.05
+    if size >= FEW_COMPONENTS:
+        height = min(height, 0.75 * math.sqrt(size))
+        return height, max(4, math.ceil(math.sqrt(EXPECTED_SHARED / _shared_tail(height, cosine))))
+    height = min(height, 0.5 * math.sqrt(size))
+    rng = np.random.default_rng(SEED + 1)
+    x = rng.standard_normal((1000, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal(x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = cosine * x + math.sqrt(1 - cosine**2) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    code = 8
+    while code < 64:
+        filters = CapFilters(size, height, code)
+        (rx, fx), (ry, fy) = filters.decode(x), filters.decode(y)
+        both = np.intersect1d(rx * code**2 + fx, ry * code**2 + fy) // code**2
+        if len(np.unique(both)) >= 0.998 * len(x):
+            break
+        code *= 2
+    return height, code
+
+
 def _distinct(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
     """(code, copies, first key, unit vector) of distinct usable vectors; (key, code) of every row, null if unusable."""
     good = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
@@ -116,7 +139,7 @@ def link_vectors(reps: DataFrame, cosine: float = MIN_COSINE, part_rows: int = P
     filed = None
     for size in sizes:
         own = reps.filter(F.size("unit") == size)
-        height, code = plan_filters(own.count(), cosine)
+        height, code = plan_filters(own.count(), size, cosine)
 
         def file(batches: Iterator[pd.DataFrame], size: int = size, height: float = height, code: int = code) -> Iterator[pd.DataFrame]:
             filters = CapFilters(size, height, code)

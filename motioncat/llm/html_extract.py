@@ -7,7 +7,8 @@ choice for the whole tree in which nothing is kept below a block that is not, by
 and one down, so that ancestors and descendants never contradict each other.
 
 The trees are trained on labelled pages: layouts of many kinds (``html_templates``) written
-around sentences of ``SAMPLE_PAGES`` pages of the table at most (those whose ids hash lowest).
+around sentences of ``SAMPLE_PAGES`` pages of the table at most (those of at
+most ``SAMPLE_CHARS`` characters whose ids hash lowest), and those of the sampled pages whose markup names exactly one article.
 
 Character references are decoded, white space inside a block becomes one space (as Unicode
 defines it, no-break spaces included), blocks are joined in page order by one space. Text of
@@ -38,8 +39,9 @@ from motioncat.llm.common import slices, texts_of
 from motioncat.llm.html_dom import PageParser, decode, features, lines_of, parse
 from motioncat.llm.html_templates import Page
 
-SAMPLE_PAGES = 100
-TRAINING_PAGES = 600
+SAMPLE_PAGES = 300
+SAMPLE_CHARS = 100_000
+TRAINING_PAGES = 800
 SLICE_CHARS = 1_000_000
 _MARK = re.compile(r" ?\[\[(\d+)\]\]")
 
@@ -69,32 +71,50 @@ def training_page(rng: random.Random, sentences: list[str]) -> tuple[PageParser,
     return page, main, lines
 
 
+def sentences_of(page: PageParser) -> list[str]:
+    """Up to 20 sentences, whatever part of the page they stand in."""
+    text = [" ".join("".join(t for _, t in line).split()) for line in page.lines]
+    return [s for line in text if len(line) > 40 for s in re.split(r"(?<=[.!?]) ", line) if 8 < len(s) < 400][:20]
+
+
+def labelled_by_markup(page: PageParser) -> np.ndarray | None:
+    """Which blocks belong to the one article that the page's own markup names, if it names one."""
+    marked = [i for i, b in enumerate(page.blocks) if b.tag == "article"] or [i for i, b in enumerate(page.blocks) if b.tag == "main"]
+    if len(marked) != 1:
+        return None
+    main = np.zeros(len(page.blocks), bool)
+    for i, block in enumerate(page.blocks):
+        other = block.tag in ("nav", "aside", "form", "footer", "button", "menu")
+        main[i] = i == marked[0] or (i > 0 and main[block.parent] and not other)
+    for i in range(marked[0], 0, -1):
+        main[page.blocks[i].parent] |= main[i]
+    return main
+
+
 @lru_cache(maxsize=4)
-def fit_pages(sentences: tuple[str, ...], pages: int = TRAINING_PAGES, seed: int = 3) -> PageModel:
+def fit_pages(htmls: tuple[str, ...], pages: int = TRAINING_PAGES, seed: int = 3) -> PageModel:
+    """Train on invented layouts around the sample's sentences, and on sampled pages that name their article."""
     rng = random.Random(seed)
-    made = [training_page(rng, list(sentences)) for _ in range(pages)]
+    given = [parse(h) for h in htmls]
+    sentences = [s for page in given for s in sentences_of(page)] or ["A sentence of some words.", "Another one, of a few more words than that.", "Words follow words here, until the line ends."]
+    shown = [training_page(rng, sentences)[:2] for _ in range(pages)]
+    shown += [(page, main) for page in given if (main := labelled_by_markup(page)) is not None]
     yes, no = Counter(), Counter()
-    for page, main, _ in made:
+    for page, main in shown:
         for block, m in zip(page.blocks, main):
             (yes if m else no).update(set(block.tokens))
-    many_yes, many_no = sum(m.sum() for _, m, _ in made), sum((~m).sum() for _, m, _ in made)
+    many_yes, many_no = sum(m.sum() for _, m in shown), sum((~m).sum() for _, m in shown)
     odds = {t: math.log((yes[t] + 0.5) / (many_yes + 1)) - math.log((no[t] + 0.5) / (many_no + 1)) for t in yes | no if yes[t] + no[t] >= 4}
-    x = np.concatenate([features(page, odds) for page, _, _ in made])
-    y = np.concatenate([main for _, main, _ in made]).astype(float)
-    weight = np.concatenate([[0.3 + math.log1p(b.own) / 4 for b in page.blocks] for page, _, _ in made])
+    x = np.concatenate([features(page, odds) for page, _ in shown])
+    y = np.concatenate([main for _, main in shown]).astype(float)
+    weight = np.concatenate([[0.3 + math.log1p(b.own) / 4 for b in page.blocks] for page, _ in shown])
     return PageModel(odds, boost(x, y, weight))
 
 
-def sample_sentences(pages: DataFrame, key: str = "page_id", html: str = "html", limit: int = SAMPLE_PAGES) -> tuple[str, ...]:
-    """Up to 20 sentences of each sampled page, whatever part of the page they stand in."""
-    rows = pages.filter(F.col(html).isNotNull()).orderBy(F.xxhash64(key), key).limit(limit).select(F.substring(html, 1, 20000).alias("h")).collect()
-    found: list[str] = []
-    for row in rows:
-        page = parse(row["h"])
-        text = [" ".join("".join(t for _, t in line).split()) for line in page.lines]
-        own = [s for line in text if len(line) > 40 for s in re.split(r"(?<=[.!?]) ", line) if 8 < len(s) < 400]
-        found += own[:20]
-    return tuple(found) or ("A sentence of some words.", "Another one, of a few more words than that.", "Words follow words here, until the line ends.")
+def sample_pages(pages: DataFrame, key: str = "page_id", html: str = "html", limit: int = SAMPLE_PAGES) -> tuple[str, ...]:
+    """Pages to train on: those of at most ``SAMPLE_CHARS`` characters whose ids hash lowest."""
+    rows = pages.filter(F.length(html) <= SAMPLE_CHARS).orderBy(F.xxhash64(key), key, html).limit(limit).select(html).collect()
+    return tuple(row[0] for row in rows)
 
 
 def main_texts(htmls: list[str], model: PageModel) -> list[str]:
@@ -109,7 +129,7 @@ def main_texts(htmls: list[str], model: PageModel) -> list[str]:
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", carry: tuple[str, ...] = (), model: PageModel | None = None) -> DataFrame:
     """(key, carried columns, text) for every row."""
     if model is None:
-        model = fit_pages(sample_sentences(pages, key, html))
+        model = fit_pages(sample_pages(pages, key, html))
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
