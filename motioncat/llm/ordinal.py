@@ -55,12 +55,21 @@ class OrdinalModel:
 
 
 def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epochs: int = 15, alpha: float = 1.0, l1: float = 10.0, l2: float = 0.01, batch: int = 32, seed: int = 7) -> OrdinalModel:
-    """Fit on rows of (buckets, values); the same rows in the same order give the same model."""
+    """Fit on rows of (buckets, values); the same rows in the same order give the same model.
+
+    Values are multiplied by how much more often a feature occurs above the least grade than at
+    it, or the reverse (the absolute log-odds of its document frequencies), so that telling
+    features are learned from few documents; the weights returned are those of the values as given.
+    """
     seen = sorted(set(grades.tolist()))
     if len(seen) < 2:
         return OrdinalModel(seen, np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
     y = np.searchsorted(seen, grades)
     k = len(seen) - 1
+    counts = [np.bincount(np.concatenate([r[0] for r, up in zip(rows, y > 0) if up == side]), minlength=BUCKETS) for side in (True, False)]
+    many = (y > 0).sum()
+    telling = np.abs(np.log((counts[0] + 1) / (many + 2)) - np.log((counts[1] + 1) / (len(y) - many + 2)))
+    rows = [(b, v * telling[b]) for b, v in rows]
     share = np.array([(y <= i).mean() for i in range(k)])
     start = np.log(share / (1 - share))
     theta0, gaps = start[0], np.log(np.maximum(np.diff(start), 0.1))
@@ -102,7 +111,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, e
             gaps -= steps[1:]
     theta = theta0 + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
     kept = np.nonzero(np.abs(z) > l1)[0]
-    return OrdinalModel(seen, theta, kept, weights(kept))
+    return OrdinalModel(seen, theta, kept, weights(kept) * telling[kept])
 
 
 def sample_features(docs: DataFrame, rated: DataFrame, vector: Callable[[str], tuple[np.ndarray, np.ndarray]], key: str, text: str, limit: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
