@@ -10,14 +10,18 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motioncat.operators.ordered import running
 from motioncat.session import materialize, small_side
 
 # ---- fixed values ----
 OCCUPIED, NOT_OCCUPIED, UNKNOWN = "OCCUPIED", "NOT_OCCUPIED", "UNKNOWN"
 RULE_DEVICE, RULE_THRESHOLD = "Backyard", 15.5
-GRID_MAX_DEPTH = [30, 3, 4, 5]  # 30 is the deepest tree of the library, standing for no limit
+DEEPEST = 30  # of the library, standing for no limit
+GRID_MAX_DEPTH = [DEEPEST, 3, 4, 5]
 GRID_MIN_LEAF = [1, 2, 4]
 GRID_IMPURITY = ["gini", "entropy"]
+GRID_MIN_SPLIT = [2, 3, 5]  # no counterpart in the library
+TRAINING_METHODS = ["simple", "cross_validation", "leave_one_out", "grid_search"]
 
 
 def calendar_expand(calendar: DataFrame) -> DataFrame:
@@ -74,50 +78,47 @@ def apply_tree(daily: DataFrame, model: DecisionTreeClassificationModel, feature
     return daily.select("date", _verdict(label == 1.0).alias("status"))
 
 
-def tree_pipeline(features: list[str], max_bins: int = 256, **params) -> Pipeline:
+def tree_pipeline(features: list[str], max_bins: int = 256, seed: int = 1000, **params) -> Pipeline:
     assembler = VectorAssembler(inputCols=features, outputCol="features")
-    return Pipeline(stages=[assembler, DecisionTreeClassifier(labelCol="label", maxBins=max_bins, seed=1000, **params)])
+    return Pipeline(stages=[assembler, DecisionTreeClassifier(labelCol="label", maxBins=max_bins, seed=seed, **params)])
 
 
-def train_occupancy(training: DataFrame, features: list[str], method: str = "simple", folds: int = 5) -> dict:
-    """Fit the tree and score it: simple 80/20, cross_validation, leave_one_out or grid_search.
+def train_occupancy(
+    training: DataFrame, features: list[str], method: str = "simple", folds: int = 5, max_depth: int | None = None,
+    test_size: float = 0.2, random_state: int = 42, max_bins: int | None = None,
+) -> dict:
+    """Fit the tree and score it: simple (a part held out), cross_validation, leave_one_out or grid_search.
 
-    Rows are days, so even decades make a small table; folds are taken from the date so
-    that a repeated run scores the same split.
+    Days are dealt by the rank of a hash of their date, so folds are even whatever dates there
+    are, and a repeated run scores the same split. ``max_depth`` None is the deepest tree of
+    the library; ``max_bins`` None makes every distinct value of a feature a split candidate.
+    ``skipped`` in the result names parameters of a grid that the library does not have.
     """
-    data = materialize(training.select("date", *features, F.col("label").cast("double").alias("label")), "training-days")
+    if method not in TRAINING_METHODS:
+        raise ValueError(f"training method {method!r} is not known")
+    days = training.select("date", *features, F.col("label").cast("double").alias("label"), F.xxhash64("date", F.lit(random_state)).alias("_hash"))
+    data = materialize(running(days, [], ["_hash", "date"], {"_rank": F.lit(1)}), "training-days")
     score = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    day = F.datediff("date", F.lit("1970-01-01"))
-    max_depth = 3
+    rows, *values = data.agg(F.count("*"), *[F.countDistinct(f"`{f}`") for f in features]).first()
+    if rows < 2:
+        raise ValueError("training needs two days at least")
+    bins = max_bins or max(2, *values)
+    pipe = tree_pipeline(features, bins, random_state, maxDepth=DEEPEST if max_depth is None else max_depth)
     if method == "simple":
-        train, test = data.filter(F.pmod(day, F.lit(5)) != 0), data.filter(F.pmod(day, F.lit(5)) == 0)
-        model = tree_pipeline(features, maxDepth=max_depth).fit(train)
-        return {"model": model, "accuracy": score.evaluate(model.transform(test))}
-    if method == "leave_one_out":
-        folds = data.count()
-    if method not in ("cross_validation", "leave_one_out", "grid_search"):
-        raise ValueError(f"training method {method!r} is not known")
-    first = data.agg(F.min("date")).first()[0]
-    if method == "leave_one_out":
-        ranks = data.select("date").distinct().orderBy("date").collect()  # one small row per day
-        spark = data.sparkSession
-        order = spark.createDataFrame([(r.date, i) for i, r in enumerate(ranks)], "date date, fold int")
-        data = data.join(order, "date")
-    else:
-        data = data.withColumn("fold", F.pmod(F.datediff("date", F.lit(first)), F.lit(folds)).cast("int"))
-    pipe = tree_pipeline(features, maxDepth=max_depth)
+        held = F.col("_rank") <= max(1, round(rows * test_size))
+        model = pipe.fit(data.filter(~held))
+        return {"model": model, "accuracy": score.evaluate(model.transform(data.filter(held))), "skipped": {}}
+    folds = rows if method == "leave_one_out" else min(folds, rows)
+    data = data.withColumn("fold", (F.col("_rank") % folds).cast("int"))
     tree = pipe.getStages()[1]
     grid = ParamGridBuilder()
     if method == "grid_search":
-        grid = (
-            grid.addGrid(tree.maxDepth, GRID_MAX_DEPTH)
-            .addGrid(tree.minInstancesPerNode, GRID_MIN_LEAF)
-            .addGrid(tree.impurity, GRID_IMPURITY)
-        )
+        grid = grid.addGrid(tree.maxDepth, GRID_MAX_DEPTH).addGrid(tree.minInstancesPerNode, GRID_MIN_LEAF).addGrid(tree.impurity, GRID_IMPURITY)
     cv = CrossValidator(
         estimator=pipe, estimatorParamMaps=grid.build(), evaluator=score, numFolds=folds, foldCol="fold", parallelism=4
     ).fit(data)
-    return {"model": cv.bestModel, "accuracy": max(cv.avgMetrics), "cv_scores": cv.avgMetrics}
+    skipped = {"min_samples_split": GRID_MIN_SPLIT} if method == "grid_search" else {}
+    return {"model": cv.bestModel, "accuracy": max(cv.avgMetrics), "cv_scores": cv.avgMetrics, "skipped": skipped}
 
 
 def feature_importances(model: PipelineModel, features: list[str]) -> dict[str, float]:

@@ -227,11 +227,16 @@ def nms_dedup(tags: DataFrame, above: float = 0.8, crowd: int = 256) -> DataFram
     """Keep one tag per set of overlapping tags of a frame and value: the one on the longest track.
 
     Without any track id the tags are returned as they are. Frames with at most ``crowd``
-    distinct boxes of a value are folded in place; fuller ones are settled by joins.
+    distinct boxes of a value are folded in place; fuller ones are settled by joins. A box
+    without area overlaps nothing, not even its equal, and stays.
     """
     if tags.filter("track_id IS NOT NULL").isEmpty():
         return tags
-    boxes = _distinct_boxes(with_track_length(tags))
+    # a box without area, or one of several where nothing can exceed the limit, overlaps nothing
+    solid = F.coalesce((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & F.lit(above < 1), F.lit(False))
+    measured = with_track_length(tags)
+    flat, tags = measured.filter(~solid), measured.filter(solid)
+    boxes = _distinct_boxes(tags)
     crowded = _crowded(tags, crowd)
     if crowded is None:
         kept = _fold_small(boxes, above)
@@ -239,4 +244,4 @@ def nms_dedup(tags: DataFrame, above: float = 0.8, crowd: int = 256) -> DataFram
         kept = _fold_small(boxes.join(crowded, GROUP, "left_anti"), above).unionByName(
             _rounds_large(boxes.join(crowded, GROUP, "left_semi"), above)
         )
-    return kept.select(*[c if c in GROUP else F.col(f"best.{c}").alias(c) for c in tags.columns])
+    return kept.select(*[c if c in GROUP else F.col(f"best.{c}").alias(c) for c in tags.columns]).unionByName(flat)

@@ -170,11 +170,11 @@ def distinct_devices(spark, sf):
     return dev.distinct_devices(derived_devices(spark, sf))
 
 
-@query("selector_devices_union", with_ctes("clipd", """WITH sel AS (SELECT dayname(dt) AS story, list(DISTINCT device) AS devices FROM clipd WHERE duration_s > 200 GROUP BY 1)
+@query("selector_devices_union", with_ctes("clipd", """WITH sel AS (SELECT dayname(dt) AS story, list(DISTINCT device) AS devices FROM clipd GROUP BY 1)
   SELECT DISTINCT unnest(devices) AS device FROM sel"""))
 def selector_devices_union(spark, sf):
     """Union of the device lists of one selector per weekday."""
-    lists = clipd(spark, sf).filter("duration_s > 200").groupBy(F.date_format("dt", "EEEE").alias("story")).agg(F.collect_set("device").alias("devices"))
+    lists = clipd(spark, sf).groupBy(F.date_format("dt", "EEEE").alias("story")).agg(F.collect_set("device").alias("devices"))
     return lists.select(F.explode("devices").alias("device")).distinct()
 
 

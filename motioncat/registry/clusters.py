@@ -60,12 +60,13 @@ def cluster_complete_link(spark, sf):
     return cl.cluster_complete_link(fx.people(spark, sf), 0.88)
 
 
-@query("connected_components", with_ctes("", """WITH e AS (SELECT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_quantity > 49),
-  s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk AS (SELECT DISTINCT a AS root, a AS id FROM s UNION SELECT w.root, s.b FROM walk w JOIN s ON s.a = w.id)
-  SELECT id, min(root) AS component FROM walk GROUP BY id""", recursive=True))
+@query("connected_components", with_ctes("", """WITH e AS (SELECT DISTINCT (l_suppkey * 100 + CAST(l_quantity AS BIGINT)) * 2 AS a, (l_partkey * 100 + CAST(l_quantity AS BIGINT)) * 2 + 1 AS b FROM lineitem),
+  s AS (SELECT DISTINCT p.a, q.a AS b FROM e p JOIN e q USING (b)), walk AS (SELECT DISTINCT a AS root, a AS id FROM s UNION SELECT w.root, s.b FROM walk w JOIN s ON s.a = w.id),
+  r AS (SELECT id, min(root) AS root FROM walk GROUP BY id), n AS (SELECT id, root FROM r UNION SELECT e.b, r.root FROM e JOIN r ON r.id = e.a)
+  SELECT id, min(id) OVER (PARTITION BY root) AS component FROM n""", recursive=True))
 def components(spark, sf):
-    """Suppliers and parts linked by large orders."""
-    edges = fx.table(spark, sf, "lineitem").filter("l_quantity > 49").selectExpr("l_suppkey * 2 AS a", "l_partkey * 2 + 1 AS b")
+    """Suppliers and parts linked by order lines, in a graph of its own for each quantity."""
+    edges = fx.table(spark, sf, "lineitem").selectExpr("(l_suppkey * 100 + CAST(l_quantity AS BIGINT)) * 2 AS a", "(l_partkey * 100 + CAST(l_quantity AS BIGINT)) * 2 + 1 AS b")
     return connected_components(edges)
 
 

@@ -44,10 +44,17 @@ def write_catalog_csv(spark, sf):
     return src.read_catalog_csv(spark, path)[0]
 
 
-@query("scan_listing")
+@query("scan_listing", with_ctes("clips", "SELECT serial, count(DISTINCT serial) AS files, CAST(sum(length(filename) + 1) AS BIGINT) AS bytes FROM clips GROUP BY serial"))
 def scan_listing(spark, sf):
-    """The given tables as files: name and size, without reading them."""
-    return src.scan_listing(spark, [sf], extensions=("parquet",))[0].select("full_path", "file_size")
+    """One folder with one file per serial; they are listed with their sizes, and an absent folder is reported."""
+    path = scratch_path(spark, "listing")
+    clips = fx.clips(spark, sf).select("serial", "filename")
+    clips.repartition("serial").write.partitionBy("serial").text(path)
+    folders = [f"{path}/serial={r.serial}" for r in clips.select("serial").distinct().collect()]  # eight cameras
+    files, skipped = src.scan_listing(spark, [*folders, path + "/serial=none"], extensions=("txt",))
+    assert skipped == [path + "/serial=none"]
+    serial = F.regexp_extract("full_path", "serial=([^/]+)/", 1)
+    return files.groupBy(serial.alias("serial")).agg(F.count("*").alias("files"), F.sum(F.round(F.col("file_size") * 1024 * 1024).cast("bigint")).alias("bytes"))
 
 
 @query("catalog_resolve_source", with_ctes("clips", f"SELECT load_seq, filename, dt FROM ({SQL_DEDUP.format(src='clips')})"))
@@ -68,26 +75,33 @@ def catalog_month_pruning(spark, sf):
     return select_clips(table, Selector(date_range=("2024-01-10", "2024-01-20")), day="date").select("load_seq", "filename", "dt")
 
 
-TAG_ROW = "filename, frame_number, hash, type, value, confidence, track_id, x1, y1, x2, y2"
+TAG_ROW = "filename, frame_number, hash, type, value, round(confidence, 6) AS confidence, track_id, is_new_track, x1, y1, x2, y2"
+SQL_TAG_ROWS = f"""SELECT {TAG_ROW}, '2024-02-01T00:00:00' AS timestamp FROM (
+  SELECT *, ord LIKE '%7' AS is_new_track, {HASH} AS hash FROM tags QUALIFY row_number() OVER (PARTITION BY filename, frame_number, hash ORDER BY ord DESC) = 1)"""
 
 
-@query("scan_tags_json", with_ctes("tags", f"""SELECT filename, frame_number, hash, value, x1, y1, x2, y2 FROM (SELECT *, {HASH} AS hash FROM tags)
-  GROUP BY ALL"""))
+def marked_tags(spark, sf):
+    return fx.tags(spark, sf).withColumn("is_new_track", F.col("ord").like("%7"))
+
+
+@query("scan_tags_json", with_ctes("tags", SQL_TAG_ROWS))
 def scan_tags_json(spark, sf):
+    """Of equal tags of a frame the one inserted last comes back, with every field."""
     path = scratch_path(spark, "tags-json")
-    docs.write_tags_json(fx.tags(spark, sf), path, "2024-02-01T00:00:00", {"model": "any", "task": "Track"})
-    return docs.read_tags_json(spark, path).select("filename", "frame_number", "hash", "value", "x1", "y1", "x2", "y2")
+    docs.write_tags_json(marked_tags(spark, sf), path, "2024-02-01T00:00:00", {"model": "any", "task": "Track"})
+    return rounded(docs.read_tags_json(spark, path), "confidence")
 
 
-@query("write_tags_json", with_ctes("tags", f"""SELECT filename, frame_number, hash, count(*) AS copies, bool_and(ts = '2024-02-01T00:00:00') AS stamped FROM (
-  SELECT DISTINCT filename, frame_number, {HASH} AS hash, '2024-02-01T00:00:00' AS ts FROM tags) GROUP BY ALL"""))
+@query("write_tags_json", with_ctes("tags", f"""WITH r AS ({SQL_TAG_ROWS}) SELECT filename, frame_number, hash, count(*) AS copies, bool_and(timestamp = '2024-02-01T00:00:00') AS stamped,
+  max(type) AS type, max(value) AS value, max(confidence) AS confidence, max(track_id) AS track_id, bool_or(is_new_track) AS is_new_track FROM r GROUP BY 1, 2, 3"""))
 def write_tags_json(spark, sf):
-    """Each tag comes back exactly once and carries the time of its file."""
+    """Each tag comes back exactly once, with its payload and the time of its file."""
     path = scratch_path(spark, "tags-json")
-    docs.write_tags_json(fx.tags(spark, sf), path, "2024-02-01T00:00:00")
-    back = docs.read_tags_json(spark, path)
+    docs.write_tags_json(marked_tags(spark, sf), path, "2024-02-01T00:00:00")
+    back = rounded(docs.read_tags_json(spark, path), "confidence")
     return back.groupBy("filename", "frame_number", "hash").agg(
-        F.count("*").alias("copies"), F.bool_and(F.col("timestamp") == "2024-02-01T00:00:00").alias("stamped")
+        F.count("*").alias("copies"), F.bool_and(F.col("timestamp") == "2024-02-01T00:00:00").alias("stamped"),
+        *[F.max(c).alias(c) for c in ("type", "value", "confidence", "track_id")], F.bool_or("is_new_track").alias("is_new_track"),
     )
 
 
@@ -138,10 +152,10 @@ def write_clusters(spark, sf):
     return docs.read_clusters_json(spark, path)[1].drop("clustering_type")
 
 
-@query("scan_devices", f"WITH {SQL_DERIVED} SELECT serial, device, CASE WHEN ord % 13 = 0 THEN NULL ELSE start_date END AS start_date, end_date FROM dd")
+@query("scan_devices", f"WITH {SQL_DERIVED} SELECT serial, device, CASE WHEN ord % 13 = 0 THEN NULL ELSE start_date END AS start_date, end_date, row_number() OVER (ORDER BY ord) AS ord FROM dd")
 def scan_devices(spark, sf):
-    """Some start dates are unreadable and must become open."""
+    """Some start dates are unreadable and must become open; the order must hold over several part files."""
     path = scratch_path(spark, "devices-csv")
     start = F.when(F.col("ord") % 13 == 0, "31/12/2024").otherwise(F.col("start_date").cast("string"))
-    tables.write_devices(derived_devices(spark, sf).withColumn("start_date", start), path)
-    return tables.read_devices(spark, path).drop("ord")
+    tables.write_devices(derived_devices(spark, sf).withColumn("start_date", start), path, files=4)
+    return tables.read_devices(spark, path)

@@ -49,9 +49,10 @@ def write_tags_json(tags: DataFrame, path: str, timestamp: str, config: dict[str
         "type", "value", F.col("confidence").cast("string").alias("confidence"), box.alias("bounding_box"), "track_id",
         (F.col("is_new_track") if "is_new_track" in tags.columns else F.lit(None).cast("boolean")).alias("is_new_track"),
     )
-    flat = tags.select("filename", F.col("frame_number").cast("string").alias("frame"), key.alias("hash"), tag.alias("tag"))
-    # equal tags of one frame are one entry
-    flat = flat.groupBy("filename", "frame", "hash").agg(F.max("tag").alias("tag"))
+    order = F.col("ord") if "ord" in tags.columns else tag
+    flat = tags.select("filename", F.col("frame_number").cast("string").alias("frame"), key.alias("hash"), tag.alias("tag"), order.alias("order"))
+    # equal tags of one frame are one entry: the one that was inserted last
+    flat = flat.groupBy("filename", "frame", "hash").agg(F.max_by("tag", "order").alias("tag"))
     docs = _documents(flat, ["filename"], F.struct("frame", "hash"))
     per_frame = docs.groupBy("filename", "_doc", "frame").agg(F.map_from_entries(F.collect_list(F.struct("hash", "tag"))).alias("m"))
     per_doc = per_frame.groupBy("filename", "_doc").agg(F.map_from_entries(F.collect_list(F.struct("frame", "m"))).alias("m"))
