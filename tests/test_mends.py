@@ -33,7 +33,7 @@ def test_tree_depth_is_a_choice(spark):
     days = [(first + datetime.timedelta(days=i), i, (i // 2) % 2) for i in range(64)]
     frame = spark.createDataFrame(days, "date date, a int, label int")
     deep, flat = (occ.train_occupancy(frame, ["a"], test_size=0.1, max_depth=d)["model"].stages[-1].depth for d in (None, 2))
-    assert deep > 4 and flat == 2
+    assert deep > 4 and flat <= 2
 
 
 def test_boxes_without_area_stay(spark):
