@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motioncat.llm.boosting import Trees, boost
-from motioncat.llm.common import slices, texts_of
+from motioncat.llm.common import lowest_hashes, slices, texts_of
 from motioncat.llm.html_dom import PageParser, decode, features, lines_of, parse
 from motioncat.llm.html_templates import Page
 
@@ -113,8 +113,8 @@ def fit_pages(htmls: tuple[str, ...], pages: int = TRAINING_PAGES, seed: int = 3
 
 def sample_pages(pages: DataFrame, key: str = "page_id", html: str = "html", limit: int = SAMPLE_PAGES) -> tuple[str, ...]:
     """Pages to train on: those of at most ``SAMPLE_CHARS`` characters whose ids hash lowest."""
-    rows = pages.filter(F.length(html) <= SAMPLE_CHARS).orderBy(F.xxhash64(key), key, html).limit(limit).select(html).collect()
-    return tuple(row[0] for row in rows)
+    rows = lowest_hashes(pages.select(key, html).filter(F.length(html) <= SAMPLE_CHARS), key, limit).select(html).collect()
+    return tuple(sorted(row[0] for row in rows))
 
 
 def main_texts(htmls: list[str], model: PageModel) -> list[str]:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motioncat.llm.common import texts_of
+from motioncat.llm.common import lowest_hashes, texts_of
 
 BUCKETS = 1 << 20
 SAMPLE_DOCUMENTS = 5000
@@ -117,7 +117,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, e
 def sample_features(docs: DataFrame, rated: DataFrame, vector: Callable[[str], tuple[np.ndarray, np.ndarray]], key: str, text: str, limit: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Feature rows and grades of at most ``limit`` rated documents: those whose ids hash lowest."""
     rated = rated.filter(F.col(key).isNotNull() & F.col("grade").isNotNull()).groupBy(key).agg(F.min("grade").cast("int").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64(key), key).limit(limit)
+    chosen = lowest_hashes(rated, key, limit)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motioncat.llm.common import slices, texts_of
+from motioncat.llm.common import lowest_hashes, materialize, slices, texts_of
 from motioncat.llm.pii_model import KINDS, WINDOW, Tagger, classes, tags_of, train
 
 TRAIN_WINDOWS = 400
@@ -270,9 +270,9 @@ def training_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
                 firsts.append(t[max(0, m.start() - CONTEXT) :][:WINDOW] if m else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(firsts, pa.string())], names=["h", "window"])
 
-    found = docs.select(F.xxhash64(key).alias("h"), text).mapInArrow(run, "h long, window string")
-    rows = found.filter("window is not null").orderBy("h", "window").limit(limit).collect()
-    return tuple(r["window"] for r in rows)
+    found = docs.select(F.col(key).cast("string").alias("h"), text).mapInArrow(run, "h string, window string")
+    rows = lowest_hashes(materialize(found.filter("window is not null"), "windows"), "h", limit).collect()
+    return tuple(sorted(r["window"] for r in rows))
 
 
 # ---- operators ----

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from motioncat.llm.common import materialize
+from motioncat.llm.common import lowest_hashes, materialize
 
 MAX_PIVOTS = 256
 RINGS = 16
@@ -160,7 +160,7 @@ def _by_score() -> WindowSpec:
 
 def _top_k(vectors: DataFrame, queries: DataFrame, n: int, longest: float, k: int) -> DataFrame:
     spark = vectors.sparkSession
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vector").collect()
+    sample = lowest_hashes(vectors, "vec_id", SAMPLE_ROWS).select("vector").collect()
     pivots = max(1, min(MAX_PIVOTS, math.isqrt(n) // 8))
     shared = spark.sparkContext.broadcast(Directory(np.array([r["vector"] for r in sample]), longest, pivots))
 
