@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from motioncat.functions import clips as C
 from motioncat.operators.ordered import running
+from motioncat.session import materialize
 
 CLIP_KEY = ["filename", "dt"]
 
@@ -84,7 +85,7 @@ def robust_mean(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     histogram of distinct values with running counts that may span tasks, so no group
     is ever held as a list.
     """
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    hist = materialize(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n")), "values")
     ranked = running(hist, keys, ["v"], {"upto": F.col("n")})
     size = hist.groupBy(*keys).agg(
         F.sum("n").alias("total"), F.sum(F.col("v") * F.col("n")).alias("sum_v"), F.min("v").alias("low_v")
@@ -251,3 +252,9 @@ def resolve_clips(raw: DataFrame, devices: DataFrame, zone: str) -> DataFrame:
     lookup = F.coalesce(C.path_time(F.col("full_path")), F.lit(C.FALLBACK_TIME).cast("timestamp_ntz"))
     out = device_asof(named, devices, ts=lookup)
     return out.withColumn("dt", C.resolve_time(F.col("full_path"), F.col("container_utc"), F.col("file_time"), zone))
+
+
+def audio_levels(samples: DataFrame, keys: list[str], sample: Column) -> DataFrame:
+    """Root-mean-square and peak level of each clip in decibels of full scale; silence is at -240."""
+    level = lambda v: 20 * F.log10(F.greatest(v, F.lit(1e-12)))
+    return samples.groupBy(*keys).agg(level(F.sqrt(F.avg(sample * sample))).alias("rms_dbfs"), level(F.max(F.abs(sample))).alias("peak_dbfs"))

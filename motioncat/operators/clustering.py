@@ -290,3 +290,11 @@ def best_runs(summary: DataFrame) -> DataFrame:
         )
 
     return pick(precise, "high_precision", "min_quality").unionByName(pick(balanced, "balanced", "avg_quality"))
+
+
+def representatives(people: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group the best embedding by quality times confidence, and by their weighted sum; the first among equals."""
+    q, c = F.col("embedding_quality"), F.col("confidence")
+    return people.groupBy(*keys).agg(
+        F.min_by("ord", F.struct(-(q * c), F.col("ord"))).alias("by_product"), F.min_by("ord", F.struct(-(q * 0.5 + c * 0.3 + 0.2), F.col("ord"))).alias("by_weights")
+    )

@@ -91,3 +91,8 @@ def validate_devices(devices: DataFrame) -> None:
 def distinct_devices(devices: DataFrame) -> DataFrame:
     """Device names in order of first appearance."""
     return devices.groupBy("device").agg(F.min("ord").alias("first_ord")).orderBy("first_ord")
+
+
+def devices_union(lists: DataFrame, column: str = "devices") -> DataFrame:
+    """Every device that any of several selectors' lists names."""
+    return lists.select(F.explode(column).alias("device")).distinct()

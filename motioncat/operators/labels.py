@@ -141,7 +141,9 @@ def negative_pairs(rows: DataFrame, mega: str = "mega_id", first: int = NEGATIVE
     opened = groups.withColumn("opens", F.col("c") * (F.lit(top.rows) - F.col("upto"))).withColumn("_all", F.lit(0))
     opened = running(opened.select(mega, "g", "c", "upto", "opens", "_all"), ["_all"], ["g"], {"after": F.col("opens")})
     useful = opened.withColumn("before", F.col("after") - F.col("opens")).filter(F.col("before") < limit)
-    pairs = useful.select(F.col(mega).alias("mega1"), "g", "c", "upto", "before", F.explode(F.sequence(F.col("g") + 1, F.greatest(F.col("g") + 1, F.lit(top.g)))).alias("g2"))
+    # every later group opens at least c pairs, so no more of them than this can be of use
+    last = F.greatest(F.col("g") + 1, F.least(F.lit(top.g), F.col("g") + F.ceil((F.lit(limit) - F.col("before")) / F.col("c"))))
+    pairs = useful.select(F.col(mega).alias("mega1"), "g", "c", "upto", "before", F.explode(F.sequence(F.col("g") + 1, last)).alias("g2"))
     later = groups.select(F.col(mega).alias("mega2"), F.col("g").alias("g2"), F.col("c").alias("c2"), F.col("upto").alias("upto2"))
     pairs = pairs.join(later, "g2")
     # place of the first pair of two groups in the whole list

@@ -102,7 +102,7 @@ def merge_candidates(tags: DataFrame, above: float = 0.9) -> DataFrame:
     Pairs that share a frame anywhere in the file are left out. Each meeting is a vote to
     rename the larger id to the smaller.
     """
-    points = tags_to_tracks(tags).select(*TRACK, "frame_number", "value", *BOX)
+    points = materialize(tags_to_tracks(tags).select(*TRACK, "frame_number", "value", *BOX), "track-points")
     moves = materialize(_moves(points, tags), "track-moves")
     lost, new = moves.filter("kind = 'lost'"), moves.filter("kind = 'new'")
     met = overlap_join(lost, new, [*FRAME, "value"], above)
@@ -113,8 +113,13 @@ def merge_candidates(tags: DataFrame, above: float = 0.9) -> DataFrame:
         ),
         "track-pairs",
     )
-    frames = tags.filter("track_id IS NOT NULL").select(*TRACK, "frame_number").distinct()
-    of_lost = pairs.select("filename", "lost", "new").distinct().join(
+    frames = points.select(*TRACK, "frame_number").distinct()
+    spans = frames.groupBy(*TRACK).agg(F.min("frame_number").alias("low"), F.max("frame_number").alias("high"))
+    own, other = (spans.toDF("filename", side, f"{side}_low", f"{side}_high") for side in ("lost", "new"))
+    # only tracks whose spans meet can share a frame
+    meeting = pairs.select("filename", "lost", "new").distinct().join(own, ["filename", "lost"]).join(other, ["filename", "new"])
+    meeting = meeting.filter("lost_low <= new_high AND new_low <= lost_high").select("filename", "lost", "new")
+    of_lost = meeting.join(
         frames.withColumnsRenamed({"track_id": "lost", "frame_number": "shared"}), ["filename", "lost"]
     )
     clash = of_lost.join(

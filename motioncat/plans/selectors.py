@@ -154,3 +154,8 @@ def select_clips(clips: DataFrame, selectors: Selector | list[Selector] | None,
 def selector_devices(selectors: list[Selector]) -> list[str]:
     """Device names used by any selector, in order of first use."""
     return list(dict.fromkeys(d for s in selectors for d in (s.devices or [])))
+
+
+def with_names(clips: DataFrame, names: DataFrame) -> DataFrame:
+    """Clips whose file name is in a table of names, for lists too long for a criterion."""
+    return clips.join(names, "filename", "left_semi")

@@ -10,10 +10,12 @@ from motioncat.functions import clips as C
 from motioncat.operators import catalog as ops
 from motioncat.operators import devices as dev
 from motioncat.operators import rollup
-from motioncat.plans.selectors import Selector, select_clips
+from motioncat.plans.selectors import Selector, select_clips, with_names
 from motioncat.plans.story import Story, filter_occupancy
 from motioncat.registry import query
 from motioncat.registry.common import clipd, rounded, sql_wide
+from motioncat.session import scratch_path
+from motioncat.sources import catalog as src
 
 KEPT = ["load_seq", "filename", "device", "dt", "duration_s"]
 SQL_KEPT = "SELECT load_seq, filename, device, dt, duration_s FROM clipd"
@@ -51,7 +53,7 @@ def filter_filenames(spark, sf):
     """A long list of names is a table and a semi join."""
     clips = clipd(spark, sf)
     names = fx.clips(spark, sf).groupBy("filename").agg(F.sum("file_size").alias("mb")).filter("mb > 60")
-    return clips.join(names, "filename", "left_semi").select(*KEPT)
+    return with_names(clips, names).select(*KEPT)
 
 
 OR_SQL = f"(device = 'Walkway' AND {T} <= 36000) OR (lower(dayname(dt)) = 'sunday' AND duration_s >= 30)"
@@ -175,7 +177,7 @@ def distinct_devices(spark, sf):
 def selector_devices_union(spark, sf):
     """Union of the device lists of one selector per weekday."""
     lists = clipd(spark, sf).groupBy(F.date_format("dt", "EEEE").alias("story")).agg(F.collect_set("device").alias("devices"))
-    return lists.select(F.explode("devices").alias("device")).distinct()
+    return dev.devices_union(lists)
 
 
 # ---- folders and plans ----
@@ -202,10 +204,15 @@ def rename_plan(spark, sf):
     return ops.rename_plan(misnamed(spark, sf))
 
 
-@query("write_playlist", with_ctes("clipd", """SELECT dt, filename, load_seq, concat('#EXTINF:-1,', strftime(dt, '%Y-%m-%d %H:%M:%S'), ' ', device, ' - ', filename, ' - ',
-  CAST(width AS VARCHAR), 'x', CAST(height AS VARCHAR), chr(10), full_path) AS value FROM clipd"""))
+@query("write_playlist", with_ctes("clipd", """WITH e AS (SELECT concat('#EXTINF:-1,', strftime(dt, '%Y-%m-%d %H:%M:%S'), ' ', device, ' - ', filename, ' - ',
+  CAST(width AS VARCHAR), 'x', CAST(height AS VARCHAR)) AS info, full_path FROM clipd)
+  SELECT value, count(*) AS copies, bool_or(first) AS first FROM (SELECT '#EXTM3U' AS value, true AS first UNION ALL SELECT info, false FROM e UNION ALL SELECT full_path, false FROM e) GROUP BY value"""))
 def write_playlist(spark, sf):
-    return ops.playlist_lines(clipd(spark, sf)).orderBy("dt", "filename")
+    """The written file: its header comes first, and every clip brings its two lines."""
+    path = scratch_path(spark, "playlist")
+    src.write_playlist(clipd(spark, sf), path)
+    lines = src.read_playlist(spark, path)
+    return lines.groupBy("value").agg(F.count("*").alias("copies"), (F.min("line") == 1).alias("first"))
 
 
 @query("tagging_workload", with_ctes("clips", "SELECT serial, CAST(sum(ceil(duration_s * 1.5)) AS BIGINT) AS frames_to_tag FROM clips GROUP BY serial"))
@@ -333,9 +340,5 @@ def render_plan(spark, sf):
   round(20 * log10(greatest(max(abs(value / 500)), 1e-12)), 6) AS peak_dbfs FROM events GROUP BY user_id""")
 def audio_level_db(spark, sf):
     """Loudness of each clip over a table of samples."""
-    sample = F.col("value") / 500
-    floor_db = lambda v: 20 * F.log10(F.greatest(v, F.lit(1e-12)))
-    out = fx.table(spark, sf, "events").groupBy("user_id").agg(
-        floor_db(F.sqrt(F.avg(sample * sample))).alias("rms_dbfs"), floor_db(F.max(F.abs(sample))).alias("peak_dbfs")
-    )
+    out = ops.audio_levels(fx.table(spark, sf, "events"), ["user_id"], F.col("value") / 500)
     return rounded(out, "rms_dbfs", "peak_dbfs")

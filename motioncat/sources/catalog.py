@@ -6,7 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motioncat.operators.catalog import CLIP_KEY, dedup_clips, playlist_lines
+from motioncat.operators.catalog import dedup_clips, playlist_lines
+from motioncat.operators.ordered import running
 
 # ---- fixed values: header and formats of the metadata file ----
 CSV_COLUMNS = {
@@ -123,7 +124,9 @@ def write_catalog_table(clips: DataFrame, path: str) -> None:
 def read_catalog_table(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.option("basePath", path).parquet(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
 
 
@@ -165,4 +168,9 @@ def write_playlist(clips: DataFrame, path: str) -> None:
     header.unionByName(lines).orderBy("_k", "dt", "filename").select("value").write.mode("overwrite").text(path)
 
 
-__all__ = ["CLIP_KEY", "CSV_COLUMNS", "read_catalog_csv", "scan_listing", "write_catalog_csv"]
+def read_playlist(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a playlist with their ``line`` number, from 1, over its part files in order."""
+    placed = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")
+    )
+    return running(placed, [], ["_file", "_block", "_row"], {"line": F.lit(1)}).select("line", "value")
