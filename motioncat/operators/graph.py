@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motioncat.session import materialize
+from motioncat.session import forget, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -41,6 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     state = materialize(ends.filter("u <> v").distinct(), "edges")
     while not _all_stars(state):
-        state = materialize(_star(_star(state, large=True), large=False), "edges")
+        before, state = state, materialize(_star(_star(state, large=True), large=False), "edges")
+        forget(before)
     roots = state.select(F.col("v").alias("id"), F.col("v").alias("component"))
     return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motioncat.functions.boxes import BOX, iou, named, tag_hash
 from motioncat.operators.tags import FRAME, consecutive_frames, overlap_join
-from motioncat.session import materialize
+from motioncat.session import forget, materialize
 
 # ---- fixed values ----
 FRAMES_PER_SECOND = 30
@@ -148,9 +148,10 @@ def collapse_renames(renames: DataFrame) -> DataFrame:
             current.join(onward, "target", "left").select("source", F.coalesce("_next", "target").alias("target"), F.col("_next").isNotNull().alias("moved")),
             "renames",
         )
-        current = jumped.select("source", "target")
+        forget(current)
         if jumped.filter("moved").isEmpty():
-            return current
+            return jumped.select("source", "target")
+        current = jumped
 
 
 def merge_tracks(tags: DataFrame, above: float = 0.9, min_votes: int = 10) -> DataFrame:

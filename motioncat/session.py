@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
+RUN = uuid.uuid4().hex
 
 
 def build_session(master: str = "local[8]", app: str = "motioncat", **conf: str) -> SparkSession:
@@ -49,17 +51,35 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/motioncat/{name}-{uuid.uuid4().hex}"
+    """A new place below this process's own folder, which ``cleanup`` deletes as a whole."""
+    return f"{shared_folder(spark)}/motioncat/run-{RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all that this process has materialized; results that still read it must be written before."""
+    _delete(spark, f"{shared_folder(spark)}/motioncat/run-{RUN}")
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a materialized frame that nothing reads any more, such as a round's before last."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        _delete(df.sparkSession, path)
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` as a broadcast local table if it has at most ``max_rows`` rows, else ``df`` itself.
+    """``df`` as a broadcast local table if it has at most ``max_rows`` rows and ``BROADCAST_BYTES``, else ``df`` itself.
 
     Checks the true size, so that joining a dimension never moves the large side for want
     of an estimate, and a dimension that outgrew the bound is joined by shuffle instead.
     """
     rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    if len(rows) > max_rows or sum(len(repr(r)) for r in rows) > BROADCAST_BYTES:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
@@ -73,4 +93,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out

@@ -48,3 +48,17 @@ def test_last_of_equal_tags_is_written(spark, tmp_path):
     write_tags_json(spark.createDataFrame(rows, TAG), f"{tmp_path}/t", "now")
     back = read_tags_json(spark, f"{tmp_path}/t").collect()
     assert [(r["type"], r["confidence"], r["track_id"]) for r in back] == [("A", 0.1, 3)]
+
+
+def test_scratch_is_bounded_and_deleted(spark):
+    import glob
+
+    from motioncat.operators.graph import connected_components
+    from motioncat.session import RUN, cleanup, shared_folder
+
+    cleanup(spark)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    assert {r["component"] for r in connected_components(chain).collect()} == {0}
+    assert len(glob.glob(f"{shared_folder(spark)}/motioncat/run-{RUN}/*")) == 1
+    cleanup(spark)
+    assert glob.glob(f"{shared_folder(spark)}/motioncat/run-{RUN}*") == []
