@@ -42,9 +42,9 @@ def _merge(sides: list[DataFrame], later_wins: bool) -> DataFrame:
     return won.select("hash", F.col("w.side").alias("side"), *[F.col(f"w._row.{c}").alias(c) for c in columns])
 
 
-def merge_tags(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Union by (file, frame, hash); the right side wins."""
-    return _merge([left, right], later_wins=True).drop("side")
+def merge_tags(*sides: DataFrame) -> DataFrame:
+    """Union of two sides or more by (file, frame, hash); the last side wins."""
+    return _merge(list(sides), later_wins=True).drop("side")
 
 
 def merge_new_tags(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -245,3 +245,8 @@ def nms_dedup(tags: DataFrame, above: float = 0.8, crowd: int = 256) -> DataFram
             _rounds_large(boxes.join(crowded, GROUP, "left_semi"), above)
         )
     return kept.select(*[c if c in GROUP else F.col(f"best.{c}").alias(c) for c in tags.columns]).unionByName(flat)
+
+
+def tag_database(sides: list[DataFrame], clips: DataFrame, above: float = 0.8) -> DataFrame:
+    """Tag files merged in order, overlaps removed, and the tags of the catalog's clips kept."""
+    return collect_clip_tags(nms_dedup(merge_tags(*sides), above), clips)

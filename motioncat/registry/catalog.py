@@ -10,6 +10,7 @@ from motioncat.functions import clips as C
 from motioncat.operators import catalog as ops
 from motioncat.operators import devices as dev
 from motioncat.operators import rollup
+from motioncat.plans.run import Analysis, run_stories
 from motioncat.plans.selectors import Selector, select_clips, with_names
 from motioncat.plans.story import Story, filter_occupancy
 from motioncat.registry import query
@@ -342,3 +343,17 @@ def audio_level_db(spark, sf):
     """Loudness of each clip over a table of samples."""
     out = ops.audio_levels(fx.table(spark, sf, "events"), ["user_id"], F.col("value") / 500)
     return rounded(out, "rms_dbfs", "peak_dbfs")
+
+
+@query("story_outputs", with_ctes("clipd caldays", STORY_SQL + """ SELECT filename, dt, device, true AS listed, (SELECT count(*) FROM story) AS num_videos,
+  (SELECT count(*) FROM (SELECT DISTINCT CAST(dt AS DATE) FROM story)) AS num_days FROM story"""))
+def story_outputs(spark, sf):
+    """A run of one story; its metadata, playlist, totals and daily frame are read back."""
+    analysis = Analysis(archives=[], output=scratch_path(spark, "stories"), stories=[STORY])
+    folder = run_stories(analysis, clipd(spark, sf), fx.calendar(spark), devices=fx.PIVOT_DEVICES)[STORY.name]
+    written = src.read_catalog_csv(spark, f"{folder}/metadata")[0]
+    lines = src.read_playlist(spark, f"{folder}/playlist").select(F.col("value").alias("full_path"), F.lit(True).alias("_in")).distinct()
+    totals = spark.read.json(f"{folder}/statistics").first()
+    days = spark.read.option("header", True).csv(f"{folder}/daily-activity").count()
+    out = written.join(lines, "full_path", "left").select("filename", "dt", "device", F.coalesce("_in", F.lit(False)).alias("listed"))
+    return out.select("*", F.lit(totals.num_videos).alias("num_videos"), F.lit(days).cast("bigint").alias("num_days"))

@@ -198,3 +198,17 @@ def parse_crop_name(spark, sf):
 @query("embedding_id", with_ctes("people", "SELECT ord, concat_ws('_', video_filename, frame_number, track_id) AS embedding_id FROM people"))
 def embedding_id(spark, sf):
     return fx.people(spark, sf).select("ord", F.concat_ws("_", "video_filename", "frame_number", "track_id").alias("embedding_id"))
+
+
+MORE = "SELECT * REPLACE (confidence + CAST({more} AS DOUBLE) AS confidence), {side} AS side FROM tags WHERE track_id % {step} = 0"
+DATABASE = f"""WITH b AS ({MORE.format(more=0, side=0, step=1)} UNION ALL {MORE.format(more=0.25, side=1, step=2)} UNION ALL {MORE.format(more=0.5, side=2, step=3)}),
+  merged AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY filename, frame_number, {HASH} ORDER BY side DESC, ord DESC) AS rn FROM b) WHERE rn = 1),
+  {NMS_SQL.format(thr=0.8).replace('tags', 'merged')}, {CAT} SELECT ord, {ROW_SQL} FROM merged WHERE ord IN (SELECT ord FROM win) AND filename IN (SELECT filename FROM cat)"""
+
+
+@query("tag_database", with_ctes("tags", DATABASE))
+def tag_database(spark, sf):
+    """Three tag files, each with some of the earlier one's tags at another confidence."""
+    tags = fx.tags(spark, sf)
+    sides = [tags.filter(F.col("track_id") % step == 0).withColumn("confidence", F.col("confidence") + more) for step, more in ((1, 0.0), (2, 0.25), (3, 0.5))]
+    return ops.tag_database(sides, tag_clips(spark, sf)).select("ord", *ROW)
