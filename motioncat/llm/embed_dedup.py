@@ -7,7 +7,7 @@ both halves' inner products are sorted, and a pair is expanded only while the su
 exceed the height, so that the cost follows the list, not the number of filters. Two vectors
 with cosine c exceed the same filter far more often than two unrelated ones; height and code
 size follow from the number of vectors so that a filter holds about ``CAP_ROWS`` unrelated
-vectors and a pair at the limit shares about ``EXPECTED_SHARED`` filters.
+vectors and ``SHARE`` of pairs at the very limit share a filter; closer pairs share more.
 
 Join. Rows meet by filter and every pair is verified with double-precision cosines. A pair
 counts only under the first filter that both have. Equal vectors are combined before and
@@ -33,10 +33,9 @@ from pyspark.sql import functions as F
 from motioncat.llm.common import component_of, links_to_labels, materialize
 
 MIN_COSINE = 0.9
-CAP_ROWS = 48
-EXPECTED_SHARED = 12.0
+CAP_ROWS = 256
+SHARE = 0.95
 PART_ROWS = 2048
-FEW_COMPONENTS = 24
 SEED = 17
 
 
@@ -90,55 +89,55 @@ class CapFilters:
 def plan_filters(rows: int, size: int, cosine: float = MIN_COSINE) -> tuple[float, int]:
     """Cap height, in standard deviations of a random direction, and code size of each half.
 
-    In few dimensions inner products are far from normal; there the caps are wide, and the code
-    grows until nearly all of a fixed set of pairs at the limit share a filter.
+    The height follows from the number of rows. The code starts at what independent normal
+    products would need, and grows until ``SHARE`` of a fixed set of pairs at the limit have a
+    filter in common: the directions of a product code are not independent, and in few
+    dimensions inner products are far from normal.
     """
-    height = 2.0
+    height = 1.5
     while rows * _tail(height) > CAP_ROWS and height < 5.5:
         height += 0.05
-    if size >= FEW_COMPONENTS:
-        height = min(height, 0.75 * math.sqrt(size))
-        return height, max(4, math.ceil(math.sqrt(EXPECTED_SHARED / _shared_tail(height, cosine))))
     height = min(height, 0.5 * math.sqrt(size))
     rng = np.random.default_rng(SEED + 1)
-    x = rng.standard_normal((1000, size))
+    x = rng.standard_normal((500, size))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.standard_normal(x.shape)
     z -= (z * x).sum(axis=1, keepdims=True) * x
     y = cosine * x + math.sqrt(1 - cosine**2) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    code = 8
-    while code < 64:
+    first = code = max(6, math.ceil(math.sqrt(3 / _shared_tail(height, cosine))))
+    while True:
         filters = CapFilters(size, height, code)
         (rx, fx), (ry, fy) = filters.decode(x), filters.decode(y)
         both = np.intersect1d(rx * code**2 + fx, ry * code**2 + fy) // code**2
-        if len(np.unique(both)) >= 0.998 * len(x):
-            break
-        code *= 2
-    return height, code
+        if len(np.unique(both)) >= SHARE * len(x) or code > 6 * first:
+            return height, code
+        code = math.ceil(code * 1.15)
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that no square overflows or vanishes."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
 
 
 def _distinct(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
-    """(code, copies, first key, unit vector) of distinct usable vectors; (key, code) of every row, null if unusable."""
+    """(code, copies, first key, vector) of distinct usable vectors; (key, code) of every row, null if unusable."""
     good = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
     rows = vectors.select(F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("_v")).withColumn("_ok", F.coalesce(good, F.lit(False)))
-    top = F.array_max(F.transform("_v", F.abs))
-    scaled = F.transform("_v", lambda x: x / top)  # so that no square overflows or vanishes
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
     marked = rows.withColumn("code", F.when(F.col("_ok"), F.struct(F.xxhash64("_v").alias("a"), F.xxhash64(F.reverse("_v"), F.size("_v")).alias("b"))))
     members = materialize(marked.select("key", "code"), "members")
-    units = marked.filter("_ok").select("code", "key", F.transform(scaled, lambda x: x / length).alias("unit"))
-    reps = units.groupBy("code").agg(F.min("key").alias("first"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    reps = marked.filter("_ok").groupBy("code").agg(F.min("key").alias("first"), F.count("*").alias("copies"), F.first("_v").alias("vector"))
     return materialize(reps, "vectors"), members
 
 
 def link_vectors(reps: DataFrame, cosine: float = MIN_COSINE, part_rows: int = PART_ROWS) -> DataFrame:
-    """(a, b, links) from ``reps`` (code, copies, unit): a's links found in a task, and a link to b, or null."""
-    sizes = [r[0] for r in reps.select(F.size("unit")).distinct().limit(65).collect()]
+    """(a, b, links) from ``reps`` (code, copies, vector): a's links found in a task, and a link to b, or null."""
+    sizes = [r[0] for r in reps.select(F.size("vector")).distinct().limit(65).collect()]
     if len(sizes) > 64:
         raise ValueError("vectors of more than 64 different lengths")
     filed = None
     for size in sizes:
-        own = reps.filter(F.size("unit") == size)
+        own = reps.filter(F.size("vector") == size)
         height, code = plan_filters(own.count(), size, cosine)
 
         def file(batches: Iterator[pd.DataFrame], size: int = size, height: float = height, code: int = code) -> Iterator[pd.DataFrame]:
@@ -146,11 +145,12 @@ def link_vectors(reps: DataFrame, cosine: float = MIN_COSINE, part_rows: int = P
             for pdf in batches:
                 for i in range(0, len(pdf), 1024):
                     part = pdf.iloc[i : i + 1024]
-                    row, found = filters.decode(np.stack(part["unit"].to_numpy()))
+                    units = _units(np.stack(part["vector"].to_numpy()))
+                    row, found = filters.decode(units)
                     starts = np.searchsorted(row, np.arange(len(part) + 1))
-                    yield pd.DataFrame({"a": part["a"], "b": part["b"], "copies": part["copies"], "size": size, "filters": [found[s:e] for s, e in zip(starts, starts[1:])], "unit": part["unit"]})
+                    yield pd.DataFrame({"a": part["a"], "b": part["b"], "copies": part["copies"], "size": size, "filters": [found[s:e].astype(np.int32) for s, e in zip(starts, starts[1:])], "unit": list(units)})
 
-        rows = own.select("code.a", "code.b", "copies", "unit").mapInPandas(file, "a long, b long, copies long, size int, filters array<long>, unit array<double>")
+        rows = own.select("code.a", "code.b", "copies", "vector").mapInPandas(file, "a long, b long, copies long, size int, filters array<int>, unit array<double>")
         filed = rows if filed is None else filed.unionByName(rows)
     if filed is None:
         return reps.sparkSession.createDataFrame([], "a struct<a:long,b:long>, b struct<a:long,b:long>, links long")
