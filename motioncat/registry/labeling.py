@@ -158,11 +158,11 @@ def auto_label_summary(spark, sf):
     return lb.auto_label_summary(lb.auto_label(people, lb.person_profiles(people)))
 
 
-@query("pair_classifier")
+@query("pair_classifier", with_ctes("people", "SELECT p.ord, p.vec_id = q.vec_id AS same FROM people p JOIN people q ON q.ord = p.ord + 1"))
 def pair_classifier(spark, sf):
-    """Learned similarity of neighbouring rows, fitted on all positive and the listed negative pairs."""
+    """Verdicts on neighbouring rows, fitted on all positive and the listed negative pairs, which are separable here."""
     people = fx.people(spark, sf).withColumnRenamed("vec_id", "mega_id")
-    return lb.classify_neighbours(people, lb.fit_pair_model(people))
+    return lb.classify_neighbours(people, lb.fit_pair_model(people)).select("ord", "same")
 
 
 # ---- crops ----
