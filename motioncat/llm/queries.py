@@ -19,6 +19,20 @@ def query(fn: Query) -> Query:
     return fn
 
 
+ORACLE["op6_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
+ORACLE["op7_embed_dedup"] = """
+WITH RECURSIVE p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+  near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+  walk AS (SELECT vec_id AS root, vec_id AS id FROM p UNION SELECT w.root, n.b FROM walk w JOIN near n ON n.a = w.id),
+  c AS (SELECT id, min(root) AS component_id FROM walk GROUP BY id), k AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT p.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, c.component_id, p.vec_id = c.component_id AS kept
+FROM p JOIN c ON c.id = p.vec_id LEFT JOIN k ON k.a = p.vec_id"""
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
