@@ -215,6 +215,9 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: i
     groups = near_duplicates(docs, key, text, bits)
     firsts = groups.filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("_rows"))
     firsts = materialize(firsts, "firsts")
-    single = docs.join(firsts.filter("_rows = 1").select(key), key, "left_semi")
-    repeated = docs.join(firsts.filter("_rows > 1").select(key), key, "left_semi").dropDuplicates([key])
-    return single.unionByName(repeated).unionByName(docs.filter(F.col(key).isNull()))
+    # Joined by shuffle at every size: the ids grow with the documents, so they are never broadcast.
+    out = docs.join(firsts.filter("_rows = 1").select(key).hint("merge"), key, "left_semi")
+    more = firsts.filter("_rows > 1").select(key)
+    if not more.isEmpty():
+        out = out.unionByName(docs.join(more, key, "left_semi").dropDuplicates([key]))
+    return out.unionByName(docs.filter(F.col(key).isNull()))
