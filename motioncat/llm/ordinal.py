@@ -21,7 +21,7 @@ from motioncat.llm.common import lowest_hashes, texts_of
 
 BUCKETS = 1 << 20
 SAMPLE_DOCUMENTS = 5000
-CACHED_TOKENS = 400_000
+CACHED_TOKENS = 150_000
 LatentOf = Callable[[dict[int, float]], Callable[[str], float]]
 
 
