@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motioncat.llm import jaccard
 from motioncat.llm.common import component_of, links_to_labels, materialize, texts_of
 
 SHINGLE = 3
@@ -210,14 +211,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     return marked.join(found, "fingerprint").select(key, "fingerprint", "component_id")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = DIFFERENT_BITS) -> DataFrame:
-    """One row of each group stays: one with the group's smallest key; rows of a null key all stay."""
-    groups = near_duplicates(docs, key, text, bits)
-    firsts = groups.filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("_rows"))
-    firsts = materialize(firsts, "firsts")
-    # Joined by shuffle at every size: the ids grow with the documents, so they are never broadcast.
-    out = docs.join(firsts.filter("_rows = 1").select(key).hint("merge"), key, "left_semi")
-    more = firsts.filter("_rows > 1").select(key)
-    if not more.isEmpty():
-        out = out.unionByName(docs.join(more, key, "left_semi").dropDuplicates([key]))
-    return out.unionByName(docs.filter(F.col(key).isNull()))
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = jaccard.SHINGLE, similarity: float = jaccard.SIMILARITY) -> DataFrame:
+    """One row of each group of near-duplicates stays: one with the group's smallest key; rows of a null key all stay.
+
+    Groups are those over pairs of texts whose shingle sets have a Jaccard similarity of ``similarity``
+    or more (``jaccard``); fingerprints and their bits do not matter here.
+    """
+    sets = materialize(jaccard.sketches(docs, key, text, shingle), "sketches")
+    coarse = materialize(jaccard.coarse_groups(sets), "coarse")
+    # Joined by shuffle at every size: the prints grow with the documents, so they are never broadcast.
+    own = coarse.select(F.col("print").alias("_near_print"), "coarse").withColumnRenamed("coarse", "_near_coarse")
+    marked = materialize(jaccard.with_prints(docs, text, "_near_print", shingle).join(own.hint("merge"), "_near_print", "left"), "marked")
+    met = marked.filter(F.col("_near_coarse").isNotNull())
+    texts = met.groupBy(F.col("_near_coarse").alias("coarse"), F.col("_near_print").alias("print")).agg(F.first(text).alias("text"))
+    links = materialize(jaccard.near_sets(materialize(texts, "texts"), similarity, shingle), "near")
+    counts = sets.join(coarse.select("print"), "print").filter(F.col(key).isNotNull()).groupBy("print", F.col(key).alias("_first")).agg(F.count("*").alias("_rows"))
+    grouped = component_of(counts, "print", links)
+    least = grouped.groupBy("component").agg(F.min(F.struct("_first", "print", "_rows")).alias("_least")).select("_least.*")
+    firsts = materialize(least.select(F.col("print").alias("_near_print"), F.col("_first").alias("_near_first"), F.col("_rows").alias("_near_rows")), "firsts")
+    kept = met.join(firsts.hint("merge"), "_near_print").filter(F.col(key) == F.col("_near_first"))
+    out = marked.filter(F.col("_near_coarse").isNull()).select(*docs.columns)
+    out = out.unionByName(kept.filter("_near_rows = 1").select(*docs.columns))
+    out = out.unionByName(kept.filter("_near_rows > 1").dropDuplicates(["_near_print"]).select(*docs.columns))
+    return out.unionByName(met.filter(F.col(key).isNull()).select(*docs.columns))

@@ -5,13 +5,14 @@ import zlib
 from collections import Counter
 from random import Random
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from motioncat.llm import bpe_tree, embed_dedup, html_extract, ordinal, packing, pii, quality, simhash, token_counts, topk, toxicity
+from motioncat.llm import bpe_tree, embed_dedup, html_extract, jaccard, ordinal, packing, pii, quality, simhash, token_counts, topk, toxicity
 from motioncat.llm.bpe import library_encoder, vocabulary
 from motioncat.llm.common import links_to_labels
 from motioncat.llm.html_dom import decode, features, lines_of
@@ -264,3 +265,47 @@ def test_quality_and_toxicity_held_out(spark):
     assert good[good.quality == 1].kept.mean() > 0.97 and good[good.quality == 0].kept.mean() < 0.2
     bad = toxicity.rate_toxicity(held, toxicity.fit_toxicity(docs, toxicity.severities(first))).select("doc_id", F.col("toxic").alias("found")).join(rest, "doc_id").toPandas()
     assert bad[bad.toxic == 1].found.mean() > 0.75 and bad[bad.toxic == 0].found.mean() < 0.01
+
+
+def _near_sets(texts):
+    sets = []
+    for t in texts:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", t.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or (sets[i] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8)]
+    a, b = np.array(pairs, int).reshape(-1, 2).T
+    return links_to_labels(len(sets), a, b)
+
+
+def test_near_duplicate_stage_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id")
+    rows = docs.collect()
+    label = _near_sets([r["text"] for r in rows])
+    kept = corpus_pipeline.drop_copies(spark, docs, SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == [r["doc_id"] for i, r in enumerate(rows) if label[i] == i]
+
+
+def test_near_duplicates_of_edited_texts(spark, monkeypatch):
+    rng = Random(5)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([4, 9, 40, 300]))]
+        for _ in range(rng.randint(1, 12)):
+            own = list(words)
+            for _ in range(rng.randint(0, 1 + len(words) // 20)):
+                own[rng.randrange(len(own))] = f"w{rng.randrange(5000)}"
+            texts.append(" ".join(own))
+    label = _near_sets(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [jaccard.shingle_set(t) for t in texts]
+    assert len(np.unique(label)) < len(texts) - 20
+    firsts = {jaccard.set_print(s): i for i, s in reversed(list(enumerate(sets)))}
+    one = sorted(firsts.values())
+    found = jaccard.near_labels([sets[i] for i in one])
+    assert [label[i] for i in one] == [label[one[k]] for k in found]
+    assert len(set(found)) == len(set(label))
+    placed = spark.createDataFrame([(0, jaccard.set_print(sets[i]), texts[i]) for i in one], "coarse long, print long, text string")
+    links = [(firsts[r["a"]], firsts[r["b"]]) for r in jaccard.near_sets(placed, part_chars=20000).collect()]
+    a, b = np.array(links).T
+    assert (links_to_labels(len(texts), a, b)[one] == label[one]).all()
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == np.unique(label).tolist()
