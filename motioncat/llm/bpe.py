@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -12,6 +13,7 @@ import regex
 import tiktoken
 
 RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 PATTERN = regex.compile(public_tokenizers.PATTERN.replace(r"^\s", r"^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 EncodeText = Callable[[str], np.ndarray]
@@ -35,7 +37,17 @@ def vocabulary(path: str | None = None) -> Vocabulary:
     return Vocabulary(path or public_tokenizers.path(RANKS))
 
 
-def library_encoder(path: str | None = None) -> EncodeText:
-    """Ids of a text by the tiktoken library."""
-    library = tiktoken.Encoding("text", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary(path).ranks, special_tokens={})
+@lru_cache(maxsize=1)
+def added_tokens() -> dict[str, int]:
+    """Ids of the tokens that the tokenizers library cuts out of a text before all else."""
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as held:
+        return {t["content"]: t["id"] for t in json.load(held)["added_tokens"]}
+
+
+def library_encoder(path: str | None = None, added: bool = False) -> EncodeText:
+    """Ids of a text by the tiktoken library; with ``added`` those of the tokenizers library, which knows added tokens."""
+    special = added_tokens() if added else {}
+    library = tiktoken.Encoding("text", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary(path).ranks, special_tokens=special)
+    if added:
+        return lambda text: np.array(library.encode(text, allowed_special="all"), dtype="<u4")
     return lambda text: np.array(library.encode_ordinary(text), dtype="<u4")

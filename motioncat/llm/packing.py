@@ -1,6 +1,7 @@
 """Packing of tokenised documents into sequences by shortest-pack-first over the length histogram.
 
-A document's ids (those of its text, then one end id) are cut into pieces of ``size`` ids and
+A document's ids (those that the tokenizers library gives for its text without special tokens
+around it, in which a literal ``<|endoftext|>`` is one id, then one end id) are cut into pieces of ``size`` ids and
 one rest. The rests' lengths form a histogram of at most ``size`` bins. Lengths are placed
 longest first; a length goes to the open patterns (kinds of packs) with the fewest ids so far,
 which splits a pattern's count where only some of its packs get the new piece. The patterns,
@@ -92,7 +93,7 @@ def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     extra = ", ids binary" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, part = library_encoder(path), Counter(), TaskContext.get().partitionId()
+        encode, seen, part = library_encoder(path, added=True), Counter(), TaskContext.get().partitionId()
         end = np.array([END_ID], "<u4")
         for batch in batches:
             texts = texts_of(batch.column(1))

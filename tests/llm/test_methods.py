@@ -9,6 +9,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import tiktoken
+import tokenizers
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,6 +76,17 @@ def test_packing_against_the_tokenizer(spark):
     assert padding <= 0.02 * sum(r["length"] for r in rows)
 
 
+def test_packing_knows_added_tokens(spark):
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x \n\n<|endoftext|>\n y  <|endoftext|>  z", "<|endoftext| <|ENDOFTEXT|>", "it's \x1c\x85 \u3000é 日本", "", "w <|endoftext|> " * 900]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    for i, text in enumerate(texts):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        pieces = sorted((r["start"], bytes(r["ids"])) for r in rows if r["doc_id"] == i)
+        assert np.frombuffer(b"".join(p for _, p in pieces), "<u4").tolist() == ids
+        assert {r["doc_tokens"] for r in rows if r["doc_id"] == i} == {len(ids)}
+
+
 def test_token_attribution_by_characters():
     rng = Random(8)
     encode, sizes = library_encoder(), vocabulary().sizes
