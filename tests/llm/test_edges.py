@@ -85,6 +85,13 @@ def test_keep_first_keeps_null_ids_and_columns(docs):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 4, 5, 7, 8, None, None]
 
 
+def test_keep_first_decides_by_row(spark):
+    one, two, three = ("red green blue white black grey", "the quick brown fox jumps over", "some other words that stand alone")
+    copies = [(1, one), (2, one), (2, two), (3, two), (3, three), (4, three), (5, "first of two"), (6, "first of two"), (5, "second of two"), (7, "second of two")]
+    kept = simhash.keep_first(spark.createDataFrame(copies, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == [(1, one), (2, two), (3, three), (5, "first of two"), (5, "second of two")]
+
+
 def test_redaction_takes_effect(docs, tagger):
     rows = {r["doc_id"]: r for r in pii.redact_personal_data(docs, tagger=tagger).collect()}
     assert rows[5]["text"] == "mail me at <email> or <phone>" and rows[2]["text"] is None and rows[4]["text"] == LONG
