@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,17 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def byte_slices(column: pa.ChunkedArray | pa.Array, budget: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(start, end, UTF-8 texts) of consecutive rows that hold about ``budget`` bytes; a null counts as empty.
+
+    Lengths are read from the Arrow column, so only one slice at a time becomes Python objects.
+    """
+    raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    lengths = pc.fill_null(pc.binary_length(raw), 0)
+    for start, end in slices(lengths.to_numpy(zero_copy_only=False).tolist(), budget):
+        yield start, end, [b"" if t is None else t for t in raw[start:end].to_pylist()]
+
+
 def links_to_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least member of each item's component, for links a[i]-b[i] among ``n`` items."""
     label = np.arange(n)
@@ -62,4 +74,4 @@ def component_of(nodes: DataFrame, node: str, edges: DataFrame) -> DataFrame:
     return out.withColumn("component", F.coalesce("_component", node)).drop("_component")
 
 
-__all__ = ["component_of", "links_to_labels", "lowest_hashes", "materialize", "slices", "texts_of"]
+__all__ = ["byte_slices", "component_of", "links_to_labels", "lowest_hashes", "materialize", "slices", "texts_of"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motioncat.llm import bpe_tree, embed_dedup, html_extract, packing, pii, quality, simhash, token_counts, topk, toxicity
+from motioncat.llm import bpe_tree, embed_dedup, frames, html_extract, packing, pair_index, pii, quality, resample, simhash, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,35 @@ WITH RECURSIVE p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x A
 SELECT p.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, c.component_id, p.vec_id = c.component_id AS kept
 FROM p JOIN c ON c.id = p.vec_id LEFT JOIN k ON k.a = p.vec_id"""
 
+ORACLE["op11_fill_in_middle"] = """
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || doc_id) AS h FROM documents),
+  d AS (SELECT *, len(units) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS hs FROM u),
+  f AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR hs[3] % 100 >= 90 THEN 'plain' WHEN hs[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+  p AS (SELECT *, array_to_string(units[:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(CASE WHEN form = 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256 FROM p"""
+
+ORACLE["op12_resample"] = """
+WITH w AS (SELECT 0 AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+    UNION ALL SELECT 1, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+  f AS (SELECT side, id, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM w),
+  k AS (SELECT side, id, feature, count(*) AS n FROM f GROUP BY ALL),
+  step AS (SELECT list(list_reduce(range(0, 9), lambda c, i: CASE WHEN i = 0 THEN c WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, byte) ORDER BY byte) AS t FROM range(0, 256) r(byte)),
+  x AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM k)),
+  b AS (SELECT feature, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+    lambda c, byte: xor(t[xor(c & 255, byte) + 1], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket FROM x, step),
+  kb AS (SELECT k.side, k.id, k.n, b.bucket FROM k JOIN b USING (feature)),
+  c AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t FROM kb GROUP BY bucket),
+  z AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM c),
+  g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM c, z),
+  m AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS weight FROM kb JOIN g USING (bucket) WHERE side = 0 GROUP BY id),
+  d AS (SELECT w.id AS doc_id, len(words) >= 20 AS long_enough, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || w.id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN m USING (id) WHERE side = 0),
+  r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM d WHERE long_enough)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * r.n // 100 THEN place END AS rank FROM d LEFT JOIN r USING (doc_id)"""
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -112,3 +141,25 @@ def op10_bpe_tree(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    moved = frames.fill_in_middle(frames.store_frames(table(spark, sf, "documents")))
+    return frames.restore_texts(moved, keep=("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"))
+
+
+@query
+def op12_resample(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op13_pair_index(spark: SparkSession, sf: str) -> DataFrame:
+    coded = pair_index.encode_texts(table(spark, sf, "documents"), decode=True)
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
