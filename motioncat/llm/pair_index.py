@@ -31,7 +31,7 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -43,9 +43,10 @@ from motioncat.llm.common import byte_slices
 
 TOKENIZER = "word_bpe_49k.json"
 BORDER = (1 << 16) - 1
-SLICE_BYTES = 2_000_000
-CACHED_CHUNKS = 200_000
+SLICE_BYTES = 4_000_000
+CACHED_CHUNKS = 300_000
 LONGEST_CACHED = 64
+MANY_PLACES = 48
 # The words of a lower-case ASCII chunk by the pattern in the file.
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 # Unicode's white space. str.split would also cut at the separators U+001C to U+001F.
@@ -66,6 +67,7 @@ class WordVocabulary:
         self.strings = [b""] * (1 + max([*ids.values(), *self.added.values()]))
         for token, i in [*ids.items(), *self.added.items()]:
             self.strings[i] = token.encode()
+        self.gaps = b"" in self.strings
         self.ranks: dict[int, int] = {}
         self.merges: list[tuple[int, int, int]] = []
         made: dict[int, int] = {}
@@ -77,6 +79,9 @@ class WordVocabulary:
             self.ranks[left << 16 | right] = rank
             self.merges.append((left, right, whole))
         letters = byte_letters()
+        pairs = np.array(self.merges, np.int64).reshape(-1, 3)[:, :2]
+        self._partners = [(order, np.searchsorted(pairs[order, side], np.arange(BORDER + 2)), pairs[order, 1 - side]) for side in (0, 1) for order in [np.argsort(pairs[:, side], kind="stable")]]
+        self._lookup = np.full(BORDER + 1, -1, np.int32)
         self.inner = np.array([ids[c] for c in letters], np.int32)
         self.last = np.array([ids[c + end] for c in letters], np.int32)
         self.first_ranks = np.full((256, 2, 256, 2), -1, np.int32)  # of pairs of bytes, each within a word or ending it
@@ -85,6 +90,22 @@ class WordVocabulary:
             if a in single and b in single:
                 self.first_ranks[(*single[a], *single[b])] = rank
 
+    def ranks_after(self, token: int, others: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs of ``token`` and each of ``others`` after it; -1 for none."""
+        return self._ranks(0, token, others)
+
+    def ranks_before(self, token: int, others: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs of each of ``others`` and ``token`` after it; -1 for none."""
+        return self._ranks(1, token, others)
+
+    def _ranks(self, side: int, token: int, others: np.ndarray) -> np.ndarray:
+        ranks, starts, partners = self._partners[side]
+        held = slice(starts[token], starts[token + 1])
+        self._lookup[partners[held]] = ranks[held]
+        found = self._lookup[others]
+        self._lookup[partners[held]] = -1
+        return found
+
 
 def byte_letters() -> list[str]:
     """The character that stands for each byte: printable Latin-1 for itself, the rest from U+0100 on."""
@@ -98,35 +119,77 @@ def word_vocabulary(path: str | None = None) -> WordVocabulary:
     return WordVocabulary(path or public_tokenizers.path(TOKENIZER))
 
 
-def merge_words(words: list[bytes], vocab: WordVocabulary) -> list[bytes]:
-    """Ids of every word (UTF-8, not empty) as little-endian 32-bit bytes, by one pair occurrence index over all of them."""
-    if not words:
-        return []
-    raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    ends = np.cumsum([len(w) + 1 for w in words])  # places of the borders after each word
-    border = np.zeros(len(raw), bool)
-    border[0] = True
-    border[ends] = True
-    last = np.append(border[1:], True)
-    symbols = np.where(border, BORDER, np.where(last, vocab.last[raw], vocab.inner[raw]))
-    ranks = vocab.first_ranks[raw[:-1], 0, raw[1:], last[1:].astype(np.int8)]
-    ranks[border[:-1] | border[1:]] = -1
-    places = np.flatnonzero(ranks >= 0)
-    places = places[np.argsort(ranks[places], kind="stable")]
-    active, starts = np.unique(ranks[places], return_index=True)
-    index: defaultdict[int, list[int]] = defaultdict(list)
-    for rank, at in zip(active.tolist(), np.split(places, starts[1:])):
-        index[rank] = at.tolist()
-    symbol = symbols.tolist()
-    following, before = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1))
-    heap, rank_of = active.tolist(), vocab.ranks.get
-    heapify(heap)
-    while heap:
-        rank = heappop(heap)
-        left, right, whole = vocab.merges[rank]
-        found = index.pop(rank)
+class PairIndex:
+    """Symbols of words laid out with borders between them, and the places of every pair that has a rank.
+
+    ``symbol`` is -1 where a symbol has gone into its left neighbour; ``following`` and ``before``
+    lead to the neighbours that are left. Long lists of places are merged by arrays, short ones
+    one by one.
+    """
+
+    def __init__(self, words: list[bytes], vocab: WordVocabulary) -> None:
+        self.vocab = vocab
+        raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+        self.ends = np.cumsum([len(w) + 1 for w in words])  # places of the borders after each word
+        self.border = np.zeros(len(raw), bool)
+        self.border[0] = True
+        self.border[self.ends] = True
+        last = np.append(self.border[1:], True)
+        self.symbol = np.where(self.border, BORDER, np.where(last, vocab.last[raw], vocab.inner[raw])).astype(np.int32)
+        self.following = np.arange(1, len(raw) + 1, dtype=np.int32)
+        self.before = np.arange(-1, len(raw) - 1, dtype=np.int32)
+        self.arrays: defaultdict[int, list[np.ndarray]] = defaultdict(list)
+        self.single: defaultdict[int, list[int]] = defaultdict(list)
+        self.heap: list[int] = []
+        ranks = vocab.first_ranks[raw[:-1], 0, raw[1:], last[1:].astype(np.int8)]
+        ranks[self.border[:-1] | self.border[1:]] = -1
+        self._note(np.arange(len(ranks), dtype=np.int32), ranks)
+
+    def _note(self, places: np.ndarray, ranks: np.ndarray) -> None:
+        """Add ``places`` to the lists of their pairs' ``ranks``; -1 stands for no rank."""
+        there = np.flatnonzero(ranks >= 0)
+        there = there[np.argsort(ranks[there], kind="stable")]
+        active, starts = np.unique(ranks[there], return_index=True)
+        for rank, found in zip(active.tolist(), np.split(places[there], starts[1:])):
+            if rank not in self.arrays and rank not in self.single:
+                heappush(self.heap, rank)
+            self.arrays[rank].append(found)
+
+    def merge_all(self) -> None:
+        """Apply active ranks in ascending order until no list is left."""
+        while self.heap:
+            rank = heappop(self.heap)
+            arrays, single = self.arrays.pop(rank, []), self.single.pop(rank, [])
+            if len(single) + sum(map(len, arrays)) >= MANY_PLACES:
+                self._merge_many(rank, np.unique(np.concatenate([*arrays, np.array(single, np.int32)])))
+            else:
+                self._merge_few(rank, [*single, *(p for a in arrays for p in a.tolist())])
+
+    def _merge_many(self, rank: int, found: np.ndarray) -> None:
+        left, right, whole = self.vocab.merges[rank]
+        symbol, following, before = self.symbol, self.following, self.before
+        found = found[symbol[found] == left]
+        gone = following[found]
+        there = symbol[gone] == right
+        found, gone = found[there], gone[there]
+        if left == right and len(found):  # of overlapping pairs every other one is merged, from the left
+            nth = np.arange(len(found))
+            first = np.concatenate([[True], found[1:] != gone[:-1]])
+            chosen = (nth - np.maximum.accumulate(np.where(first, nth, 0))) % 2 == 0
+            found, gone = found[chosen], gone[chosen]
+        after = following[gone]
+        symbol[found], symbol[gone] = whole, -1
+        following[found], before[after] = after, found
+        ahead = before[found]
+        self._note(ahead, self.vocab.ranks_before(whole, symbol[ahead]))
+        self._note(found, self.vocab.ranks_after(whole, symbol[after]))
+
+    def _merge_few(self, rank: int, found: list[int]) -> None:
+        left, right, whole = self.vocab.merges[rank]
+        symbol, following, before = map(memoryview, (self.symbol, self.following, self.before))
+        rank_of, arrays, single = self.vocab.ranks.get, self.arrays, self.single
         if left == right:
-            found.sort()  # of overlapping pairs the leftmost is merged
+            found.sort()
         for at in found:
             if symbol[at] != left:
                 continue
@@ -139,14 +202,25 @@ def merge_words(words: list[bytes], vocab: WordVocabulary) -> list[bytes]:
             for place, pair in ((ahead, symbol[ahead] << 16 | whole), (at, whole << 16 | symbol[after])):
                 new = rank_of(pair)
                 if new is not None:
-                    if new not in index:
-                        heappush(heap, new)
-                    index[new].append(place)
-    final = np.array(symbol, np.int64)
-    kept = (final >= 0) & ~border
-    bounds = 4 * np.concatenate([[0], np.cumsum(kept)[ends]])
-    ids = final[kept].astype("<u4").tobytes()
-    return [ids[i:j] for i, j in zip(bounds.tolist(), bounds[1:].tolist())]
+                    if new not in single and new not in arrays:
+                        heappush(self.heap, new)
+                    single[new].append(place)
+
+    def ids(self) -> list[bytes]:
+        """What is left of every word, as little-endian 32-bit bytes."""
+        kept = (self.symbol >= 0) & ~self.border
+        bounds = 4 * np.concatenate([[0], np.cumsum(kept)[self.ends]])
+        ids = self.symbol[kept].astype("<u4").tobytes()
+        return [ids[i:j] for i, j in zip(bounds.tolist(), bounds[1:].tolist())]
+
+
+def merge_words(words: list[bytes], vocab: WordVocabulary) -> list[bytes]:
+    """Ids of every word (UTF-8, not empty) as little-endian 32-bit bytes, by one pair occurrence index over all of them."""
+    if not words:
+        return []
+    index = PairIndex(words, vocab)
+    index.merge_all()
+    return index.ids()
 
 
 class IndexEncoder:
@@ -159,6 +233,7 @@ class IndexEncoder:
         self.bytes_of = {c: b for b, c in enumerate(byte_letters())}
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(self.vocab.added, key=len, reverse=True))) + ")") if self.vocab.added else None
         self.known: dict[str, bytes] = {}
+        self.merged: dict[bytes | int, bytes] = {}
 
     def _words(self, chunk: str) -> list[bytes]:
         if chunk.isascii():
@@ -177,27 +252,32 @@ class IndexEncoder:
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian 32-bit bytes."""
         chunked = [NOT_SPACE.findall(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        known = self.known
+        for cache in (self.known, self.merged):
+            if len(cache) > CACHED_CHUNKS:
+                cache.clear()
+        known, merged = self.known, self.merged
         fresh = list(dict.fromkeys(c for chunks in chunked for c in chunks if c not in known))
         parts = [self._parts(c) for c in fresh]
-        words = list(dict.fromkeys(p for found in parts for p in found if isinstance(p, bytes)))
-        merged: dict[bytes | int, bytes] = dict(zip(words, merge_words(words, self.vocab)))
+        words = list(dict.fromkeys(p for found in parts for p in found if p not in merged and isinstance(p, bytes)))
+        merged.update(zip(words, merge_words(words, self.vocab)))
         merged.update((i, i.to_bytes(4, "little")) for i in self.vocab.added.values())
         known.update((c, b"".join([merged[p] for p in found])) for c, found in zip(fresh, parts))
         out = [b"".join([known[c] for c in chunks]) for chunks in chunked]
         for chunk in fresh:
             if len(chunk) > LONGEST_CACHED:
                 del known[chunk]
+        for word in words:
+            if len(word) > LONGEST_CACHED:
+                del merged[word]
         return out
 
 
 def decode_ids(ids: bytes, vocab: WordVocabulary) -> bytes:
     """UTF-8 of the text that little-endian 32-bit ``ids`` decode to; ids without a token have no part in it."""
-    found = array("I", ids)
-    strings = vocab.strings
-    return b" ".join([strings[i] for i in found if i < len(strings) and strings[i]])
+    found, strings = array("I", ids), vocab.strings
+    if found and (max(found) >= len(strings) or vocab.gaps):
+        return b" ".join([strings[i] for i in found if i < len(strings) and strings[i]])
+    return b" ".join(map(strings.__getitem__, found))
 
 
 def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, decode: bool = False) -> DataFrame:
