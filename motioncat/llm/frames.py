@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from motioncat.llm.common import byte_slices, slices
 
 FRAME_BYTES = 32_768
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 LEVEL = 1
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 MARKS = (PREFIX, SUFFIX, MIDDLE)
@@ -59,6 +60,12 @@ def unit_starts(data: bytes, joined: bool) -> tuple[np.ndarray, np.ndarray]:
     return points, points & ~(letters & after_letter)
 
 
+@lru_cache(maxsize=1)
+def codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One compressor and decompressor per process; their working memory is larger than most texts."""
+    return zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+
+
 class Frames:
     """The frames of one text, to be appended to and read from any byte on."""
 
@@ -66,7 +73,6 @@ class Frames:
         self.rows, self.size, self.rest = list(rows), size, b""
         self.units = self.chars = self.bytes = 0
         self.joined = False
-        self.packer, self.unpacker = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
 
     def append(self, data: bytes) -> None:
         self.rest += data
@@ -87,14 +93,14 @@ class Frames:
 
     def _add(self, data: bytes) -> None:
         points, units = unit_starts(data, self.joined)
-        self.rows.append({"units": self.units, "chars": self.chars, "bytes": self.bytes, "joined": self.joined, "data": self.packer.compress(data)})
+        self.rows.append({"units": self.units, "chars": self.chars, "bytes": self.bytes, "joined": self.joined, "data": codec()[0].compress(data)})
         self.units += int(np.count_nonzero(units))
         self.chars += int(np.count_nonzero(points))
         self.bytes += len(data)
         self.joined = data[-1:].isalpha()
 
     def plain(self, k: int) -> bytes:
-        return self.unpacker.decompress(self.rows[k]["data"])
+        return codec()[1].decompress(self.rows[k]["data"])
 
     def place(self, units: int, total: Place, n: int) -> Place:
         """Where the first ``units`` of all ``n`` end, which is where the next one starts."""
