@@ -134,7 +134,7 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op10_bpe_tree(spark: SparkSession, sf: str) -> DataFrame:
-    coded = bpe_tree.decode_texts(bpe_tree.encode_texts(table(spark, sf, "documents")))
+    coded = bpe_tree.encode_texts(table(spark, sf, "documents"), decode=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
