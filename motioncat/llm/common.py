@@ -30,11 +30,14 @@ def lowest_hashes(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """The ``limit`` rows whose ``key`` hashes lowest.
 
     In a large table only rows below a hash that about twice as many pass are looked at, so
-    that a task hands on its share of them and not ``limit`` rows of its own.
+    that a task hands on its share of them and not ``limit`` rows of its own. Where too few rows
+    pass, since keys repeat, all are looked at; the rows chosen are the same.
     """
     n = rows.count()
     if n > 4 * limit:
-        rows = rows.filter(F.xxhash64(key) < -(1 << 63) + (2 * limit + 100) * (1 << 64) // n)
+        below = rows.filter(F.xxhash64(key) < -(1 << 63) + (2 * limit + 100) * (1 << 64) // n)
+        if below.count() >= limit:
+            rows = below
     return rows.orderBy(F.xxhash64(key), key).limit(limit)
 
 

@@ -128,8 +128,9 @@ def sample_features(docs: DataFrame, rated: DataFrame, vector: Callable[[str], t
                 names=["key", "grade", "buckets", "values"],
             )
 
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(key, text, "grade")  # at most ``limit`` ids
-    rows = rows.mapInArrow(run, f"`{key}` {kind}, grade int, buckets array<long>, values array<float>").dropDuplicates([key])
+    rows = docs.select(key, text).join(F.broadcast(chosen), key)  # at most ``limit`` ids
+    rows = rows.groupBy(key).agg(F.min(text).alias(text), F.first("grade").alias("grade"))  # the least text of a repeated id
+    rows = rows.mapInArrow(run, f"`{key}` {kind}, grade int, buckets array<long>, values array<float>")
     got = sorted(rows.collect(), key=lambda r: r[0])
     return [(np.array(r["buckets"], np.int64), np.array(r["values"], float)) for r in got], np.array([r["grade"] for r in got], int)
 
