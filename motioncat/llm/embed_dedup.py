@@ -132,29 +132,24 @@ def _distinct(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, Dat
 
 def link_vectors(reps: DataFrame, cosine: float = MIN_COSINE, part_rows: int = PART_ROWS) -> DataFrame:
     """(a, b, links) from ``reps`` (code, copies, vector): a's links found in a task, and a link to b, or null."""
-    sizes = [r[0] for r in reps.select(F.size("vector")).distinct().limit(65).collect()]
-    if len(sizes) > 64:
-        raise ValueError("vectors of more than 64 different lengths")
-    filed = None
-    for size in sizes:
-        own = reps.filter(F.size("vector") == size)
-        height, code = plan_filters(own.count(), size, cosine)
-
-        def file(batches: Iterator[pd.DataFrame], size: int = size, height: float = height, code: int = code) -> Iterator[pd.DataFrame]:
-            filters = CapFilters(size, height, code)
-            for pdf in batches:
-                for i in range(0, len(pdf), 1024):
-                    part = pdf.iloc[i : i + 1024]
+    counted = reps.groupBy(F.size("vector").alias("size")).count().collect()  # one row a length
+    plans = {size: plan_filters(n, size, cosine) for size, n in counted}
+
+    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filters = {}
+        for pdf in batches:
+            for size, same in pdf.groupby(pdf["vector"].map(len)):
+                for i in range(0, len(same), 1024):
+                    part = same.iloc[i : i + 1024]
                     units = _units(np.stack(part["vector"].to_numpy()))
-                    row, found = filters.decode(units)
+                    if size not in filters:
+                        filters[size] = CapFilters(size, *plans[size])
+                    row, found = filters[size].decode(units)
                     starts = np.searchsorted(row, np.arange(len(part) + 1))
                     yield pd.DataFrame({"a": part["a"], "b": part["b"], "copies": part["copies"], "size": size, "filters": [found[s:e].astype(np.int32) for s, e in zip(starts, starts[1:])], "unit": list(units)})
 
-        rows = own.select("code.a", "code.b", "copies", "vector").mapInPandas(file, "a long, b long, copies long, size int, filters array<int>, unit array<double>")
-        filed = rows if filed is None else filed.unionByName(rows)
-    if filed is None:
-        return reps.sparkSession.createDataFrame([], "a struct<a:long,b:long>, b struct<a:long,b:long>, links long")
-    filed = materialize(filed, "filed")
+    rows = reps.select("code.a", "code.b", "copies", "vector").mapInPandas(file, "a long, b long, copies long, size int, filters array<int>, unit array<double>")
+    filed = materialize(rows, "filed")
     keys = filed.select("size", "a", F.explode("filters").alias("filter"))
     # only filters with two rows or more matter; the large ones are cut
     shared = keys.groupBy("size", "filter").agg(F.count("*").alias("n")).filter("n > 1").select("size", "filter", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))

@@ -40,6 +40,8 @@ SAMPLE_ROWS = 16384
 PART_ROWS = 4096
 SEED_ROWS = 2048
 QUERY_ROWS = 1024
+# So many lengths at most get a directory of their own; the vectors of each further length are one ring.
+INDEXED_LENGTHS = 64
 SAFE = float(1 << 52)
 
 
@@ -110,7 +112,7 @@ def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
 def _search(plan: DataFrame, filed: DataFrame, k: int) -> DataFrame:
     """Each query's k best within every part of a ring that ``plan`` (ring, query_id, query_row, query) sends it to."""
     parts = filed.groupBy("ring").agg((F.max("part") + 1).alias("parts"))
-    sent = plan.join(F.broadcast(parts), "ring")  # at most MAX_PIVOTS * RINGS rings
+    sent = plan.join(parts, "ring")
     sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     sent = sent.withColumn("batch", F.floor(F.col("query_row") / QUERY_ROWS))
     batches = sent.select("ring", "part", "batch").distinct().toDF("ring", "part", "batch")
@@ -143,17 +145,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     usable = materialize(usable, "vectors")
     numbered = asked.withColumn("query_row", F.monotonically_increasing_id())
     asked = materialize(numbered, "queries")
-    sizes = usable.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("longest")).limit(65).collect()
-    if len(sizes) > 64:
-        raise ValueError("vectors of more than 64 different lengths")
-    out = vectors.sparkSession.createDataFrame([], "query_id long, query_row long, vec_id long, score long")
-    for size, n, longest in sorted(sizes):
+    lengths = usable.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("longest"))
+    lengths = materialize(lengths, "lengths")
+    sizes = lengths.orderBy(F.desc("n"), "size").limit(INDEXED_LENGTHS).collect()
+    indexed = [size for size, _, _ in sizes]
+    out = _by_length(usable.filter(~F.size("vector").isin(indexed)), asked.filter(~F.size("query").isin(indexed)), lengths, k)
+    for size, n, longest in sizes:
         own = usable.filter(F.size("vector") == size)
         out = out.unionByName(_top_k(own, asked.filter(F.size("query") == size), n, float(longest), k))
     best = F.row_number().over(_by_score())
     return out.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _by_length(vectors: DataFrame, queries: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+    """Search among the vectors of lengths that have no directory: all of one length are one ring."""
+    cut = lengths.select(F.col("size").alias("ring"), F.ceil(F.col("n") / PART_ROWS).alias("cut"))
+    filed = vectors.withColumn("ring", F.size("vector")).join(cut, "ring").withColumn("part", F.pmod(F.xxhash64("vec_id", "vector"), "cut").cast("int")).drop("cut")
+    return _search(queries.withColumn("ring", F.size("query")), materialize(filed, "rings"), k)
+
+
 def _by_score() -> WindowSpec:
     return Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
 
