@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -17,6 +18,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head script style template noscript title svg math object canvas audio video datalist".split())
+HEAD_TAGS = frozenset("html head base link meta noscript script style template title".split())
+FOREIGN = frozenset(["svg", "math"])  # of all elements that hold others, these can close themselves
 CLOSED_BY_BLOCK = frozenset(["p"])
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select body html".split())
@@ -76,9 +79,8 @@ class PageParser(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag == "body":  # a head that is left open ends here
-            while self.open.get("head"):
-                self._pop()
+        if tag not in HEAD_TAGS and (tag == "body" or self.stack[-1][0] == "head"):
+            self._end_head()
         if tag in BLOCKS:
             self._close_until(CLOSED_BY_BLOCK)
             self._close_until(CLOSED_BY_SAME.get(tag, frozenset()))
@@ -90,7 +92,7 @@ class PageParser(HTMLParser):
         at = self.stack[-1][1]
         if tag in BLOCKS:
             named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label", "itemprop"))
-            tokens = [f"<{tag}>", *(t.lower() for t in _TOKEN.findall(named[:400]))]
+            tokens = [f"<{tag}>", *(t.lower() for t in _TOKEN.findall(named))]
             self.blocks.append(Block(tag, at, self.blocks[at].depth + 1, tokens, start=self.length))
             self.blocks[at].children.append(len(self.blocks) - 1)
             at = len(self.blocks) - 1
@@ -99,8 +101,15 @@ class PageParser(HTMLParser):
         self.silent += tag in SILENT
         self.links += tag == "a"
 
+    def _end_head(self) -> None:
+        """Close a head that is left open."""
+        while self.open.get("head"):
+            self._pop()
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if tag in FOREIGN:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if self.open.get(tag):
@@ -111,6 +120,8 @@ class PageParser(HTMLParser):
             self._break()
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1][0] == "head" and not data.isspace():
+            self._end_head()
         if self.silent:
             return
         at = self.stack[-1][1]
@@ -152,13 +163,16 @@ def features(page: PageParser, odds: dict[str, float]) -> np.ndarray:
     page_total = max(1.0, total[0])
     out = np.zeros((n, FEATURES), np.float32)
     low, high, mean = np.zeros(n), np.zeros(n), np.zeros(n)
+    shares: list[Counter[str] | None] = [None] * n  # tags among a block's children
     for i, b in enumerate(blocks):
         found = [odds.get(t, 0.0) for t in b.tokens[1:]]
         low[i], high[i] = min(found, default=0.0), max(found, default=0.0)
         up = max(b.parent, 0)
         siblings = blocks[up].children if i else [0]
         place = _place(siblings, i)
-        same = sum(blocks[s].tag == b.tag for s in siblings[:64]) / min(len(siblings), 64)
+        if i and shares[up] is None:
+            shares[up] = Counter(blocks[s].tag for s in siblings)
+        same = shares[up][b.tag] / len(siblings) if i else 1.0
         before = siblings[place - 1] if place else -1
         after = siblings[place + 1] if place + 1 < len(siblings) else -1
         t = max(1.0, total[i])
