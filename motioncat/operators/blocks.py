@@ -2,7 +2,8 @@
 
 Unit vectors are assigned to the nearest of a few pivots (their cell). A vector can have
 a neighbour in another cell only if it lies within the search radius of the plane halfway
-between the two pivots, so it is sent along as a guest only to such cells. Cells are cut
+between the two pivots, so it is sent along as a guest only to such cells. Cells that hold
+many rows are divided once more in the same way, by pivots of their own. Cells are cut
 into blocks of bounded size; one task compares two blocks with one matrix product and
 returns only a reduced answer (a count, a minimum, a spanning forest) or the pairs found.
 """
@@ -14,13 +15,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motioncat.session import materialize, small_side
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 1024
+CANDIDATES = 4  # vectors looked at for each pivot wanted
+# A cell with more rows gets pivots of its own, about one for every INNER_ROWS of them.
+CELL_ROWS = 16 * BLOCK_ROWS
+INNER_ROWS = 4 * BLOCK_ROWS
 Reducer = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame]
 
 
@@ -48,43 +53,96 @@ def distinct_vectors(people: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, members.select("ord", "id")
 
 
-def _choose_pivots(reps: DataFrame, rows: int) -> np.ndarray:
-    """Vectors with the smallest hash of their id; their number grows with the root of the table, up to a limit."""
+def _choose_pivots(reps: DataFrame, rows: int, reach: float) -> np.ndarray:
+    """Some of the vectors with the smallest hash of their id; their number grows with the root of the table, up to a limit."""
     wanted = max(1, min(MAX_PIVOTS, int(math.sqrt(rows) / 20)))
-    picked = reps.orderBy(F.xxhash64("id"), "id").limit(wanted).select("embedding").collect()
-    return unit_rows(np.array([r.embedding for r in picked], dtype=float))
+    picked = reps.orderBy(F.xxhash64("id"), "id").limit(CANDIDATES * wanted).select("embedding").collect()
+    return _apart(unit_rows(np.array([r.embedding for r in picked], dtype=float)), wanted, reach)
+
+
+def _apart(candidates: np.ndarray, wanted: int, reach: float) -> np.ndarray:
+    """The first ``wanted`` candidates of which no two are within ``reach``: a close group, which no cells can divide, gets one pivot."""
+    kept = [0]
+    for i in range(1, len(candidates)):
+        if len(kept) == wanted:
+            break
+        if ((candidates[kept] - candidates[i]) ** 2).sum(axis=1).min() > reach * reach:
+            kept.append(i)
+    return candidates[kept]
+
+
+def _route(vectors: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pivot, at home) of every visit: each row goes to its nearest pivot, and as a guest to
+    those numbered lower whose cells its neighbours within ``reach`` can belong to."""
+    between = np.sqrt(np.maximum(0.0, 2 - 2 * (pivots @ pivots.T)))
+    squared = np.maximum(0.0, 1 + (vectors**2).sum(1, keepdims=True) - 2 * (vectors @ pivots.T))
+    home = squared.argmin(axis=1)
+    gap = squared - squared[np.arange(len(home)), home][:, None]
+    near = gap <= 2 * between[home] * reach + 1e-9
+    near &= np.arange(len(pivots))[None, :] <= home[:, None]
+    row, cell = np.nonzero(near)
+    return row, cell, cell == home[row]
 
 
 def in_cells(reps: DataFrame, min_cosine: float, epsilon: float = 0.0) -> DataFrame:
-    """Rows (cell, home, id, unit vector, other columns): every pair above ``min_cosine`` shares
-    exactly one cell in which at least one of the two is at home."""
+    """Rows (cell, home, inner, id, unit vector, other columns): every pair above ``min_cosine`` shares
+    exactly one cell in which at least one of the two is at home (on the first level) and at least
+    one is at home on the second (``inner``)."""
     rows = reps.count()
     if rows == 0:
-        return reps.select(F.lit(0).alias("cell"), F.lit(True).alias("home"), "*")
-    pivots = reps.sparkSession.sparkContext.broadcast(_choose_pivots(reps, rows))
+        return reps.select(F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), F.lit(True).alias("inner"), "*")
     reach = math.sqrt(max(0.0, 2 - 2 * min_cosine)) + 1e-6
+    pivots = reps.sparkSession.sparkContext.broadcast(_choose_pivots(reps, rows, reach))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = pivots.value
-        between = np.sqrt(np.maximum(0.0, 2 - 2 * (p @ p.T)))
         for pdf in batches:
             if pdf.empty:
                 continue
             vectors = unit_rows(matrix(pdf["embedding"]), epsilon)
-            squared = np.maximum(0.0, 1 + (vectors**2).sum(1, keepdims=True) - 2 * (vectors @ p.T))
-            home = squared.argmin(axis=1)
-            gap = squared - squared[np.arange(len(home)), home][:, None]
-            near = gap <= 2 * between[home] * reach + 1e-9
-            near &= np.arange(p.shape[0])[None, :] <= home[:, None]
-            row, cell = np.nonzero(near)
+            row, cell, home = _route(vectors, pivots.value, reach)
             out = pdf.iloc[row].reset_index(drop=True)
             out["embedding"] = list(vectors[row])
-            out.insert(0, "cell", cell.astype("int32"))
-            out.insert(1, "home", cell == home[row])
+            out.insert(0, "cell", cell.astype("int64") * MAX_PIVOTS)
+            out.insert(1, "home", home)
+            out.insert(2, "inner", True)
             yield out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reps.schema.fields)
-    return materialize(reps.mapInPandas(assign, f"cell int, home boolean, {fields}"), "cells")
+    cells = materialize(reps.mapInPandas(assign, f"cell long, home boolean, inner boolean, {fields}"), "cells")
+    large = cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).collect()  # at most MAX_PIVOTS rows
+    return _divided(cells, {r.cell: r.n for r in large}, reach) if large else cells
+
+
+def _divided(cells: DataFrame, sizes: dict[int, int], reach: float) -> DataFrame:
+    """``cells`` with every cell of ``sizes`` divided by pivots among its own rows; the others as they are.
+
+    A cell's rows are dealt over tasks by the hash of their id; every task gets the cell's pivots.
+    """
+    spark = cells.sparkSession
+    plan = [(cell, min(MAX_PIVOTS, math.ceil(n / INNER_ROWS)), math.ceil(n / CELL_ROWS), n) for cell, n in sizes.items()]
+    plan = F.broadcast(spark.createDataFrame(plan, "cell long, _wanted long, _tasks long, _n long"))  # at most MAX_PIVOTS rows
+    rows = cells.join(plan, "cell")
+    share = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    usable = F.col("home") & F.exists("embedding", lambda x: x != 0)
+    drawn = rows.filter(usable & (share * F.col("_n") < 2 * CANDIDATES * F.col("_wanted") + 20)).select("cell", "id", "_wanted", "_tasks", F.col("embedding").alias("pivot"))
+    nth = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(1)), "id"))
+    pivots = drawn.withColumn("nth", nth).filter(F.col("nth") <= CANDIDATES * F.col("_wanted")).select(F.col("cell").alias("at"), "nth", "pivot", "_wanted", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tasks") - 1)).alias("task"))
+    dealt = rows.withColumn("_task", F.pmod(F.xxhash64("id"), F.col("_tasks"))).select("_task", *cells.columns)
+
+    def divide(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = left.drop(columns="_task")
+        if left.empty or right.empty:
+            return out
+        pivots = _apart(matrix(right.sort_values("nth")["pivot"]), int(right["_wanted"].iat[0]), reach)
+        row, inner, home = _route(matrix(left["embedding"]), pivots, reach)
+        out = out.iloc[row].reset_index(drop=True)
+        out["cell"] += inner
+        out["inner"] = home
+        return out
+
+    parts = dealt.groupBy("cell", "_task").cogroup(pivots.groupBy("at", "task")).applyInPandas(divide, cells.schema)
+    kept = cells.join(plan, "cell", "left_anti")
+    return materialize(kept.unionByName(parts), "inner-cells")
 
 
 def block_reduce(rows: DataFrame, key: str, schema: str, reducer: Reducer, block: int = BLOCK_ROWS) -> DataFrame:
@@ -112,6 +170,8 @@ def block_reduce(rows: DataFrame, key: str, schema: str, reducer: Reducer, block
         valid = np.ones(sims.shape, bool)
         if "home" in pdf:
             valid = left["home"].to_numpy()[:, None] | right["home"].to_numpy()[None, :]
+        if "inner" in pdf:
+            valid &= left["inner"].to_numpy()[:, None] | right["inner"].to_numpy()[None, :]
         if s == t:
             valid = np.triu(valid, k=1)
         return reducer(left, right, sims, valid)

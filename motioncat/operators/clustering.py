@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -76,16 +77,65 @@ def cluster_dbscan(people: DataFrame, eps: float, min_samples: int) -> DataFrame
     return members.join(labels.unionByName(border), "id").select("ord", "cluster")
 
 
-def cluster_greedy(people: DataFrame, min_cosine: float) -> DataFrame:
-    """(ord, cluster): in input order each unassigned row leads, taking later rows similar enough.
+def _by_parts(
+    cells: DataFrame, accept: Callable[[np.ndarray], np.ndarray], fold: Callable[[np.ndarray, np.ndarray], np.ndarray], beyond: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """(id, cluster) of the rows that have a neighbour, cluster by connected part of the neighbour graph.
 
-    Leaders are found in rounds. A row leads once no undecided earlier row is similar to it,
-    and rows similar to a leader are settled; each round returns one number per row.
+    Clusters never reach over parts. A part that fits a block is folded in one task, many parts to
+    a task: ``fold(ids, cosines)`` names each row's cluster. The cells of larger parts go to ``beyond``.
     """
+    linked = materialize(connected_components(blocks.block_reduce(cells, "cell", "a long, b long", blocks.spanning_forest(accept))), "parts")
+    sizes = linked.groupBy("component").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.max("n").alias("most")).first()
+    buckets = max(1, -(-total.rows // blocks.BLOCK_ROWS))
+    large = sizes.filter(F.col("n") > blocks.BLOCK_ROWS) if total.rows and total.most > blocks.BLOCK_ROWS else None
+    small = linked if large is None else linked.join(large, "component", "left_anti")
+    own = cells.filter("home and inner").select("id", "embedding").join(small, "id")
+    dealt = own.select(F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("_bucket"), "component", "id", "embedding")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.groupby("component"):
+            part = part.sort_values("id")
+            ids, vectors = part["id"].to_numpy(), blocks.matrix(part["embedding"])
+            out.append(pd.DataFrame({"id": ids, "cluster": fold(ids, vectors @ vectors.T)}))
+        return pd.concat(out)
+
+    folded = dealt.groupBy("_bucket").applyInPandas(run, "id long, cluster long")
+    if large is None:
+        return folded
+    rest = linked.join(large, "component", "left_semi").select("id")
+    return folded.unionByName(beyond(cells.join(rest, "id", "left_semi")))
+
+
+def cluster_greedy(people: DataFrame, min_cosine: float) -> DataFrame:
+    """(ord, cluster): in input order each unassigned row leads, taking later rows similar enough."""
     reps, members = blocks.distinct_vectors(people)
     accept = lambda s: s >= min_cosine
     cells = blocks.in_cells(reps, min_cosine, epsilon=V.EPSILON)
 
+    def fold(ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        near, label = accept(sims), np.full(len(ids), -1)
+        for i in range(len(ids)):
+            if label[i] < 0:
+                taken = near[i, i:] & (label[i:] < 0)
+                taken[0] = True
+                label[i:][taken] = ids[i]
+        return label
+
+    labels = _by_parts(cells, accept, fold, lambda rest: _greedy_rounds(rest, accept))
+    return members.join(labels, "id", "left").select("ord", F.coalesce("cluster", "id").alias("cluster"))
+
+
+def _greedy_rounds(cells: DataFrame, accept: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(id, cluster) of greedy leading, in rounds.
+
+    A row leads once no undecided earlier row is similar to it, and rows similar to a leader are
+    settled; each round returns one number per row.
+    """
+    reps = cells.filter("home and inner").select("id")
+
     def nearest(rows: DataFrame, flags: DataFrame) -> DataFrame:
         """Least flagged earlier neighbour of each row of ``rows``."""
         keyed = rows.join(flags, "id", "left").withColumn("flag", F.coalesce("flag", F.lit(False))).withColumn("key", F.col("id"))
@@ -105,23 +155,68 @@ def cluster_greedy(people: DataFrame, min_cosine: float) -> DataFrame:
             break
         rows = cells.join(undecided, "id", "left_semi")
     taken = nearest(cells, leaders.withColumn("flag", F.lit(True))).join(leaders, "id", "left_anti")
-    labels = leaders.select("id", F.col("id").alias("cluster")).unionByName(taken.select("id", F.col("key").alias("cluster")))
-    return members.join(labels, "id").select("ord", "cluster")
+    return leaders.select("id", F.col("id").alias("cluster")).unionByName(taken.select("id", F.col("key").alias("cluster")))
 
 
 def cluster_complete_link(people: DataFrame, threshold: float) -> DataFrame:
     """(ord, cluster) of agglomerative clustering with complete linkage, merging below distance 1 - threshold.
 
-    Copies of a vector merge at distance 0 and are combined first. Then every pair of
-    clusters that are each other's nearest merges in the same round: with complete linkage
-    a merge never brings two others closer, so this gives the tree of one-by-one merging.
-    The distance of merged clusters is the largest of its parts and exists only while every
-    part pair is below the limit.
+    Copies of a vector merge at distance 0 and are combined first. Two clusters merge once they
+    are each other's nearest (by distance, then by first ids): with complete linkage a merge never
+    brings two others closer, so this gives the tree of one-by-one merging. The distance of merged
+    clusters is the largest of its parts and exists only while every part pair is below the limit.
+    Parts of the graph of close pairs are merged inside a task; only those too large for a block
+    have their pairs stored.
     """
     reps, members = blocks.distinct_vectors(people)
     limit = 1 - threshold
     cells = blocks.in_cells(reps, threshold)
     close = lambda s: 1 - np.clip(s, 0.0, 1.0) < limit
+
+    def fold(ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        return ids[nearest_neighbour_chain(np.where(close(sims), 1 - np.minimum(sims, 1.0), np.inf))]
+
+    labels = _by_parts(cells, close, fold, lambda rest: _complete_link_rounds(rest, close))
+    return members.join(labels, "id", "left").select("ord", F.coalesce("cluster", "id").alias("cluster"))
+
+
+def nearest_neighbour_chain(distance: np.ndarray) -> np.ndarray:
+    """First member of every row's cluster under complete linkage of ``distance`` (symmetric, infinite where two must not meet).
+
+    A chain of nearest neighbours is followed until two are each other's nearest; these merge.
+    Of equal distances the first row counts, which makes the nearest pair unique.
+    """
+    d, n = distance.copy(), len(distance)
+    np.fill_diagonal(d, np.inf)
+    first, chain = np.arange(n), []
+    for start in range(n):
+        if first[start] != start:
+            continue
+        chain.append(start)
+        while chain:
+            x = chain[-1]
+            y = int(d[x].argmin())
+            if d[x, y] == np.inf:
+                chain.pop()
+            elif len(chain) > 1 and chain[-2] == y:
+                del chain[-2:]
+                keep, gone = min(x, y), max(x, y)
+                first[gone] = keep
+                d[keep] = np.maximum(d[keep], d[gone])
+                d[:, keep] = d[keep]
+                d[keep, keep] = np.inf
+                d[gone], d[:, gone] = np.inf, np.inf
+                if not chain:
+                    chain.append(keep)
+            else:
+                chain.append(y)
+    while not np.array_equal(first, first[first]):
+        first = first[first]
+    return first
+
+
+def _complete_link_rounds(cells: DataFrame, close: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(id, cluster) of complete linkage on stored pairs: all mutually nearest clusters merge in the same round."""
     pairs = blocks.block_reduce(cells, "cell", "a long, b long, sim double", blocks.keep_pairs(close))
     links = materialize(pairs.select("a", "b", (1 - F.least("sim", F.lit(1.0))).alias("d")), "links")
     merges = None
@@ -149,10 +244,7 @@ def cluster_complete_link(people: DataFrame, threshold: float) -> DataFrame:
             .filter("have = needed").select("a", "b", "d"),
             "links",
         )
-    if merges is None:
-        return members.select("ord", F.col("id").alias("cluster"))
-    final = collapse_renames(merges).select(F.col("source").alias("id"), F.col("target").alias("cluster"))
-    return members.join(final, "id", "left").select("ord", F.coalesce("cluster", "id").alias("cluster"))
+    return collapse_renames(merges).select(F.col("source").alias("id"), F.col("target").alias("cluster"))
 
 
 # ---- quality ----

@@ -40,7 +40,7 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_ROWS", 128)
     monkeypatch.setattr(blocks.block_reduce, "__defaults__", (128,))
     original = blocks._choose_pivots
-    monkeypatch.setattr(blocks, "_choose_pivots", lambda reps, rows: original(reps, 400 * 16))
+    monkeypatch.setattr(blocks, "_choose_pivots", lambda reps, rows, reach: original(reps, 400 * 16, reach))
 
 
 def cosines(vectors):
