@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 from motioncat.functions import vectors as V
 from motioncat.operators import blocks
+from motioncat.operators.ordered import running
 from motioncat.session import materialize
 
 # ---- fixed values ----
-MIN_THRESHOLD, DEFAULT_THRESHOLD, HIGH_CONFIDENCE = 0.7, 0.8, 0.8
+MIN_THRESHOLD, HIGH_CONFIDENCE = 0.7, 0.8
 NEGATIVES_PER_PERSON = 5
 COLLECTED_PROFILES = 4096
 PARTIAL_BYTES = 128 * 1024 * 1024
+# Pairs that the learned similarity is fitted on at most (about), partners of a row in them, and rows summed in each first branch.
+LABELLED_PAIRS, PARTNERS, BRANCHES = 500_000, 8, 16
 
 
 def vector_stats(rows: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
@@ -98,8 +101,6 @@ def labeling_status(clusters: DataFrame, labels: DataFrame, megas: DataFrame) ->
 
 def _positions(rows: DataFrame, mega: str) -> DataFrame:
     """1-based position of each row within its mega-cluster, in input order, for groups of any size."""
-    from motioncat.operators.ordered import running
-
     return running(rows, [mega], ["ord"], {"pos": F.lit(1)})
 
 
@@ -130,8 +131,6 @@ def negative_pairs(rows: DataFrame, mega: str = "mega_id", first: int = NEGATIVE
     by_order = Window.partitionBy(mega).orderBy("ord")
     head = rows.select(mega, "ord").withColumn("rank", F.row_number().over(by_order)).filter(F.col("rank") <= first)
     head = materialize(head, "heads")
-    from motioncat.operators.ordered import running
-
     sizes = head.groupBy(mega).agg(F.count("*").alias("c")).withColumn("_all", F.lit(0))
     groups = materialize(running(sizes, ["_all"], [mega], {"g": F.lit(1), "upto": F.col("c")}).drop("_all"), "groups")
     top = groups.agg(F.max("g").alias("g"), F.max("upto").alias("rows")).first()
@@ -314,61 +313,88 @@ def _pair_features(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.hstack([np.abs(a - b), a * b])
 
 
-def _class_moments(features: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    return float(len(features)), features.sum(axis=0), features.T @ features
-
-
-MOMENTS = "kind int, n double, s array<double>, g array<double>"
-
+def labelled_pairs(rows: DataFrame, mega: str = "mega_id", limit: int = LABELLED_PAIRS) -> DataFrame:
+    """(ord1, ord2, same): pairs to learn from, about ``limit`` at most, without forming all pairs of a group.
 
-def _moment_row(kind: int, n: float, s: np.ndarray, g: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"kind": [kind], "n": [n], "s": [s], "g": [g.ravel()]})
-
-
-def fit_pair_model(rows: DataFrame, mega: str = "mega_id", ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and offset of a logistic similarity on [|a - b|, a * b].
-
-    All pairs within a mega-cluster are positive, the listed pairs between them negative.
-    Tasks add up feature sums and products block by block, so that no pair leaves a task;
-    the two-class linear discriminant of these sums is the model.
+    Positive: every row with the ``PARTNERS`` rows after it in its mega-cluster. Negative: the listed
+    pairs between mega-clusters, and rows of different ones among those whose hashes fall together,
+    which spreads over all mega-clusters. Of more pairs those with the lowest hashes are taken.
     """
-    unit = rows.select(F.col(mega).alias("mega"), F.col("ord").alias("id"), V.unit(F.col("embedding"), V.EPSILON).alias("embedding"))
-    unit = materialize(unit, "pair-vectors")
-    dim = unit.select(F.size("embedding").alias("d")).first().d
-
-    def within(left, right, sims, valid):
-        n, s, g = 0.0, np.zeros(2 * dim), np.zeros((2 * dim, 2 * dim))
-        a, b = (blocks.matrix(x["embedding"]) if len(x) else np.zeros((0, dim)) for x in (left, right))
-        for i in range(len(a)):
-            j = np.flatnonzero(valid[i])
-            if len(j):
-                m = _class_moments(_pair_features(np.repeat(a[i : i + 1], len(j), axis=0), b[j]))
-                n, s, g = n + m[0], s + m[1], g + m[2]
-        return _moment_row(1, n, s, g)
-
-    spread = blocks.block_reduce(unit, "mega", MOMENTS, within)
-    pairs = negative_pairs(rows, mega).select("ord1", "ord2")
-    side = lambda i: unit.select(F.col("id").alias(f"ord{i}"), F.col("embedding").alias(f"e{i}"))
-
-    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s, g = 0.0, np.zeros(2 * dim), np.zeros((2 * dim, 2 * dim))
+    placed = materialize(_positions(rows.select(mega, "ord"), mega), "positions")
+    ahead = placed.select(mega, F.col("ord").alias("ord1"), F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + PARTNERS)).alias("pos"))
+    same = ahead.join(placed, [mega, "pos"]).select("ord1", F.col("ord").alias("ord2"), F.lit(True).alias("same"))
+    groups = max(1, placed.count() // PARTNERS)
+    dealt = placed.select(mega, "ord", F.pmod(F.xxhash64("ord"), F.lit(groups)).alias("deal"))
+    other = dealt.select(F.col(mega).alias("_mega"), F.col("ord").alias("ord2"), "deal")
+    spread = dealt.withColumnRenamed("ord", "ord1").join(other, "deal").filter((F.col("ord1") < F.col("ord2")) & (F.col(mega) != F.col("_mega"))).select("ord1", "ord2")
+    apart = negative_pairs(rows, mega).select("ord1", "ord2").union(spread).distinct().withColumn("same", F.lit(False))
+    pairs = materialize(same.unionByName(apart), "labelled-pairs")
+    n = pairs.count()
+    share = F.pmod(F.xxhash64("ord1", "ord2"), F.lit(1 << 30)) < int((1 << 30) * limit / max(n, 1))
+    return pairs.filter(share) if n > limit else pairs
+
+
+def _loss_terms(features: np.ndarray, same: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic loss, its gradient and its Hessian over some pairs."""
+    z = features @ weights
+    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    return float(np.logaddexp(0, np.where(same, -z, z)).sum()), features.T @ (p - same), (features * (p * (1 - p))[:, None]).T @ features
+
+
+def _summed_terms(pairs: DataFrame, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss terms over all pairs: one row from each task, added up in two levels."""
+    size, shared = len(weights), pairs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loss, gradient, hessian = 0.0, np.zeros(size), np.zeros((size, size))
         for pdf in batches:
-            if not pdf.empty:
-                m = _class_moments(_pair_features(blocks.matrix(pdf["e1"]), blocks.matrix(pdf["e2"])))
-                n, s, g = n + m[0], s + m[1], g + m[2]
-        yield _moment_row(0, n, s, g)
-
-    apart = pairs.join(side(1), "ord1").join(side(2), "ord2").select("e1", "e2").mapInPandas(across, MOMENTS)
-    add = lambda c: vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c)
-    sums = {r.kind: r for r in spread.unionByName(apart).groupBy("kind").agg(F.sum("n").alias("n"), add("s"), add("g")).collect()}
-    if len(sums) < 2 or min(sums[0].n, sums[1].n) == 0:
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at : at + 4096]
+                features = np.hstack([_pair_features(blocks.matrix(part["e1"]), blocks.matrix(part["e2"])), np.ones((len(part), 1))])
+                terms = _loss_terms(features, part["same"].to_numpy(bool), shared.value)
+                loss, gradient, hessian = loss + terms[0], gradient + terms[1], hessian + terms[2]
+        yield pd.DataFrame({"terms": [np.concatenate([[loss], gradient, hessian.ravel()])]})
+
+    rows = pairs.select("e1", "e2", "same").mapInPandas(run, "terms array<double>").withColumn("branch", F.spark_partition_id() % BRANCHES)
+    add = vector_to_array(Summarizer.sum(array_to_vector("terms"))).alias("terms")
+    total = np.array(rows.groupBy("branch").agg(add).agg(add).first().terms)
+    shared.unpersist()
+    return float(total[0]), total[1 : size + 1], total[size + 1 :].reshape(size, size)
+
+
+def fit_pair_model(rows: DataFrame, mega: str = "mega_id", ridge: float = 1e-3, tolerance: float = 1e-7, rounds: int = 60, limit: int = LABELLED_PAIRS) -> tuple[np.ndarray, float]:
+    """Weights and offset of a logistic similarity on [|a - b|, a * b], by Newton steps over labelled pairs.
+
+    A round adds up loss, gradient and Hessian over all tasks; the driver solves for the step. A
+    step that does not lower the loss is halved. It ends when the expected gain falls below
+    ``tolerance`` of the loss. ``ridge`` holds the weights (not the offset) finite where the classes can be separated.
+    """
+    unit = materialize(rows.select("ord", V.unit(F.col("embedding"), V.EPSILON).alias("e")), "pair-vectors")
+    side = lambda i: unit.select(F.col("ord").alias(f"ord{i}"), F.col("e").alias(f"e{i}"))
+    pairs = materialize(labelled_pairs(rows, mega, limit).join(side(1), "ord1").join(side(2), "ord2").select("e1", "e2", "same"), "pair-features")
+    kinds = {r.same: r for r in pairs.groupBy("same").agg(F.max(F.size("e1")).alias("dim")).collect()}
+    if len(kinds) < 2:
         raise ValueError("both positive and negative pairs are needed")
-    means = {k: np.array(r.s) / r.n for k, r in sums.items()}
-    scatter = sum(np.array(r.g).reshape(2 * dim, 2 * dim) - r.n * np.outer(means[k], means[k]) for k, r in sums.items())
-    scatter = scatter / (sums[0].n + sums[1].n) + ridge * np.eye(2 * dim)
-    weights = np.linalg.solve(scatter, means[1] - means[0])
-    offset = -0.5 * float((means[0] + means[1]) @ weights) + math.log(sums[1].n / sums[0].n)
-    return weights, offset
+    weights = np.zeros(2 * kinds[True].dim + 1)
+    held = np.full(len(weights), ridge)
+    held[-1] = 0.0
+
+    def terms(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        loss, gradient, hessian = _summed_terms(pairs, at)
+        return loss + 0.5 * float(held @ at**2), gradient + held * at, hessian + np.diag(held)
+
+    loss, gradient, hessian = terms(weights)
+    for _ in range(rounds):
+        step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+        if gradient @ step <= tolerance * max(loss, tolerance):
+            break
+        found = terms(weights - step)
+        while found[0] >= loss and np.abs(step).max() > 1e-12:
+            step = step / 2
+            found = terms(weights - step)
+        weights = weights - step
+        loss, gradient, hessian = found
+    return weights[:-1], float(weights[-1])
 
 
 def classify_pairs(pairs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

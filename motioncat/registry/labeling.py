@@ -160,7 +160,7 @@ def auto_label_summary(spark, sf):
 
 @query("pair_classifier", with_ctes("people", "SELECT p.ord, p.vec_id = q.vec_id AS same FROM people p JOIN people q ON q.ord = p.ord + 1"))
 def pair_classifier(spark, sf):
-    """Verdicts on neighbouring rows, fitted on all positive and the listed negative pairs, which are separable here."""
+    """Verdicts on neighbouring rows by a model fitted on labelled pairs; the check knows which are copies of one vector."""
     people = fx.people(spark, sf).withColumnRenamed("vec_id", "mega_id")
     return lb.classify_neighbours(people, lb.fit_pair_model(people)).select("ord", "same")
 
