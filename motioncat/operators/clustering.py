@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from motioncat.functions import vectors as V
 from motioncat.operators import blocks
 from motioncat.operators.graph import connected_components
+from motioncat.operators.sweep import density_labels
 from motioncat.operators.tracks import collapse_renames
 from motioncat.session import materialize
 
@@ -264,7 +264,8 @@ def _least_in_small(rows: DataFrame, total: int) -> DataFrame:
         return pd.DataFrame({"cluster": names, "min_similarity": out})
 
     spread = rows.withColumn("_bucket", F.pmod(F.xxhash64("cluster"), F.lit(buckets)))
-    return spread.select("_bucket", "cluster", "embedding").groupBy("_bucket").applyInPandas(run, "cluster long, min_similarity double")
+    kind = rows.schema["cluster"].dataType.simpleString()
+    return spread.select("_bucket", "cluster", "embedding").groupBy("_bucket").applyInPandas(run, f"cluster {kind}, min_similarity double")
 
 
 def cluster_quality(people: DataFrame, labels: DataFrame) -> DataFrame:
@@ -293,7 +294,7 @@ def cluster_quality(people: DataFrame, labels: DataFrame) -> DataFrame:
     else:
         small = rows.join(large, "cluster", "left_anti")
         big = rows.join(large, "cluster", "left_semi")
-        reduced = blocks.block_reduce(big, "cluster", "cluster long, min_similarity double", blocks.least_similarity("cluster"))
+        reduced = blocks.block_reduce(big, "cluster", f"cluster {rows.schema['cluster'].dataType.simpleString()}, min_similarity double", blocks.least_similarity("cluster"))
         least = _least_in_small(small, small.count()).unionByName(
             reduced.groupBy("cluster").agg(F.min("min_similarity").alias("min_similarity"))
         )
@@ -342,32 +343,44 @@ def quality_bands(clusters: DataFrame) -> DataFrame:
 
 # ---- parameter sweep ----
 
-def run_parameter_set(people: DataFrame, spec: tuple) -> DataFrame:
-    """Clusters of one parameter set with their quality."""
-    _, similarity, quality, density, eps, samples, min_size = spec
-    good = materialize(filter_quality(people, quality), "good-embeddings")
-    labels = cluster_dbscan(good, eps, samples) if density else cluster_complete_link(good, similarity)
-    return filter_clusters(cluster_quality(good, materialize(labels, "labels")), min_size)
+def parameter_clusters(people: DataFrame, specs: list[tuple] | None = None) -> DataFrame:
+    """Clusters of every parameter set (``name``) with their quality, those large and good enough.
+
+    All density based sets come from common merge trees. The quality of all sets' clusters is
+    measured in one pass; clusters too small for their set are left out before it.
+    """
+    specs = specs or PARAMETER_SETS
+    good = materialize(filter_quality(people, min(s[2] for s in specs)), "good-embeddings")
+    found = [
+        cluster_complete_link(good.filter(F.col("embedding_quality") >= quality), similarity).select(F.lit(name).alias("name"), "ord", "cluster")
+        for name, similarity, quality, density, *_ in specs if not density
+    ]
+    settings = [(name, quality, eps, samples) for name, _, quality, density, eps, samples, _ in specs if density]
+    if settings:
+        found.append(density_labels(good, settings))
+    least = F.broadcast(people.sparkSession.createDataFrame([(s[0], s[6]) for s in specs], "name string, least int"))  # one row a set
+    labels = materialize(reduce(DataFrame.unionByName, found), "labels")
+    large = labels.groupBy("name", "cluster").count().join(least, "name").filter(F.col("count") >= F.col("least")).select("name", "cluster")
+    labels = labels.join(large, ["name", "cluster"]).select("ord", F.concat_ws(":", "cluster", "name").alias("cluster"))
+    rated = cluster_quality(good, materialize(labels, "labels")).filter(F.col("quality_score") > MIN_CLUSTER_QUALITY)
+    place = F.instr("cluster", ":")
+    return rated.withColumns({"name": F.expr("substring(cluster, instr(cluster, ':') + 1)"), "cluster": F.col("cluster").substr(F.lit(1), place - 1).cast("long")})
 
 
 def tuning_summary(people: DataFrame, specs: list[tuple] | None = None) -> DataFrame:
     """One row per parameter set: number, sizes and qualities of its clusters."""
     specs = specs or PARAMETER_SETS
-
-    def summarize(spec: tuple) -> DataFrame:
-        found = run_parameter_set(people, spec)
-        number = lambda f, c: F.coalesce(f(c), F.lit(0.0))
-        row = found.agg(
-            F.count("*").alias("num_clusters"), number(F.avg, "cluster_size").alias("avg_cluster_size"),
-            number(F.avg, "quality_score").alias("avg_quality"), number(F.min, "quality_score").alias("min_quality"),
-            number(F.max, "quality_score").alias("max_quality"), F.coalesce(F.max("cluster_size"), F.lit(0)).alias("largest_cluster"),
-            F.coalesce(F.min("cluster_size"), F.lit(0)).alias("smallest_cluster"),
-        )
-        return materialize(row.select(F.lit(spec[0]).alias("name"), "*"), "tuning")
-
-    # the sets are independent jobs; a few at a time keep all executors busy
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        return reduce(DataFrame.unionByName, pool.map(summarize, specs))
+    sums = parameter_clusters(people, specs).groupBy("name").agg(
+        F.count("*").alias("n"), F.avg("cluster_size").alias("avg_cluster_size"), F.avg("quality_score").alias("avg_quality"),
+        F.min("quality_score").alias("min_quality"), F.max("quality_score").alias("max_quality"),
+        F.max("cluster_size").alias("largest"), F.min("cluster_size").alias("smallest"),
+    )
+    names = people.sparkSession.createDataFrame([(s[0],) for s in specs], "name string")
+    none = F.lit(0).cast("long")
+    return names.join(materialize(sums, "tuning"), "name", "left").select(
+        "name", F.coalesce("n", none).alias("num_clusters"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg_cluster_size", "avg_quality", "min_quality", "max_quality")],
+        F.coalesce("largest", none).alias("largest_cluster"), F.coalesce("smallest", none).alias("smallest_cluster"),
+    )
 
 
 def best_runs(summary: DataFrame) -> DataFrame:

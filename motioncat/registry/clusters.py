@@ -114,16 +114,45 @@ def quality_band(spark, sf):
     return cl.quality_bands(by_label(spark, sf, "vec_id"))
 
 
-@query("tuning_summary")
+# All sets at once: density clusters per set name, the one complete linkage as above, and the quality of both.
+SETS = ", ".join(f"('{n}', {s}, {q}, {d}, CAST({e} AS DOUBLE), {m}, {k})" for n, s, q, d, e, m, k in cl.PARAMETER_SETS)
+LINKED = [(n, s, q) for n, s, q, density, *_ in cl.PARAMETER_SETS if not density]
+FIT = "confidence >= 0.3 AND list_stddev_pop(embedding) > 0.01"
+COMPLETE_SETS = " UNION ALL ".join(
+    f"SELECT '{n}' AS name, ord, cluster FROM ({COMPLETE.replace('people', f'(SELECT * FROM people WHERE {FIT} AND embedding_quality >= {q})').replace('CAST(0.88 AS DOUBLE)', f'CAST({s} AS DOUBLE)').replace('WITH st', 'WITH RECURSIVE st', 1)})"
+    for n, s, q in LINKED
+)
+TUNING = f"""WITH ps(name, sim, q, dens, eps, m, mn) AS (VALUES {SETS}),
+  g AS MATERIALIZED (SELECT * FROM people WHERE {FIT}),
+  pr AS MATERIALIZED (SELECT p.ord AS a, q.ord AS b, least(p.embedding_quality, q.embedding_quality) AS lo, 1 - least(1, greatest(0, {COS})) AS d FROM g p JOIN g q ON p.ord <> q.ord WHERE 1 - least(1, greatest(0, {COS})) <= 0.16),
+  near AS MATERIALIZED (SELECT name, a, b FROM ps JOIN pr ON lo >= q AND d <= eps WHERE dens),
+  core AS MATERIALIZED (SELECT ps.name, g.ord FROM ps JOIN g ON embedding_quality >= q LEFT JOIN (SELECT name, a, count(*) AS n FROM near GROUP BY ALL) c ON c.name = ps.name AND c.a = g.ord WHERE dens AND coalesce(n, 0) + 1 >= m),
+  ce AS MATERIALIZED (SELECT n.name, a, b FROM near n JOIN core x ON x.name = n.name AND x.ord = n.a JOIN core y ON y.name = n.name AND y.ord = n.b),
+  walk AS (SELECT name, ord AS root, ord FROM core UNION SELECT w.name, w.root, ce.b FROM walk w JOIN ce ON ce.name = w.name AND ce.a = w.ord),
+  lab AS MATERIALIZED (SELECT name, ord, min(root) AS cluster FROM walk GROUP BY name, ord),
+  brd AS (SELECT n.name, n.a AS ord, min(l.cluster) AS cluster FROM near n JOIN lab l ON l.name = n.name AND l.ord = n.b WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.name = n.name AND c.ord = n.a) GROUP BY n.name, n.a),
+  al AS (SELECT * FROM lab UNION ALL SELECT * FROM brd UNION ALL {COMPLETE_SETS}),
+  mb AS MATERIALIZED (SELECT name, cluster, count(*) OVER (PARTITION BY name, cluster) AS n, mn, g.* FROM al JOIN ps USING (name) JOIN g USING (ord)),
+  cs AS (SELECT p.name, p.cluster, avg({COS}) AS av, min({COS}) AS lw FROM mb p JOIN mb q ON p.name = q.name AND p.cluster = q.cluster AND p.ord < q.ord WHERE p.n >= p.mn GROUP BY 1, 2),
+  ag AS (SELECT name, cluster, any_value(n) AS cluster_size, avg(embedding_quality) AS aq, avg(confidence) AS ac FROM mb WHERE n >= mn GROUP BY 1, 2),
+  cq AS (SELECT name, cluster_size, 0.4 * av + 0.3 * lw + 0.2 * aq + 0.1 * ac AS quality_score FROM ag JOIN cs USING (name, cluster)),
+  ts AS (SELECT name, count(cluster_size) AS num_clusters, coalesce(avg(cluster_size), 0) AS avg_cluster_size, coalesce(avg(quality_score), 0) AS avg_quality, coalesce(min(quality_score), 0) AS min_quality,
+    coalesce(max(quality_score), 0) AS max_quality, coalesce(max(cluster_size), 0) AS largest_cluster, coalesce(min(cluster_size), 0) AS smallest_cluster
+    FROM ps LEFT JOIN (SELECT * FROM cq WHERE quality_score > 0.3) USING (name) GROUP BY name)"""
+RATES = ("avg_cluster_size", "avg_quality", "min_quality", "max_quality")
+
+
+@query("tuning_summary", with_ctes("people", f"""{TUNING} SELECT name, num_clusters, {', '.join(f'round({c}, 6) AS {c}' for c in RATES)}, largest_cluster, smallest_cluster FROM ts""", recursive=True))
 def tuning_summary(spark, sf):
-    """All fixed parameter sets; the tests compare them with known answers on a small table."""
-    return cl.tuning_summary(fx.people(spark, sf))
+    return rounded(cl.tuning_summary(fx.people(spark, sf)), *RATES)
 
 
-@query("parameter_sweep")
+@query("parameter_sweep", with_ctes("people", f"""{TUNING}, hp AS (SELECT name, num_clusters, min_quality AS score FROM ts WHERE num_clusters > 0 AND avg_quality > 0.9 AND largest_cluster < 100 ORDER BY round(min_quality, 6) DESC, name LIMIT 1),
+  bl AS (SELECT name, num_clusters, avg_quality AS score FROM ts WHERE num_clusters BETWEEN 10 AND 50 ORDER BY round(avg_quality, 6) DESC, name LIMIT 1)
+  SELECT 'high_precision' AS kind, name, num_clusters, round(score, 6) AS score FROM hp UNION ALL SELECT 'balanced', name, num_clusters, round(score, 6) FROM bl""", recursive=True))
 def parameter_sweep(spark, sf):
-    """All fixed parameter sets and their recommendation."""
-    return cl.best_runs(cl.tuning_summary(fx.people(spark, sf), cl.PARAMETER_SETS))
+    """All fixed parameter sets and their recommendation; rates that agree to six digits are equal."""
+    return cl.best_runs(rounded(cl.tuning_summary(fx.people(spark, sf), cl.PARAMETER_SETS), *RATES))
 
 
 # ---- comparison of runs, from the orders ----

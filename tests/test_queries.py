@@ -6,10 +6,9 @@ from check import compare
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"parameter_sweep", "tuning_summary"}
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, name):
     verdict = compare(spark, SF, name, queries()[name], oracle_sql().get(name))
     assert verdict.startswith(("ok", "rows-only")), verdict
