@@ -96,14 +96,52 @@ def lost_and_new(tags: DataFrame) -> DataFrame:
     return _moves(seen, tags).select("filename", "frame_number", "next_frame", "kind", "track_id")
 
 
+def numbered_frames(tags: DataFrame) -> DataFrame:
+    """Tagged frames of each file, numbered from 0, with the tagged frames before and after."""
+    along = Window.partitionBy("filename").orderBy("frame_number")
+    return tags.select(*FRAME).distinct().select(
+        *FRAME, (F.row_number().over(along) - 1).alias("nth"), F.lead("frame_number").over(along).alias("next_frame"), F.lag("frame_number").over(along).alias("last_frame")
+    )
+
+
+def frame_sets(points: DataFrame) -> DataFrame:
+    """A track's tagged frames as bit sets: (file, track, chunk, frames, points) for every 64 numbered frames it is seen in.
+
+    ``points`` has one row per (file, track, frame) with ``nth``. A chunk holds 64 points at most.
+    """
+    rest = [c for c in points.columns if c not in TRACK]
+    bit = F.expr("shiftleft(1L, CAST(nth % 64 AS INT))")
+    return points.groupBy(*TRACK, F.floor(F.col("nth") / 64).alias("chunk")).agg(F.bit_or(bit).alias("frames"), F.collect_list(F.struct(*rest)).alias("points"))
+
+
+def _chunk_moves(chunks: DataFrame) -> DataFrame:
+    """The points of ``chunks`` at which a track vanishes (``kind`` lost) or appears (new), as ``_moves`` finds them point by point.
+
+    Only the chunks next to a chunk are looked up, for the frames at its edges.
+    """
+    edge = chunks.select(*TRACK, "chunk", (F.col("frames") < 0).alias("last"), (F.col("frames").bitwiseAND(1) != 0).alias("first"))
+    before = edge.select(*TRACK, (F.col("chunk") + 1).alias("chunk"), F.col("last").alias("_before"))
+    after = edge.select(*TRACK, (F.col("chunk") - 1).alias("chunk"), F.col("first").alias("_after"))
+    placed = chunks.join(before, [*TRACK, "chunk"], "left").join(after, [*TRACK, "chunk"], "left")
+    place = "CAST(p.nth % 64 AS INT)"
+    seen_next = f"if({place} = 63, coalesce(_after, false), (shiftrightunsigned(frames, {place} + 1) & 1) = 1)"
+    seen_last = f"if({place} = 0, coalesce(_before, false), (shiftrightunsigned(frames, {place} - 1) & 1) = 1)"
+    lost = F.expr(f"transform(filter(points, p -> p.next_frame IS NOT NULL AND NOT {seen_next}), p -> struct('lost' AS kind, p.frame_number AS at, p.next_frame AS next_frame, p AS point))")
+    new = F.expr(f"transform(filter(points, p -> p.last_frame IS NOT NULL AND NOT {seen_last}), p -> struct('new' AS kind, p.last_frame AS at, p.frame_number AS next_frame, p AS point))")
+    moved = placed.select(*TRACK, F.explode(F.concat(lost, new)).alias("m"))
+    return moved.select(*TRACK, "m.kind", F.col("m.at").alias("frame_number"), "m.next_frame", "m.point.value", *[f"m.point.{c}" for c in BOX])
+
+
 def merge_candidates(tags: DataFrame, above: float = 0.9) -> DataFrame:
     """Votes for joining a vanished and an appearing track of the same value and place.
 
-    Pairs that share a frame anywhere in the file are left out. Each meeting is a vote to
-    rename the larger id to the smaller.
+    Pairs that share a frame anywhere in the file are left out, which is seen from the bit sets
+    of their frames. Each meeting is a vote to rename the larger id to the smaller.
     """
-    points = materialize(tags_to_tracks(tags).select(*TRACK, "frame_number", "value", *BOX), "track-points")
-    moves = materialize(_moves(points, tags), "track-moves")
+    slim = materialize(tags.select(*TRACK, "frame_number", "value", *BOX, "ord"), "slim-tags")
+    frames = materialize(numbered_frames(slim), "frames")
+    chunks = materialize(frame_sets(tags_to_tracks(slim).join(frames, FRAME)), "track-chunks")
+    moves = materialize(_chunk_moves(chunks), "track-moves")
     lost, new = moves.filter("kind = 'lost'"), moves.filter("kind = 'new'")
     met = overlap_join(lost, new, [*FRAME, "value"], above)
     pairs = materialize(
@@ -113,18 +151,9 @@ def merge_candidates(tags: DataFrame, above: float = 0.9) -> DataFrame:
         ),
         "track-pairs",
     )
-    frames = points.select(*TRACK, "frame_number").distinct()
-    spans = frames.groupBy(*TRACK).agg(F.min("frame_number").alias("low"), F.max("frame_number").alias("high"))
-    own, other = (spans.toDF("filename", side, f"{side}_low", f"{side}_high") for side in ("lost", "new"))
-    # only tracks whose spans meet can share a frame
-    meeting = pairs.select("filename", "lost", "new").distinct().join(own, ["filename", "lost"]).join(other, ["filename", "new"])
-    meeting = meeting.filter("lost_low <= new_high AND new_low <= lost_high").select("filename", "lost", "new")
-    of_lost = meeting.join(
-        frames.withColumnsRenamed({"track_id": "lost", "frame_number": "shared"}), ["filename", "lost"]
-    )
-    clash = of_lost.join(
-        frames.withColumnsRenamed({"track_id": "new", "frame_number": "shared"}), ["filename", "new", "shared"], "left_semi"
-    ).select("filename", "lost", "new").distinct()
+    one, two = (chunks.select("filename", F.col("track_id").alias(side), "chunk", F.col("frames").alias(f"{side}_frames")) for side in ("lost", "new"))
+    both = pairs.select("filename", "lost", "new").distinct().join(one, ["filename", "lost"]).join(two, ["filename", "new", "chunk"])
+    clash = both.filter(F.col("lost_frames").bitwiseAND(F.col("new_frames")) != 0).select("filename", "lost", "new").distinct()
     votes = pairs.join(clash, ["filename", "lost", "new"], "left_anti")
     first = F.struct("filename", "frame_number")
     return votes.groupBy(F.greatest("lost", "new").alias("rename"), F.least("lost", "new").alias("keep")).agg(

@@ -139,3 +139,47 @@ def test_running_over_a_hot_key(spark):
         else:
             assert got[(i, i)] == i % 5
     assert len(got) == 3000
+
+
+@pytest.fixture(scope="module")
+def long_tracks(spark):
+    """Tracks over 400 tagged frames of two files, in runs of many lengths, so that runs cross the borders of bit sets."""
+    rng, rows = random.Random(8), []
+    for file in ("f.mp4", "g.mp4"):
+        for track in range(12):
+            frame = rng.randrange(40)
+            while frame < 400:
+                for f in range(frame, min(400, frame + rng.choice([1, 2, 30, 64, 130]))):
+                    rows.append(tag(f"{track}-{f}", f * 5 + f // 100, track, 10 * track + f // 50, file))
+                    frame = f
+                frame += rng.choice([2, 3, 65, 128])
+    return spark.createDataFrame(rows, TAG_SCHEMA)
+
+
+def test_moves_from_bit_sets_are_moves_by_point(long_tracks):
+    points = tr.tags_to_tracks(long_tracks).select(*tr.TRACK, "frame_number", "value", "x1", "y1", "x2", "y2")
+    chunks = tr.frame_sets(points.join(tr.numbered_frames(long_tracks), tr.FRAME))
+    assert chunks.selectExpr("max(size(points)) AS n").first().n == 64 and chunks.filter("frames < 0").count() > 0
+    columns = ["filename", "track_id", "kind", "frame_number", "next_frame", "value", "x1", "y1", "x2", "y2"]
+    want = tr._moves(points, long_tracks).select(*columns).collect()
+    assert sorted(map(tuple, tr._chunk_moves(chunks).select(*columns).collect())) == sorted(map(tuple, want))
+
+
+def test_votes_leave_out_tracks_that_share_a_frame(long_tracks):
+    rows = [r.asDict() for r in long_tracks.collect()]
+    held = {(r["filename"], r["track_id"], r["frame_number"]): r for r in rows}
+    frames = {f: sorted({r["frame_number"] for r in rows if r["filename"] == f}) for f in ("f.mp4", "g.mp4")}
+    votes = {}
+    for (file, a, at), left in held.items():
+        place = frames[file].index(at) + 1
+        if place == len(frames[file]) or (file, a, frames[file][place]) in held:
+            continue
+        for b in range(12):
+            right = held.get((file, b, frames[file][place]))
+            if right is None or (file, b, at) in held:
+                continue
+            overlap = max(0, min(left["x2"], right["x2"]) - max(left["x1"], right["x1"])) * 100
+            if overlap / (20000 - overlap) > 0.5 and not any((file, b, f) in held for f in frames[file] if (file, a, f) in held):
+                votes[max(a, b), min(a, b)] = votes.get((max(a, b), min(a, b)), 0) + 1
+    got = {(r.rename, r["keep"]): r.votes for r in tr.merge_candidates(long_tracks, 0.5).collect()}
+    assert got == votes
