@@ -41,3 +41,26 @@ def running(
     out = out.join(carried, [*keys, "_part"])
     out = out.select("*", *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums])
     return out.drop("_part", *[f"_{p}_{n}" for n in sums for p in "vlc"])
+
+
+def sessions(df: DataFrame, keys: list[str], order: str, max_gap: Column | float, name: str = "session") -> DataFrame:
+    """Number the runs of rows of a key, from 0, whose steps in ``order`` do not exceed ``max_gap``.
+
+    A scan over range partitions: each partition marks its own gaps; its first row of a key looks
+    at the greatest value that earlier partitions of the key carry over, and the number of gaps
+    in these is added to its own.
+    """
+    df = df.withColumns({"_key": F.struct(*keys), "_at": F.col(order)})  # structs with a null field are equal
+    part = materialize(df.repartitionByRange("_key", "_at").withColumn("_part", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("_key", "_part").orderBy("_at")
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = part.groupBy("_key", "_part").agg(F.max("_at").alias("_high"))
+    edges = edges.select("_key", "_part", F.max("_high").over(earlier).alias("_carried"))
+    seen = part.join(edges, ["_key", "_part"])
+    step = F.col("_at") - F.coalesce(F.lag("_at").over(within), "_carried")
+    cut = seen.withColumn("_cut", F.coalesce((step > max_gap).cast("long"), F.lit(0).cast("long"))).drop("_carried")
+    cut = materialize(cut.withColumn("_own", F.sum("_cut").over(within.rowsBetween(Window.unboundedPreceding, 0))), "cuts")
+    totals = cut.groupBy("_key", "_part").agg(F.sum("_cut").alias("_cuts"))
+    totals = totals.select("_key", "_part", F.coalesce(F.sum("_cuts").over(earlier), F.lit(0)).alias("_before"))
+    out = cut.join(totals, ["_key", "_part"]).withColumn(name, F.col("_own") + F.col("_before"))
+    return out.drop("_key", "_at", "_part", "_cut", "_own", "_before")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motioncat.functions.boxes import BOX, iou, named, tag_hash
+from motioncat.operators.ordered import sessions
 from motioncat.operators.tags import FRAME, consecutive_frames, overlap_join
 from motioncat.session import forget, materialize
 
@@ -193,21 +194,35 @@ def merge_tracks(tags: DataFrame, above: float = 0.9, min_votes: int = 10) -> Da
     return out.withColumn("track_id", F.coalesce("target", "track_id")).drop("target").select(*tags.columns)
 
 
-def gap_sessions(rows: DataFrame, video: str, max_gap_frames: int, min_size: int = 1) -> DataFrame:
-    """Runs of frames of one video without a gap above ``max_gap_frames``.
+def frame_sessions(rows: DataFrame, video: str, max_gap_frames: int) -> DataFrame:
+    """(video, frame_number, n, session): runs of frames of one video without a gap above ``max_gap_frames``.
 
-    Rows are first counted per frame, so the window sees each frame of a clip once.
+    Rows are first counted per frame; a video of any length spans many partitions.
     """
     frames = rows.groupBy(video, "frame_number").agg(F.count("*").alias("n"))
-    along = Window.partitionBy(video).orderBy("frame_number")
-    gap = F.col("frame_number") - F.lag("frame_number").over(along)
-    marked = frames.withColumn("_cut", F.coalesce((gap > max_gap_frames).cast("int"), F.lit(0)))
-    grouped = marked.withColumn("session", F.sum("_cut").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    out = grouped.groupBy(video, "session").agg(
+    return sessions(frames, [video], "frame_number", max_gap_frames)
+
+
+def gap_sessions(rows: DataFrame, video: str, max_gap_frames: int, min_size: int = 1) -> DataFrame:
+    """Size and span of each session of at least ``min_size`` rows."""
+    return _session_sizes(frame_sessions(rows, video, max_gap_frames), video, min_size).drop("session")
+
+
+def _session_sizes(frames: DataFrame, video: str, min_size: int) -> DataFrame:
+    out = frames.groupBy(video, "session").agg(
         F.sum("n").alias("size"), F.min("frame_number").alias("first_frame"), F.max("frame_number").alias("last_frame")
     )
     span = (F.col("last_frame") - F.col("first_frame")) / F.lit(float(FRAMES_PER_SECOND))
-    return out.filter(F.col("size") >= min_size).select(video, "size", "first_frame", "last_frame", span.alias("span_s"))
+    return out.filter(F.col("size") >= min_size).select(video, "session", "size", "first_frame", "last_frame", span.alias("span_s"))
+
+
+def session_members(rows: DataFrame, video: str, max_gap_frames: int, min_size: int = 1) -> DataFrame:
+    """``rows`` of sessions with at least ``min_size`` rows, with the ``session`` number within their video."""
+    frames = materialize(frame_sessions(rows, video, max_gap_frames), "frame-sessions")
+    large = _session_sizes(frames, video, min_size).select(video, "session")
+    place = F.struct(video, "frame_number").alias("_place")  # also equal where the video is null
+    kept = frames.withColumn("_run", F.struct(video, "session")).join(large.select(F.struct(video, "session").alias("_run")), "_run", "left_semi")
+    return rows.withColumn("_place", place).join(kept.select(place, "session"), "_place").drop("_place")
 
 
 # ---- structure of tracks over embeddings ----

@@ -91,8 +91,16 @@ def track_merge_apply(spark, sf):
     return ops.merge_tracks(fx.tags(spark, sf), 0.5, 1).select("ord", "filename", "frame_number", "value", "track_id")
 
 
-@query("gap_sessions", with_ctes("people", """WITH g AS (SELECT video_filename, frame_number, frame_number - lag(frame_number) OVER (PARTITION BY video_filename ORDER BY frame_number, ord) AS gap, ord FROM people),
-  s AS (SELECT *, sum(CASE WHEN gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY video_filename ORDER BY frame_number, ord) AS session FROM g)
+SESSIONS = """g AS (SELECT video_filename, frame_number, frame_number - lag(frame_number) OVER (PARTITION BY video_filename ORDER BY frame_number, ord) AS gap, ord FROM people),
+  s AS (SELECT *, CAST(sum(CASE WHEN gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY video_filename ORDER BY frame_number, ord) AS BIGINT) AS session FROM g)"""
+
+
+@query("gap_session_members", with_ctes("people", f"WITH {SESSIONS} SELECT ord, video_filename, session FROM s QUALIFY count(*) OVER (PARTITION BY video_filename, session) >= 2"))
+def gap_session_members(spark, sf):
+    return ops.session_members(fx.people(spark, sf), "video_filename", 2, 2).select("ord", "video_filename", "session")
+
+
+@query("gap_sessions", with_ctes("people", f"""WITH {SESSIONS}
   SELECT video_filename, count(*) AS size, min(frame_number) AS first_frame, max(frame_number) AS last_frame,
     round((max(frame_number) - min(frame_number)) / CAST(30 AS DOUBLE), 6) AS span_s FROM s GROUP BY video_filename, session HAVING count(*) >= 2"""))
 def gap_sessions(spark, sf):

@@ -183,3 +183,26 @@ def test_votes_leave_out_tracks_that_share_a_frame(long_tracks):
                 votes[max(a, b), min(a, b)] = votes.get((max(a, b), min(a, b)), 0) + 1
     got = {(r.rename, r["keep"]): r.votes for r in tr.merge_candidates(long_tracks, 0.5).collect()}
     assert got == votes
+
+
+def test_sessions_of_one_long_video(spark):
+    """One video holds nearly all frames and spans every partition; gaps fall anywhere."""
+    rng = random.Random(5)
+    frames = sorted(rng.sample(range(60_000), 20_000))
+    rows = [("long", f) for f in frames] + [("long", frames[0])] * 500 + [("short", 3), ("short", 90), (None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "v string, frame_number int").repartition(6)
+    want, session = {}, 0
+    for a, b in zip(frames, frames[1:]):
+        want[a] = session
+        session += b - a > 7
+    want[frames[-1]] = session
+    got = tr.frame_sessions(df, "v", 7)
+    held = {r.frame_number: (r.session, r.n) for r in got.filter("v = 'long'").collect()}
+    assert {f: s for f, (s, _) in held.items()} == want and held[frames[0]][1] == 501
+    assert {(r.v, r.frame_number, r.session) for r in got.filter("v IS NULL OR v = 'short'").collect()} == {("short", 3, 0), ("short", 90, 1), (None, 1, 0), (None, 2, 0)}
+    assert tr.session_members(df, "v", 7, 2).filter("v IS NULL").count() == 2
+    members = tr.session_members(df, "v", 7, 3).collect()
+    sizes = {}
+    for f in frames + [frames[0]] * 500:
+        sizes[want[f]] = sizes.get(want[f], 0) + 1
+    assert len(members) == sum(n for n in sizes.values() if n >= 3) and {r.session for r in members} == {s for s, n in sizes.items() if n >= 3}
