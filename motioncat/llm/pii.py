@@ -10,11 +10,13 @@ spans of known place written into them, in base form and in forms that the patte
 know (spelled-out addresses, phone numbers without a plus sign, cards with other separators),
 as well as with look-alikes that are no personal data. At most ``TRAIN_WINDOWS`` windows are used.
 
-Every labelled span holds a digit or an at sign, spelled out or not, so a text is read in full
-for those, and the tagger sees overlapping windows over every stretch around one. Windows are
-decoded one by one; their spans are reconciled over the whole text: one that touches the inner
-edge of its window is left to the neighbour that sees it whole, one that overlaps a base span
-is dropped, and of the others the set without overlap that has the greatest total margin stays.
+Every labelled span holds a digit or an at sign, spelled out or not and in either case, so a text
+is read in full for those, and the tagger sees overlapping windows over every stretch around one.
+Windows are decoded one by one. A span that touches the inner edge of its window is left to a
+window that sees it whole; where it overlaps no base span, one more window is laid over that edge,
+so that the ends of a stretch are read like its middle (spans of up to ``WINDOW`` - ``BESIDE``
+characters). Spans are reconciled over the whole text: one that overlaps a base span is dropped,
+and of the others the set without overlap that has the greatest total margin stays.
 
 Nulls: a null text counts as empty and has no spans. Repeated rows each get their row. A table
 without any trigger is tagged by a tagger trained on invented windows alone. Other columns do
@@ -25,23 +27,27 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motioncat.llm.common import lowest_hashes, materialize, slices, texts_of
+from motioncat.llm.common import byte_slices, lowest_hashes, materialize
 from motioncat.llm.pii_model import KINDS, WINDOW, Tagger, classes, tags_of, train
 
 TRAIN_WINDOWS = 400
 WRITTEN_WINDOWS = 1200
 CONTEXT = 32
 STRIDE = 48
+BESIDE = 16
 MARGIN = 0.3
-SLICE_CHARS = 2_000_000
+SLICE_BYTES = 2_000_000
 WINDOWS_AT_ONCE = 1024
 Span = tuple[str, int, int]
 
@@ -51,7 +57,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[({ ]at[\])} ]")
+_TRIGGER = re.compile(r"[0-9@]|[\[({ ][aA][tT][\])} ]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -114,13 +120,10 @@ def windows(text: str) -> list[tuple[int, int]]:
 
 def reconcile(spans: list[tuple[float, str, int, int]], base: list[Span]) -> list[Span]:
     """The heaviest set of spans without overlap, beside the base spans."""
-    taken = sorted((s, e) for _, s, e in base)
-    starts = np.array([s for s, _ in taken])
-    furthest = np.maximum.accumulate([e for _, e in taken]) if taken else np.zeros(0, int)
+    covered = _Covered(base)
     best_of: dict[Span, float] = {}
     for weight, kind, s, e in spans:
-        i = np.searchsorted(starts, e) - 1
-        if i < 0 or furthest[i] <= s:
+        if not covered(s, e):
             best_of[kind, s, e] = max(weight, best_of.get((kind, s, e), 0.0))
     free = sorted(best_of, key=lambda x: (x[2], x[1], x[0]))
     ends = [x[2] for x in free]
@@ -147,7 +150,8 @@ def _plausible(kind: str, text: str, around: str) -> bool:
         return False
     digits = len(_DIGIT.findall(text))
     if kind == "email":
-        return "@" in text or ("at" in text and ("dot" in text or "." in text))
+        low = text.lower()
+        return "@" in low or ("at" in low and ("dot" in low or "." in low))
     if kind == "ip":
         return 4 <= digits <= 12
     return 12 <= digits <= 19 if kind == "card" else 7 <= digits <= 15
@@ -157,9 +161,34 @@ def tagged_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> li
     """Spans that the tagger adds to each text's base spans."""
     where = [(k, s, e) for k, t in enumerate(texts) for s, e in windows(t)]
     seen: list[list[tuple[float, str, int, int]]] = [[] for _ in texts]
+    covered = [_Covered(b) for b in base]
+    cut = _read_windows(where, texts, tagger, seen, covered)
+    looked = {(k, s) for k, s, _ in where}
+    more = sorted({(k, s, min(s + WINDOW, len(texts[k]))) for k, s in cut if (k, s) not in looked})
+    _read_windows(more, texts, tagger, seen, covered)
+    return [reconcile(s, b) for s, b in zip(seen, base)]
+
+
+class _Covered:
+    """Does a place of the text overlap one of some spans?"""
+
+    def __init__(self, spans: list[Span]) -> None:
+        taken = sorted((s, e) for _, s, e in spans)
+        self.starts = [s for s, _ in taken]
+        self.furthest = list(accumulate((e for _, e in taken), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end) - 1
+        return i >= 0 and self.furthest[i] > start
+
+
+def _read_windows(where: list[tuple[int, int, int]], texts: list[str], tagger: Tagger, seen: list[list[tuple[float, str, int, int]]], covered: list[_Covered]) -> list[tuple[int, int]]:
+    """Add what the tagger sees in windows to ``seen``; (text, start) of windows over the inner edges that cut a span."""
+    over = []
     for at in range(0, len(where), WINDOWS_AT_ONCE):
         part = where[at : at + WINDOWS_AT_ONCE]
-        tags, margin = tagger.decode(np.stack([classes(texts[k][s:e]) for k, s, e in part]))
+        shown = [texts[k][s:e] + ("\n" if e == len(texts[k]) else "") for k, s, e in part]  # the end of a text reads like the end of a line
+        tags, margin = tagger.decode(np.stack([classes(t) for t in shown]))
         for row in np.nonzero(tags.any(axis=1))[0]:
             k, low, high = part[row]
             own = tags[row]
@@ -169,11 +198,17 @@ def tagged_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> li
                 while e < WINDOW and own[e] == inside:
                     e += 1
                 s, stop, kind = low + int(b), min(low + int(e), high), KINDS[(own[b] - 1) // 2]
-                cut = (b == 0 and low > 0) or (stop == high and high < len(texts[k]))
+                if covered[k](s, stop):
+                    continue
+                open_left, open_right = b == 0 and low > 0, stop == high and high < len(texts[k])
+                if open_left:
+                    over.append((k, max(0, stop + BESIDE - WINDOW)))
+                if open_right or stop == low + WINDOW:
+                    over.append((k, max(0, s - BESIDE)))
                 sure = float(margin[row, b:e].mean())
-                if not cut and sure >= MARGIN and _plausible(kind, texts[k][s:stop], texts[k][max(0, s - 1) : s] + texts[k][stop : stop + 1]):
+                if not (open_left or open_right) and sure >= MARGIN and _plausible(kind, texts[k][s:stop], texts[k][max(0, s - 1) : s] + texts[k][stop : stop + 1]):
                     seen[k].append((sure * (stop - s), kind, s, stop))
-    return [reconcile(s, b) for s, b in zip(seen, base)]
+    return over
 
 
 # ---- training ----
@@ -200,7 +235,11 @@ def written(rng: random.Random) -> tuple[str | None, str]:
     if pick in (2, 3):
         o, c = rng.choice(["[]", "()", "{}", "  "])
         o, c = (" " + o, c + " ") if rng.random() < 0.5 and o != " " else (o, c)
-        return "email", f"{name}{o}at{c}{host}{o}dot{c}{top.split('.')[0]}"
+        spelled = f"{name}{o}at{c}{host}{o}dot{c}{top.split('.')[0]}"
+        case = rng.randrange(4)
+        if case == 0:
+            return "email", spelled.upper()
+        return "email", spelled.replace(f"{o}at{c}", f"{o}AT{c}").replace(f"{o}dot{c}", f"{o}DOT{c}") if case == 1 else spelled
     if pick in (4, 5):
         return "ip", ".".join(str(rng.randint(0, 255)) for _ in range(4))
     if pick == 6:
@@ -265,9 +304,11 @@ def training_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             firsts = []
-            for t in texts_of(batch.column(1)):
-                m = _TRIGGER.search(t)
-                firsts.append(t[max(0, m.start() - CONTEXT) :][:WINDOW] if m else None)
+            for _, _, raw in byte_slices(batch.column(1), SLICE_BYTES):
+                for t in map(bytes.decode, raw):
+                    m = _TRIGGER.search(t)
+                    start = max(0, m.start() - CONTEXT) if m else 0
+                    firsts.append(t[start : start + WINDOW] if m else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(firsts, pa.string())], names=["h", "window"])
 
     found = docs.select(F.col(key).cast("string").alias("h"), text).mapInArrow(run, "h string, window string")
@@ -307,13 +348,14 @@ def _mapped(docs: DataFrame, carried: list[str], text: str, tagger: Tagger | Non
         model = shared.value
         span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
         for batch in batches:
-            given = batch.column(batch.num_columns - 1).to_pylist()
-            texts = ["" if t is None else t for t in given]
-            for i, j in slices(map(len, texts), SLICE_CHARS):
-                base = [base_spans(t) for t in texts[i:j]]
-                more = tagged_spans(texts[i:j], base, model)
+            given = batch.column(batch.num_columns - 1)
+            for i, j, raw in byte_slices(given, SLICE_BYTES):
+                texts = [t.decode() for t in raw]
+                base = [base_spans(t) for t in texts]
+                more = tagged_spans(texts, base, model)
                 if redact:
-                    out = pa.array([None if given[k] is None else redacted(texts[k], b + m) for k, b, m in zip(range(i, j), base, more)], pa.string())
+                    out = pa.array([redacted(t, b + m) for t, b, m in zip(texts, base, more)], pa.string())
+                    out = pc.if_else(given[i:j].is_valid(), out, pa.scalar(None, pa.string()))
                 else:
                     rows = []
                     for b, m in zip(base, more):

@@ -223,7 +223,31 @@ def test_tagger_gradients_and_held_out_spans():
         text, spans = pii._written_window(held, "ther ea ndst inhe or tible anre thion ed of")
         found = pii.tagged_spans([text], [[]], tagger)[0]
         hit, total, wrong = hit + len(set(found) & set(spans)), total + len(spans), wrong + len(set(found) - set(spans))
-    assert hit >= 0.6 * total and wrong <= 0.3 * total
+    assert hit >= 0.9 * total and wrong <= 0.1 * total
+
+
+def test_added_spans_at_every_offset():
+    """Spelled-out addresses in either case are found wherever they stand in a window or a stretch."""
+    tagger = pii.fit_tagger(("the onhe ation wh erthe sted anin",))
+    filler = "word other thing near " * 12
+    long = "marolistjokaelanberomikast [at] jorostelanbelimi [dot] com"
+    for form in ("jane.roe [AT] hosten [DOT] com", "JANEMI (AT) HOSTEN (DOT) ORG", "karoel [at] stmian [dot] net", long):
+        for pad in range(0, 2 * pii.STRIDE, 3):
+            for tail in (filler, "", " 7 " + filler):
+                text = (filler[:pad].rstrip() + " " + form + " " + tail).strip()
+                at = text.index(form)
+                found = pii.tagged_spans([text], [pii.base_spans(text)], tagger)[0]
+                assert ("email", at, at + len(form)) in found, text
+
+
+def test_covered_places_are_overlaps():
+    rng = Random(8)
+    for _ in range(300):
+        spans = [("ip", s, s + rng.randint(1, 9)) for s in (rng.randrange(30) for _ in range(rng.randrange(5)))]
+        covered = pii._Covered(spans)
+        for s in range(30):
+            e = s + rng.randint(1, 9)
+            assert covered(s, e) == any(a < e and s < b for _, a, b in spans)
 
 
 def test_pages_held_out():
