@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from motioncat.functions import vectors as V
 from motioncat.operators import blocks
 from motioncat.operators.ordered import running
-from motioncat.session import materialize
+from motioncat.session import materialize, small_side
 
 # ---- fixed values ----
 MIN_THRESHOLD, HIGH_CONFIDENCE = 0.7, 0.8
 NEGATIVES_PER_PERSON = 5
-COLLECTED_PROFILES = 4096
-PARTIAL_BYTES = 128 * 1024 * 1024
+COLLECTED_PROFILES, SCORED_ROWS = 4096, 2048
+GRAM_ROWS = 4  # rows for each coordinate from which a person's vectors are dealt over buckets
 # Pairs that the learned similarity is fitted on at most (about), partners of a row in them, and rows summed in each first branch.
 LABELLED_PAIRS, PARTNERS, BRANCHES = 500_000, 8, 16
 
@@ -157,38 +157,54 @@ def negative_pairs(rows: DataFrame, mega: str = "mega_id", first: int = NEGATIVE
 
 # ---- profiles ----
 
-def _moments(rows: DataFrame, key: str) -> DataFrame:
-    """Per key: number, sum and Gram matrix of the unit vectors, without forming a pair.
+def _pair_sums(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, s, q): number of unit vectors, and the sum of v.w and of (v.w)^2 over all pairs of them, (v, v) included.
 
-    Each task adds up its rows per key and hands on one matrix per key; the matrices are
-    then summed with a combining aggregate, so a key of any size costs one matrix per task.
+    A key's rows meet in one task, many keys to a task, where the smaller of two products is formed:
+    of the n vectors with each other, or of their d coordinates (the Gram matrix; both have the same
+    squared sum). A key of more than ``GRAM_ROWS`` * d rows is dealt over as many buckets as it needs,
+    and hands on a Gram matrix for each, a ``1 / GRAM_ROWS`` of its rows. So the rows are shuffled once.
     """
+    known = rows.filter(F.col(key).isNotNull()).select(key, "ord", "embedding")
+    sizes = known.groupBy(key).agg(F.ceil(F.count("*") / (GRAM_ROWS * F.max(F.size("embedding")))).cast("int").alias("buckets"))
+    dealt = known.join(small_side(sizes.filter("buckets > 1")), key, "left")
+    dealt = dealt.withColumn("bucket", F.coalesce(F.pmod(F.xxhash64("ord"), F.col("buckets")), F.lit(-1))).select(key, "bucket", "embedding")
+    kind = rows.schema[key].dataType.simpleString()
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
-
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame({key: list(held), "n": [v[0] for v in held.values()], "s": [v[1] for v in held.values()], "g": [v[2].ravel() for v in held.values()]})
-            held.clear()
-            return out
+    def closed(name: object, bucket: int, parts: list[np.ndarray]) -> tuple:
+        v = np.concatenate(parts)
+        total = v.sum(axis=0)
+        if bucket >= 0:
+            return name, len(v), None, None, total, (v.T @ v).ravel()
+        products = v @ v.T if len(v) < v.shape[1] else v.T @ v
+        return name, len(v), float(total @ total), float((products**2).sum()), None, None
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [key, "n", "s", "q", "total", "gram"]
+        group, parts = None, []
         for pdf in batches:
             if pdf.empty:
                 continue
             vectors = blocks.unit_rows(blocks.matrix(pdf["embedding"]))
-            for name, index in pdf.groupby(key, sort=False).indices.items():
-                v = vectors[index]
-                n, s, g = held.get(name, (0, 0.0, 0.0))
-                held[name] = (n + len(v), s + v.sum(axis=0), g + v.T @ v)
-            if len(held) * vectors.shape[1] ** 2 * 8 > PARTIAL_BYTES:
-                yield flush()
-        if held:
-            yield flush()
-
-    kind = rows.schema[key].dataType.simpleString()
-    parts = rows.select(key, "embedding").mapInPandas(partial, f"`{key}` {kind}, n long, s array<double>, g array<double>")
-    add = lambda c: vector_to_array(Summarizer.sum(array_to_vector(c)))
-    return parts.groupBy(key).agg(F.sum("n").alias("n"), add("s").alias("s"), add("g").alias("g"))
+            names, buckets, out = pdf[key].to_numpy(), pdf["bucket"].to_numpy(), []
+            starts = [0, *(np.nonzero((names[1:] != names[:-1]) | (buckets[1:] != buckets[:-1]))[0] + 1), len(pdf)]
+            for at, end in zip(starts, starts[1:]):
+                own = names[at], int(buckets[at])
+                if own != group:
+                    if parts:
+                        out.append(closed(*group, parts))
+                    group, parts = own, []
+                parts.append(vectors[at:end])
+            yield pd.DataFrame(out, columns=columns)
+        if parts:
+            yield pd.DataFrame([closed(*group, parts)], columns=columns)
+
+    schema = f"`{key}` {kind}, n long, s double, q double, total array<double>, gram array<double>"
+    sums = materialize(dealt.repartition(key, "bucket").sortWithinPartitions(key, "bucket").mapInPandas(run, schema), "pair-sums")
+    add = lambda c: vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c)
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
+    split = sums.filter("gram IS NOT NULL").groupBy(key).agg(F.sum("n").alias("n"), add("total"), add("gram"))
+    return sums.filter("gram IS NULL").select(key, "n", "s", "q").unionByName(split.select(key, "n", square("total").alias("s"), square("gram").alias("q")))
 
 
 def person_profiles(rows: DataFrame, person: str = "person") -> DataFrame:
@@ -196,15 +212,12 @@ def person_profiles(rows: DataFrame, person: str = "person") -> DataFrame:
 
     The threshold is max(0.7, mean - 2 deviations) of the pair similarities over the list of
     pair members, in which each of n vectors stands n - 1 times: a pair of two vectors counts
-    (n - 1)^2 times and a vector meets its own copies with similarity 1. Sums over pairs come
-    from the summed vector and the Gram matrix.
+    (n - 1)^2 times and a vector meets its own copies with similarity 1. Rows need ``ord``.
     """
     stats = vector_stats(rows, [person])
-    moments = _moments(rows, person)
+    moments = _pair_sums(rows, person)
     n = F.col("n").cast("double")
-    square = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
-    pair_sum = (square("s") - n) / 2
-    pair_square = (square("g") - n) / 2
+    pair_sum, pair_square = (F.col("s") - n) / 2, (F.col("q") - n) / 2
     weight, own = (n - 1) * (n - 1), n * (n - 1) * (n - 2) / 2
     all_pairs = weight * n * (n - 1) / 2 + own
     sim = moments.filter("n >= 2").select(
@@ -240,46 +253,43 @@ def _matches(ids: np.ndarray, sims: np.ndarray, thresholds: np.ndarray, names: n
 
 
 def _against_profiles(rows: DataFrame, profiles: DataFrame, person: str, reduce, schema: str) -> DataFrame:
-    """Apply ``reduce`` to the similarities of embeddings with all profiles.
+    """Apply ``reduce`` to the similarities of embeddings with all profiles, chunk by chunk of profiles.
 
-    Up to ``COLLECTED_PROFILES`` profiles travel to every task, so the embeddings are not
-    shuffled. More are cut into chunks and met slice by slice.
+    A chunk of at most ``COLLECTED_PROFILES`` profiles travels to every task, so the embeddings are
+    never shuffled. With more profiles one chunk after another is broadcast and taken back, and each
+    leaves its few values per embedding in a written table; ``reduce`` sees one chunk at a time.
     """
     wanted = profiles.select(F.col(person).cast("string").alias("person"), "profile", "threshold")
     some = wanted.orderBy("person").limit(COLLECTED_PROFILES + 1).collect()
     if not some:
         return rows.sparkSession.createDataFrame([], schema)
-    if len(some) <= COLLECTED_PROFILES:
+    rows = rows.select("ord", "embedding")
+
+    def against(chunk: list) -> tuple[DataFrame, Broadcast]:
         packed = rows.sparkSession.sparkContext.broadcast((
-            np.array([r.profile for r in some], dtype=float), np.array([r.threshold for r in some]), np.array([r.person for r in some], dtype=object),
+            np.array([r.profile for r in chunk], dtype=float), np.array([r.threshold for r in chunk]), np.array([r.person for r in chunk], dtype=object),
         ))
 
         def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             vectors, thresholds, names = packed.value
             for pdf in batches:
-                if not pdf.empty:
-                    yield reduce(pdf["ord"].to_numpy(), _scores(blocks.matrix(pdf["embedding"]), vectors), thresholds, names)
-
-        return rows.select("ord", "embedding").mapInPandas(stream, schema)
-    chunks = math.ceil(wanted.count() / COLLECTED_PROFILES)
-    slices = max(1, math.ceil(rows.count() / blocks.BLOCK_ROWS))
-    left = rows.select("ord", "embedding", F.pmod(F.xxhash64("ord"), F.lit(slices)).alias("_slice")).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    )
-    right = wanted.withColumn("_chunk", F.pmod(F.xxhash64("person"), F.lit(chunks)).cast("int")).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))
-    )
-
-    empty = [field.split()[0] for field in schema.split(", ")]
+                for at in range(0, len(pdf), SCORED_ROWS):
+                    part = pdf.iloc[at : at + SCORED_ROWS]
+                    yield reduce(part["ord"].to_numpy(), _scores(blocks.matrix(part["embedding"]), vectors), thresholds, names)
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("person")
-        if a.empty or b.empty:
-            return pd.DataFrame({name: pd.Series(dtype=object) for name in empty})
-        sims = _scores(blocks.matrix(a["embedding"]), blocks.matrix(b["profile"]))
-        return reduce(a["ord"].to_numpy(), sims, b["threshold"].to_numpy(), b["person"].to_numpy())
+        return rows.mapInPandas(stream, schema), packed
 
-    return left.groupBy("_slice", "_chunk").cogroup(right.groupBy("_slice", "_chunk")).applyInPandas(meet, schema)
+    if len(some) <= COLLECTED_PROFILES:
+        return against(some)[0]
+    rows = materialize(rows, "embeddings")
+    placed = running(wanted.withColumn("_all", F.lit(0)), ["_all"], ["person"], {"nth": F.lit(1)})
+    placed = materialize(placed.withColumn("chunk", F.floor((F.col("nth") - 1) / COLLECTED_PROFILES)), "profiles")
+    written = []
+    for c in range(placed.agg(F.max("chunk")).first()[0] + 1):
+        found, packed = against(placed.filter(F.col("chunk") == c).orderBy("person").collect())
+        written.append(materialize(found, "scores")._scratch)
+        packed.destroy()
+    return rows.sparkSession.read.schema(found.schema).parquet(*written)
 
 
 def profile_matches(rows: DataFrame, profiles: DataFrame, person: str = "person") -> DataFrame:

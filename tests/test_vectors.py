@@ -160,6 +160,52 @@ def test_profiles_and_auto_label(spark, people, vectors, monkeypatch):
     assert {(r.ord, r.person) for r in lb.profile_matches(people, profiles).collect()} == matches
 
 
+def test_profiles_of_split_persons(spark, people, vectors, monkeypatch):
+    """Persons dealt over many buckets, persons with fewer and more vectors than coordinates, and rows without a person."""
+    rows = people.selectExpr("*", "CASE WHEN ord % 3 = 0 THEN 'hot' WHEN ord % 3 = 1 THEN concat('p', ord % 40) WHEN ord % 2 = 0 THEN concat('one', ord) END AS person")
+    whole = {r.person: r for r in lb.person_profiles(rows).collect()}
+    monkeypatch.setattr(lb, "GRAM_ROWS", 1)
+    split = {r.person: r for r in lb.person_profiles(rows).collect()}
+    assert set(split) == set(whole) and "hot" in whole and not any(p.startswith("one") for p in whole)
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    names = {r.ord: r.person for r in rows.select("ord", "person").collect()}
+    for person, r in whole.items():
+        v = u[[o for o, p in names.items() if p == person]]
+        n, sims = len(v), (v @ v.T)[np.triu_indices(len(v), k=1)]
+        times, own = (n - 1) ** 2, n * (n - 1) * (n - 2) / 2  # in the list each vector stands n - 1 times
+        weight = times * len(sims) + own
+        mean, square = (times * sims.sum() + own) / weight, (times * (sims**2).sum() + own) / weight
+        want = max(0.7, mean - 2 * np.sqrt(max(0.0, square - mean**2)))
+        assert r.threshold == pytest.approx(want, abs=1e-9) and split[person].threshold == pytest.approx(want, abs=1e-9)
+        assert r.samples == n * (n - 1) == split[person].samples
+
+
+def test_ten_thousand_profiles(spark, people, vectors):
+    """More profiles than one broadcast: whole results, and no embedding in a shuffle."""
+    rng = np.random.default_rng(3)
+    made = rng.standard_normal((10_000, vectors.shape[1]))
+    made[::100] = vectors[rng.integers(0, len(vectors), 100)]
+    profiles = spark.createDataFrame([(f"p{i:05d}", v.tolist(), 0.95) for i, v in enumerate(made)], "person string, profile array<double>, threshold double")
+    few = people.filter("ord % 5 = 0")
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    sims = u @ (made / np.linalg.norm(made, axis=1, keepdims=True)).T
+    labeled = lb.auto_label(few, profiles)
+    exchanged = [line for line in labeled._jdf.queryExecution().toString().splitlines() if "Exchange" in line]
+    assert exchanged and not any("embedding" in line for line in exchanged)
+    got = {r.ord: r for r in labeled.collect()}
+    assert set(got) == set(range(0, len(vectors), 5))
+    for o, r in got.items():
+        best = sims[o].argmax()
+        top = np.sort(sims[o])
+        found = top[-1] > 0.95
+        assert r.person == (f"p{best:05d}" if found else None) or sims[o][int(r.person[1:])] == pytest.approx(top[-1], abs=1e-12)
+        assert r.confidence == pytest.approx(min(1.0, (top[-1] if found else 0.0) + top[-1] - top[-2]), abs=1e-6)
+    matches = {(r.ord, r.person) for r in lb.profile_matches(few, profiles).collect()}
+    clear = {(o, f"p{j:05d}") for o in got for j in np.nonzero(sims[o] > 0.95 + 1e-6)[0]}
+    edge = {(o, f"p{j:05d}") for o in got for j in np.nonzero(sims[o] > 0.95 - 1e-6)[0]}
+    assert clear <= matches <= edge
+
+
 def test_negative_pairs_against_listing(spark):
     sizes = [3, 1, 7, 2, 6, 4]
     rows = [(m, o) for o, m in enumerate(m for m, n in enumerate(sizes) for _ in range(n))]
