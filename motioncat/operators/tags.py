@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motioncat.functions.boxes import BOX, geometry, iou, named, of_struct, tag_hash
+from motioncat.operators.ordered import running
 from motioncat.session import materialize
 
 FRAME = ["filename", "frame_number"]
@@ -91,15 +92,55 @@ def consecutive_frames(tags: DataFrame) -> DataFrame:
     return frames.select(*FRAME, following.alias("next_frame")).filter("next_frame IS NOT NULL")
 
 
-def track_history(tags: DataFrame, keep: int = 2000) -> DataFrame:
-    """Points drawn so far and the last ``keep`` centres of each track, per frame it appears in."""
+def _numbered_points(tags: DataFrame) -> DataFrame:
+    """(_track, frame_number, ord, pos, point): the centres of each track, numbered from 1 over range partitions."""
     g = geometry()
-    last = Window.partitionBy("filename", "track_id").orderBy("frame_number", "ord")
     point = F.struct(g["center_x"].alias("x"), g["center_y"].alias("y"))
-    return tags.filter("track_id IS NOT NULL").select(
-        "filename", "track_id", "frame_number", "ord",
-        F.least(F.row_number().over(last), F.lit(keep)).alias("points"),
-        F.collect_list(point).over(last.rowsBetween(-(keep - 1), 0)).alias("path"),
+    track = F.struct("filename", "track_id")  # structs with a null field are equal, so no file is lost in joins
+    points = tags.filter("track_id IS NOT NULL").select(track.alias("_track"), "frame_number", "ord", point.alias("point"))
+    return running(points, ["_track"], ["frame_number", "ord"], {"pos": F.lit(1).cast("bigint")})
+
+
+def track_paths(tags: DataFrame, chunk: int = 1000) -> DataFrame:
+    """The centres of each track, each stored once: ``path`` holds the points from number ``first_pos`` on.
+
+    A track of any length is cut into rows of at most ``chunk`` points, so no task holds it whole.
+    """
+    points = _numbered_points(tags).withColumn("_chunk", F.floor((F.col("pos") - 1) / chunk))
+    parts = points.groupBy("_track", "_chunk").agg(F.sort_array(F.collect_list(F.struct("pos", "point"))).alias("items"))
+    return parts.select("_track.*", (F.col("_chunk") * chunk + 1).alias("first_pos"), F.col("items.point").alias("path"))
+
+
+def track_path_index(tags: DataFrame, keep: int = 2000) -> DataFrame:
+    """For each tag of a track the numbers of the first and last point of the path drawn with it (see ``track_paths``)."""
+    pos = F.col("pos")
+    first = F.greatest(pos - keep + 1, F.lit(1))
+    return _numbered_points(tags).select("_track.*", "frame_number", "ord", first.alias("first_pos"), pos.alias("last_pos"))
+
+
+def track_history(tags: DataFrame, keep: int = 2000, chunk: int = 4096) -> DataFrame:
+    """Points drawn so far and the last ``keep`` centres of each track, per frame it appears in.
+
+    Points meet in chunks of a track; the last ``keep`` - 1 of a chunk are also sent to the next one,
+    so every path is a slice of one chunk with what precedes it. The result holds up to ``keep`` points
+    a row; ``track_paths`` with ``track_path_index`` says the same with every point stored once.
+    """
+    chunk = max(chunk, keep)
+    at = F.col("pos") - 1
+    home = F.floor(at / chunk)
+    reaches_on = at % chunk > chunk - keep
+    copies = F.when(reaches_on, F.array(home, home + 1)).otherwise(F.array(home))
+    points = _numbered_points(tags).withColumn("_chunk", F.explode(copies))
+    item = F.struct("pos", "frame_number", "ord", "point")
+    groups = points.groupBy("_track", "_chunk").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    groups = groups.select("_track", "_chunk", "items", F.get("items", F.lit(0))["pos"].alias("base"), F.col("items.point").alias("line"))
+    own = F.filter("items", lambda i: F.floor((i["pos"] - 1) / chunk) == F.col("_chunk"))
+    rows = groups.select("_track", "base", "line", F.explode(own).alias("p"))
+    length = F.least(F.col("p.pos"), F.lit(keep)).cast("int")
+    start = (F.col("p.pos") - length - F.col("base")).cast("int") + 2
+    return rows.select(
+        "_track.*", F.col("p.frame_number").alias("frame_number"), F.col("p.ord").alias("ord"), length.alias("points"),
+        F.slice("line", start, length).alias("path"),
     )
 
 
@@ -130,20 +171,29 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], above: Column | fl
 
 
 def with_track_length(tags: DataFrame) -> DataFrame:
-    """Add ``track_len``: tags of the track over all files; a missing id counts as id 0."""
+    """Add ``track_len``: tags of the track over all files; a missing id counts as id 0.
+
+    Tags without an id are spread over the join, whatever their number, and get the one length of id 0.
+    """
     lengths = tags.filter("track_id IS NOT NULL").groupBy(F.col("track_id").alias("_t")).agg(F.count("*").alias("_n"))
-    out = tags.join(lengths, F.coalesce("track_id", F.lit(0)) == F.col("_t"), "left")
-    return out.withColumn("track_len", F.coalesce("_n", F.lit(0).cast("bigint"))).drop("_t", "_n")
+    none = F.lit(0).cast("bigint")
+    of_zero = F.coalesce(lengths.filter("_t = 0").agg(F.max("_n")).scalar(), none)
+    key = F.coalesce(F.col("track_id"), F.pmod(F.xxhash64("ord"), F.lit(1024)))
+    keyed = tags.withColumns({"_k": key, "_bare": F.col("track_id").isNull()})
+    out = keyed.join(lengths.withColumn("_has", F.lit(False)), (F.col("_k") == F.col("_t")) & (F.col("_bare") == F.col("_has")), "left")
+    return out.withColumn("track_len", F.when(F.col("_bare"), of_zero).otherwise(F.coalesce("_n", none))).drop("_t", "_n", "_k", "_bare", "_has")
 
 
 def _distinct_boxes(tags: DataFrame) -> DataFrame:
     """One row per box of a frame and value: its first ``ord`` and its best tag.
 
+    ``_alone`` is the ``ord`` of a tag whose box overlaps nothing, not even its equal, else null.
+
     Equal boxes overlap fully and have the same neighbours, so they can be combined before
     anything is compared. The best tag is on the longest track, the earliest among equals.
     """
-    payload = [c for c in tags.columns if c not in GROUP]
-    return tags.groupBy(*GROUP, *BOX).agg(
+    payload = [c for c in tags.columns if c not in [*GROUP, "_alone"]]
+    return tags.groupBy(*GROUP, *BOX, "_alone").agg(
         F.min("ord").alias("first_ord"),
         F.min_by(F.struct(*payload), F.struct(-F.col("track_len"), F.col("ord"))).alias("best"),
     )
@@ -218,7 +268,7 @@ def _crowded(tags: DataFrame, crowd: int) -> DataFrame | None:
     many = tags.groupBy(*GROUP).count().filter(F.col("count") > crowd).select(*GROUP)
     if many.isEmpty():
         return None
-    boxes = tags.select(*GROUP, *BOX).join(many, GROUP, "left_semi").distinct()
+    boxes = tags.select(*GROUP, *BOX, "_alone").join(many, GROUP, "left_semi").distinct()
     found = materialize(boxes.groupBy(*GROUP).count().filter(F.col("count") > crowd).select(*GROUP), "crowded")
     return None if found.isEmpty() else found
 
@@ -230,21 +280,21 @@ def nms_dedup(tags: DataFrame, above: float = 0.8, crowd: int = 256) -> DataFram
     distinct boxes of a value are folded in place; fuller ones are settled by joins. A box
     without area overlaps nothing, not even its equal, and stays.
     """
-    if tags.filter("track_id IS NOT NULL").isEmpty():
+    if above >= 1 or tags.filter("track_id IS NOT NULL").isEmpty():
         return tags
-    # a box without area, or one of several where nothing can exceed the limit, overlaps nothing
-    solid = F.coalesce((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & F.lit(above < 1), F.lit(False))
-    measured = with_track_length(tags)
-    flat, tags = measured.filter(~solid), measured.filter(solid)
-    boxes = _distinct_boxes(tags)
+    flat = F.coalesce((F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1")), F.lit(True))
+    tags = tags.withColumn("_alone", F.when(flat, F.col("ord")))
     crowded = _crowded(tags, crowd)
+    measured = with_track_length(tags)
+    boxes = _distinct_boxes(measured)
     if crowded is None:
         kept = _fold_small(boxes, above)
     else:
         kept = _fold_small(boxes.join(crowded, GROUP, "left_anti"), above).unionByName(
             _rounds_large(boxes.join(crowded, GROUP, "left_semi"), above)
         )
-    return kept.select(*[c if c in GROUP else F.col(f"best.{c}").alias(c) for c in tags.columns]).unionByName(flat)
+    columns = [c for c in measured.columns if c != "_alone"]
+    return kept.select(*[c if c in GROUP else F.col(f"best.{c}").alias(c) for c in columns])
 
 
 def tag_database(sides: list[DataFrame], clips: DataFrame, above: float = 0.8) -> DataFrame:

@@ -146,6 +146,21 @@ def track_history(spark, sf):
     return ops.track_history(fx.tags(spark, sf), keep=5).withColumn("path", text)
 
 
+NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY filename, track_id ORDER BY frame_number, ord) AS pos FROM tags)"
+
+
+@query("track_paths", with_ctes("tags", f"""WITH {NUMBERED} SELECT filename, track_id, min(pos) AS first_pos,
+  string_agg(((x1 + x2) // 2) || ':' || ((y1 + y2) // 2), ' ' ORDER BY pos) AS path FROM n GROUP BY filename, track_id, (pos - 1) // 4"""))
+def track_paths(spark, sf):
+    text = F.array_join(F.transform("path", lambda p: F.concat_ws(":", p["x"], p["y"])), " ")
+    return ops.track_paths(fx.tags(spark, sf), chunk=4).withColumn("path", text)
+
+
+@query("track_path_index", with_ctes("tags", f"WITH {NUMBERED} SELECT filename, track_id, frame_number, ord, greatest(pos - 4, 1) AS first_pos, pos AS last_pos FROM n"))
+def track_path_index(spark, sf):
+    return ops.track_path_index(fx.tags(spark, sf), keep=5)
+
+
 @query("tag_hash", with_ctes("tags", f"SELECT ord, {HASH} AS hash FROM tags"))
 def tag_hash(spark, sf):
     return fx.tags(spark, sf).select("ord", B.tag_hash().alias("hash"))
