@@ -10,6 +10,8 @@ from motioncat.functions import boxes as B
 from motioncat.operators import tags as ops
 from motioncat.registry import query
 from motioncat.registry.common import clipd, rounded
+from motioncat.session import scratch_path
+from motioncat.sources import tag_store as store
 
 HASH = "md5(concat_ws('|', filename, frame_number, value, x1, x2, y1, y2))"
 ROW = ["filename", "frame_number", "type", "value", "confidence", "track_id", "x1", "y1", "x2", "y2"]
@@ -76,6 +78,39 @@ def attach_tags_replace(spark, sf):
     return ops.attach_tags(*sides_by_part(spark, sf), tag_clips(spark, sf), "REPLACE").select("hash", *ROW)
 
 
+def stores(spark, sf):
+    """The two sides as stores: written once, then merged without moving a row."""
+    return [store.write_store(side, scratch_path(spark, "tags"), buckets=8) for side in sides_by_part(spark, sf)]
+
+
+def named_hash(merged):
+    return merged.withColumn("hash", F.lower(F.hex("hash"))).select("hash", *ROW)
+
+
+STORED = f"""{SIDES}, s AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY side, filename, frame_number, hash ORDER BY ord DESC) AS rn FROM b) WHERE rn = 1)"""
+
+
+@query("tag_store_merge", with_ctes("tags", f"WITH {STORED} SELECT hash, {ROW_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY filename, frame_number, hash ORDER BY side DESC) AS rn FROM s) WHERE rn = 1"))
+def tag_store_merge(spark, sf):
+    return named_hash(store.merge_stores(stores(spark, sf)))
+
+
+@query("tag_store_merge_new", with_ctes("tags", f"""WITH {STORED} SELECT hash, {ROW_SQL}, side = 1 AS added
+  FROM (SELECT *, row_number() OVER (PARTITION BY filename, frame_number, hash ORDER BY side) AS rn FROM s) WHERE rn = 1"""))
+def tag_store_merge_new(spark, sf):
+    merged = store.merge_stores(stores(spark, sf), later_wins=False)
+    return merged.select(F.lower(F.hex("hash")).alias("hash"), *ROW, (F.col("side") == 1).alias("added"))
+
+
+STORE_ATTACH = f"""WITH {STORED}, {CAT}, m AS (SELECT * FROM s WHERE side = 1 AND filename IN (SELECT filename FROM cat)),
+  k AS (SELECT * FROM s WHERE side = 0 AND filename NOT IN (SELECT filename FROM m)) SELECT hash, {ROW_SQL} FROM (SELECT * FROM k UNION ALL SELECT * FROM m)"""
+
+
+@query("tag_store_replace", with_ctes("tags", STORE_ATTACH))
+def tag_store_replace(spark, sf):
+    return named_hash(store.attach_store(*stores(spark, sf), tag_clips(spark, sf), "REPLACE"))
+
+
 @query("collect_clip_tags", with_ctes("tags", f"WITH {CAT} SELECT {ROW_SQL} FROM tags WHERE filename IN (SELECT filename FROM cat)"))
 def collect_clip_tags(spark, sf):
     return ops.collect_clip_tags(fx.tags(spark, sf), tag_clips(spark, sf)).select(*ROW)
