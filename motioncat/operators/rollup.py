@@ -57,7 +57,11 @@ def row_total(wide: DataFrame, known_devices: list[str]) -> DataFrame:
 
 def cumulative_daily(clips: DataFrame, metric: str, devices: list[str]) -> DataFrame:
     """Running sum per device over the dates that have clips; missing dates then show 0."""
-    wide = daily(clips, metric, devices)
+    return cumulative(daily(clips, metric, devices), devices)
+
+
+def cumulative(wide: DataFrame, devices: list[str]) -> DataFrame:
+    """Running sums of a daily table; dates that it lacks show 0."""
     long = wide.unpivot("date", [f"`{d}`" for d in sorted(devices)], "device", "value")
     upto = Window.partitionBy("device").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     summed = long.select("date", "device", F.sum("value").over(upto).alias("value"))
@@ -65,12 +69,13 @@ def cumulative_daily(clips: DataFrame, metric: str, devices: list[str]) -> DataF
 
 
 def forecast_counts(
-    counts: DataFrame, keys: list[str], days_ahead: int, max_days: int, manual_daily: float | None = None
+    counts: DataFrame, keys: list[str], days_ahead: int, max_days: int, manual_daily: float | None = None, bridge: bool = False
 ) -> DataFrame:
     """Actual daily counts with running totals, then ``days_ahead`` projected days per key.
 
     ``counts`` has (keys, date, value). Projection: mean and population deviation of the
-    last ``max_days`` days; totals widen with the square root of the days ahead.
+    last ``max_days`` days; totals widen with the square root of the days ahead. With ``bridge``
+    the projected series of a key starts with its last actual day, whose bounds are its values.
     """
     dense = densify_dates(counts, keys)
     upto = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -100,4 +105,8 @@ def forecast_counts(
         F.greatest(F.lit(0.0), center - reach).alias("cumulative_lower"),
         (center + reach).alias("cumulative_upper"),
     )
+    if bridge:
+        both = actual.join(last.select(*keys, F.col("last_date").alias("date")), [*keys, "date"], "left_semi")
+        bounds = {f"{c}_{end}": F.col(c) for c in ("count", "cumulative") for end in ("lower", "upper")}
+        projected = projected.unionByName(both.withColumns({"kind": F.lit("projected"), **bounds}))
     return actual.unionByName(projected, allowMissingColumns=True)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-_MODULES = ["catalog", "rollups", "occupancy", "tags", "tracks", "vectors", "clusters", "labeling", "files", "streams"]
+_MODULES = ["catalog", "rollups", "dashboard", "occupancy", "tags", "tracks", "vectors", "clusters", "labeling", "files", "streams"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

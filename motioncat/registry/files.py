@@ -124,10 +124,10 @@ def scan_embeddings(spark, sf):
 def write_embeddings(spark, sf):
     """The columnar form of the same table."""
     path = scratch_path(spark, "embeddings-table")
-    fx.people(spark, sf).write.parquet(path)
+    docs.write_embeddings(fx.people(spark, sf), path)
     total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6)
-    return spark.read.parquet(path).select(
-        "video_filename", "track_id", "frame_number", "confidence", "embedding_quality", F.size("embedding").alias("embedding_dim"), total.alias("total")
+    return docs.read_embeddings(spark, path).select(
+        "video_filename", "track_id", "frame_number", "confidence", "embedding_quality", "embedding_dim", total.alias("total")
     )
 
 

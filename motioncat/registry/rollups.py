@@ -67,7 +67,7 @@ def cumulative_daily(spark, sf):
     return rollup.cumulative_daily(every_other_day(spark, sf), "activity", fx.PIVOT_DEVICES)
 
 
-@query("forecast_counts", with_ctes("clipd", """WITH n AS (SELECT device, CAST(dt AS DATE) AS date, count(*) AS value FROM clipd GROUP BY 1, 2),
+FORECAST = """WITH n AS (SELECT device, CAST(dt AS DATE) AS date, count(*) AS value FROM clipd GROUP BY 1, 2),
   g AS (SELECT device, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM n GROUP BY device),
   x AS (SELECT g.device, g.date, CAST(coalesce(value, 0) AS DOUBLE) AS value FROM g LEFT JOIN n USING (device, date)),
   l AS (SELECT device, max(date) AS last_date, sum(value) AS total FROM x GROUP BY device),
@@ -76,8 +76,20 @@ def cumulative_daily(spark, sf):
   SELECT device, date, 'actual' AS kind, value AS count, NULL AS count_lower, NULL AS count_upper,
     sum(value) OVER (PARTITION BY device ORDER BY date) AS cumulative, NULL AS cumulative_lower, NULL AS cumulative_upper FROM x
   UNION ALL SELECT device, last_date + CAST(i AS INT), 'projected', round(m, 6), round(greatest(0, m - sd), 6), round(m + sd, 6),
-    round(total + m * i, 6), round(greatest(0, total + m * i - sd * sqrt(i)), 6), round(total + m * i + sd * sqrt(i), 6) FROM p"""))
+    round(total + m * i, 6), round(greatest(0, total + m * i - sd * sqrt(i)), 6), round(total + m * i + sd * sqrt(i), 6) FROM p"""
+
+
+@query("forecast_counts", with_ctes("clipd", FORECAST))
 def forecast_counts(spark, sf):
     counts = rollup.rollup_long(clipd(spark, sf), "activity", F.to_date("dt"), "date")
     out = rollup.forecast_counts(counts, ["device"], days_ahead=10, max_days=14)
     return rounded(out, "count", "count_lower", "count_upper", "cumulative", "cumulative_lower", "cumulative_upper")
+
+
+@query("forecast_series", with_ctes("clipd", FORECAST + """
+  UNION ALL SELECT l.device, last_date, 'projected', value, value, value, total, total, total FROM l JOIN x ON x.device = l.device AND x.date = l.last_date"""))
+def forecast_series(spark, sf):
+    """With the bridge: each projected series starts at the last actual day."""
+    counts = rollup.rollup_long(clipd(spark, sf), "activity", F.to_date("dt"), "date")
+    out = rollup.forecast_counts(counts, ["device"], days_ahead=10, max_days=14, bridge=True)
+    return rounded(out, "count", "count_lower", "count_upper", "cumulative", "cumulative_lower", "cumulative_upper")

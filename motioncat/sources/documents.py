@@ -18,10 +18,11 @@ TAG_STRUCT = (
     " track_id: bigint, is_new_track: boolean>"
 )
 TAG_DOC = f"timestamp string, tag_processing_config map<string, string>, tags map<string, map<string, map<string, {TAG_STRUCT}>>>"
-PERSON_STRUCT = (
-    "struct<track_id: string, frame_number: int, video_filename: string, embedding: array<double>, embedding_type: string,"
-    " confidence: double, embedding_quality: double, timestamp: string, embedding_dim: int>"
+PERSON_COLUMNS = (
+    "track_id string, frame_number int, video_filename string, embedding array<double>, embedding_type string,"
+    " confidence double, embedding_quality double, timestamp string, embedding_dim int"
 )
+PERSON_STRUCT = f"struct<{PERSON_COLUMNS}>"
 EMBEDDING_DOC = f"metadata struct<total_embeddings: bigint, embedding_dim: int>, embeddings array<{PERSON_STRUCT}>, _broken string"
 MEMBER_STRUCT = "struct<track_id: string, frame_number: int, video_filename: string, confidence: double, embedding_quality: double>"
 CLUSTER_STRUCT = (
@@ -98,6 +99,29 @@ def read_embeddings_json(spark: SparkSession, path: str, multi_line: bool = Fals
     return docs.filter("_broken IS NULL").select(F.explode("embeddings").alias("e")).select("e.*")
 
 
+def write_embeddings(people: DataFrame, path: str, kind: str = "clip", timestamp: str = "") -> None:
+    """The columnar form of the embeddings: Parquet with the columns of the JSON form.
+
+    Rows are range-partitioned and sorted by video and frame, so that a reader that asks for some
+    videos skips the other row groups, and a video of any size spans files.
+    """
+    rows = people.select(
+        F.col("track_id").cast("string").alias("track_id"), F.col("frame_number").cast("int").alias("frame_number"), "video_filename",
+        F.col("embedding").cast("array<double>").alias("embedding"), F.lit(kind).alias("embedding_type"),
+        F.col("confidence").cast("double").alias("confidence"), F.col("embedding_quality").cast("double").alias("embedding_quality"),
+        F.lit(timestamp).alias("timestamp"), F.size("embedding").alias("embedding_dim"),
+    )
+    order = ["video_filename", "frame_number", "track_id"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def read_embeddings(spark: SparkSession, path: str, videos: list[str] | None = None, min_quality: float | None = None) -> DataFrame:
+    """Embeddings of a columnar table; the criteria reach the scan."""
+    rows = spark.read.schema(PERSON_COLUMNS).parquet(path)
+    rows = rows if videos is None else rows.filter(F.col("video_filename").isin(videos))
+    return rows if min_quality is None else rows.filter(F.col("embedding_quality") >= min_quality)
+
+
 # ---- clusters ----
 
 def write_clusters_json(clusters: DataFrame, members: DataFrame, path: str, kind: str = "standard") -> None:
