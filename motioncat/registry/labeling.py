@@ -11,6 +11,8 @@ from motioncat.operators import crops
 from motioncat.operators import labels as lb
 from motioncat.registry import query
 from motioncat.registry.common import rounded
+from motioncat.session import scratch_path
+from motioncat.sources import labels as files
 
 # clusters are the given vectors; every fifth gets a second label event, every seventh leaves its person
 EVENTS = """SELECT vec_id AS cluster_id, seq, CASE WHEN seq = 0 THEN concat('P', label) ELSE concat('P', label, '-fixed') END AS label,
@@ -106,6 +108,24 @@ def training_pairs_negative(spark, sf):
     return lb.negative_pairs(fx.people(spark, sf).withColumnRenamed("vec_id", "mega_id").select("mega_id", "ord"))
 
 
+# ---- documents ----
+@query("label_documents", with_ctes("people", f"""WITH {LAB} SELECT cluster_id, label, CAST(1 AS DOUBLE) AS confidence, coalesce(notes, '') AS notes, verified, '2024-02-01T00:00:00' AS timestamp FROM lab"""))
+def label_documents(spark, sf):
+    """Labels written as documents and read back; a label without a note gets an empty one."""
+    path = scratch_path(spark, "labels-json")
+    files.write_labels_json(lb.assign_labels(label_events(spark, sf)), path, "2024-02-01T00:00:00", clusters(spark, sf).count())
+    return files.read_labels_json(spark, path)
+
+
+@query("mega_documents", with_ctes("people", f"""WITH {LAB} SELECT cluster_id, CAST(mega_id AS VARCHAR) AS mega_id, concat('person ', mega_id) AS person_name FROM meg"""))
+def mega_documents(spark, sf):
+    path = scratch_path(spark, "megas-json")
+    members = lb.mega_membership(mega_events(spark, sf)).withColumn("person_name", F.concat(F.lit("person "), F.col("mega_id")))
+    files.write_megas_json(members, path, "2024-02-01T00:00:00", clusters(spark, sf).count())
+    megas, back = files.read_megas_json(spark, path)
+    return back.join(megas, "mega_id").select("cluster_id", "mega_id", "person_name")
+
+
 # ---- profiles ----
 def persons(spark, sf):
     return fx.people(spark, sf).withColumn("person", F.concat(F.lit("P"), F.col("vec_id").cast("string")))
@@ -130,6 +150,17 @@ def person_profiles(spark, sf):
     )
 
 
+@query("profile_documents", with_ctes("people", f"""WITH {PROFILE} SELECT person, n * (n - 1) AS samples, round(threshold, 6) AS threshold, round(list_sum(profile), 6) AS mean_total,
+  round(list_sum(std), 6) AS std_total, CAST(0.8 AS DOUBLE) AS confidence_threshold FROM th JOIN n USING (person) JOIN pr USING (person)"""))
+def profile_documents(spark, sf):
+    path = scratch_path(spark, "profiles-json")
+    files.write_profiles_json(lb.person_profiles(persons(spark, sf)), path, "2024-02-01T00:00:00")
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6)
+    return files.read_profiles_json(spark, path).select(
+        "person", "samples", F.round("threshold", 6).alias("threshold"), total("profile").alias("mean_total"), total("std").alias("std_total"), "confidence_threshold"
+    )
+
+
 NRM = "sqrt(list_dot_product({0}, {0}))"
 SIMS = f"""{PROFILE}, sims AS (SELECT p.ord, th.person, threshold, list_dot_product(embedding, profile) / (({NRM.format('embedding')} + 1e-8) * ({NRM.format('profile')} + 1e-8)) AS sim
   FROM people p CROSS JOIN th JOIN pr USING (person))"""
