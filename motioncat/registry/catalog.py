@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from motioncat import fixtures as fx
@@ -10,13 +12,14 @@ from motioncat.functions import clips as C
 from motioncat.operators import catalog as ops
 from motioncat.operators import devices as dev
 from motioncat.operators import rollup
-from motioncat.plans.run import Analysis, run_stories
+from motioncat.plans.run import Analysis, run_analysis, run_stories
 from motioncat.plans.selectors import Selector, select_clips, with_names
 from motioncat.plans.story import Story, filter_occupancy
 from motioncat.registry import query
 from motioncat.registry.common import clipd, rounded, sql_wide
 from motioncat.session import scratch_path
 from motioncat.sources import catalog as src
+from motioncat.sources.documents import write_tags_json
 
 KEPT = ["load_seq", "filename", "device", "dt", "duration_s"]
 SQL_KEPT = "SELECT load_seq, filename, device, dt, duration_s FROM clipd"
@@ -357,3 +360,32 @@ def story_outputs(spark, sf):
     days = spark.read.option("header", True).csv(f"{folder}/daily-activity").count()
     out = written.join(lines, "full_path", "left").select("filename", "dt", "device", F.coalesce("_in", F.lit(False)).alias("listed"))
     return out.select("*", F.lit(totals.num_videos).alias("num_videos"), F.lit(days).cast("bigint").alias("num_days"))
+
+
+EVENING = Story.from_dict({"name": "evenings", "selectors": [{"devices": ["Backyard", "Garage"], "time_range": {"start": "17:00:00", "end": "23:30:00"}}]})
+RUN_SQL = """WITH u AS (SELECT * FROM clipd QUALIFY row_number() OVER (PARTITION BY filename, dt ORDER BY load_seq) = 1),
+  s AS (SELECT * FROM u WHERE device IN ('Backyard', 'Garage') AND CAST(dt AS TIME) BETWEEN TIME '17:00:00' AND TIME '23:30:00'),
+  t AS (SELECT DISTINCT filename, load_seq % 5 AS frame_number FROM clipd WHERE filename IN (SELECT filename FROM s))
+  SELECT filename, dt, device, (SELECT count(*) FROM s) AS num_videos, (SELECT count(*) FROM t) AS num_tags, (SELECT count(DISTINCT filename) FROM t) AS num_tagged_videos FROM s"""
+
+
+@query("analysis_run", with_ctes("clipd", RUN_SQL))
+def analysis_run(spark, sf):
+    """A run from its files: two archives that overlap, two tag files that overlap, and one story."""
+    root = scratch_path(spark, "analysis")
+    clips = clipd(spark, sf)
+    whole = ops.dedup_clips(clips)
+    src.write_catalog_csv(whole.filter("load_seq % 10 < 7"), f"{root}/a")
+    src.write_catalog_csv(whole.filter("load_seq % 10 >= 5"), f"{root}/b")
+    tags = clips.selectExpr(
+        "filename", "CAST(load_seq % 5 AS INT) AS frame_number", "'TRACKED_OBJECT' AS type", "'person' AS value", "0.5D AS confidence",
+        "load_seq % 3 + 1 AS track_id", "10 AS x1", "10 AS y1", "50 AS x2", "90 AS y2", "load_seq AS ord", "load_seq")
+    write_tags_json(tags.filter("load_seq % 4 < 3"), f"{root}/t1", "2024-02-01T00:00:00")
+    write_tags_json(tags.filter("load_seq % 4 >= 2"), f"{root}/t2", "2024-02-02T00:00:00")
+    analysis = Analysis.from_dict({
+        "video_database_list": [{"video_metadata_file": f"{root}/{n}"} for n in "ab"], "tag_database_files": [f"{root}/t1", f"{root}/t2"],
+        "output_directory": f"{root}/out"})
+    folder = run_analysis(replace(analysis, stories=[EVENING]), spark)[EVENING.name]
+    totals = spark.read.json(f"{folder}/statistics").first()
+    counts = [F.lit(totals[c]).cast("bigint").alias(c) for c in ("num_videos", "num_tags", "num_tagged_videos")]
+    return src.read_catalog_csv(spark, f"{folder}/metadata")[0].select("filename", "dt", "device", *counts)

@@ -52,10 +52,11 @@ def write_tags_json(tags: DataFrame, path: str, timestamp: str, config: dict[str
     )
     order = F.col("ord") if "ord" in tags.columns else tag
     flat = tags.select("filename", F.col("frame_number").cast("string").alias("frame"), key.alias("hash"), tag.alias("tag"), order.alias("order"))
-    # equal tags of one frame are one entry: the one that was inserted last
-    flat = flat.groupBy("filename", "frame", "hash").agg(F.max_by("tag", "order").alias("tag"))
+    # equal tags of one frame are one entry: the one that was inserted last, at the place of the first
+    flat = flat.groupBy("filename", "frame", "hash").agg(F.max_by("tag", "order").alias("tag"), F.min("order").alias("order"))
     docs = _documents(flat, ["filename"], F.struct("frame", "hash"))
-    per_frame = docs.groupBy("filename", "_doc", "frame").agg(F.map_from_entries(F.collect_list(F.struct("hash", "tag"))).alias("m"))
+    placed = F.transform(F.sort_array(F.collect_list(F.struct("order", "hash", "tag"))), lambda t: F.struct(t["hash"], t["tag"]))
+    per_frame = docs.groupBy("filename", "_doc", "frame").agg(F.map_from_entries(placed).alias("m"))
     per_doc = per_frame.groupBy("filename", "_doc").agg(F.map_from_entries(F.collect_list(F.struct("frame", "m"))).alias("m"))
     settings = F.lit(None).cast("map<string,string>") if not config else F.create_map(*[F.lit(x) for kv in config.items() for x in kv])
     per_doc.select(
@@ -63,8 +64,11 @@ def write_tags_json(tags: DataFrame, path: str, timestamp: str, config: dict[str
     ).write.mode("overwrite").json(path)
 
 
-def read_tags_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Flat tags of all documents; nothing for a missing path. ``multi_line`` reads one indented document per file."""
+def read_tags_json(spark: SparkSession, path: str, multi_line: bool = False, placed: bool = False) -> DataFrame:
+    """Flat tags of all documents; nothing for a missing path. ``multi_line`` reads one indented document per file.
+
+    With ``placed`` there is also ``place``, the position of a tag among those of its frame in the document.
+    """
     try:
         docs = spark.read.schema(TAG_DOC).option("multiLine", multi_line).json(path)
     except AnalysisException as exc:
@@ -73,8 +77,8 @@ def read_tags_json(spark: SparkSession, path: str, multi_line: bool = False) ->
         docs = spark.createDataFrame([], TAG_DOC)
     frames = docs.select("timestamp", F.explode("tags").alias("filename", "frames"))
     hashes = frames.select("timestamp", "filename", F.explode("frames").alias("frame", "hashes"))
-    return hashes.select("timestamp", "filename", F.col("frame").try_cast("int").alias("frame_number"), F.explode("hashes").alias("hash", "tag")).select(
-        "timestamp", "filename", "frame_number", "hash", "tag.type", "tag.value", F.col("tag.confidence").try_cast("double").alias("confidence"),
+    return hashes.select("timestamp", "filename", F.col("frame").try_cast("int").alias("frame_number"), F.posexplode("hashes").alias("place", "hash", "tag")).select(
+        "timestamp", "filename", "frame_number", "hash", *(["place"] if placed else []), "tag.type", "tag.value", F.col("tag.confidence").try_cast("double").alias("confidence"),
         "tag.track_id", "tag.is_new_track", "tag.bounding_box.x1", "tag.bounding_box.y1", "tag.bounding_box.x2", "tag.bounding_box.y2",
     )
 
