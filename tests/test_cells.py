@@ -102,3 +102,18 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert cl.cluster_complete_link(none, 0.9).collect() == cl.cluster_greedy(none, 0.9).collect() == []
     assert blocks.in_cells(none.withColumn("id", F.col("ord")).select("id", V.unit(F.col("embedding")).alias("embedding")), 0.9).count() == 0
+
+
+def test_copies_of_a_vector_on_their_way_are_few():
+    """Vectors without structure reach every cell: pivots are dropped rather than sending each vector to all of them."""
+    rng = np.random.default_rng(3)
+    vectors = blocks.unit_rows(rng.normal(size=(400, 16)))
+    pivots = blocks._few_visits(vectors, 100, 0.6, blocks.VISITS)
+    assert len(blocks._route(vectors, pivots, 0.6)[0]) <= blocks.VISITS * len(vectors)
+    assert blocks._block_rows(400_000, 64, blocks.BLOCK_ROWS) * blocks.BLOCK_SHARE >= 400_000
+    assert blocks._block_rows(1 << 40, 64, blocks.BLOCK_ROWS) * 64 * 8 <= blocks.BLOCK_BYTES
+
+
+def test_links_as_stars():
+    found = blocks.stars(np.array([5, 9, 7, 2]), np.array([9, 7, 3, 4]))
+    assert sorted(zip(found["a"], found["b"])) == [(2, 4), (3, 5), (3, 7), (3, 9)]
