@@ -43,25 +43,28 @@ def _documents(rows: DataFrame, keys: list[str], spread: Column) -> DataFrame:
 # ---- tags ----
 
 def write_tags_json(tags: DataFrame, path: str, timestamp: str, config: dict[str, str] | None = None) -> None:
-    """Documents ``{timestamp, tag_processing_config, tags: {file: {frame: {hash: tag}}}}``."""
-    key = tag_hash() if "hash" not in tags.columns else F.col("hash").cast("string")
+    """Documents ``{timestamp, tag_processing_config, tags: {file: {frame: {hash: tag}}}}``, in files packed by gzip."""
+    made = "hash" not in tags.columns
+    key = tag_hash() if made else F.col("hash").cast("string")
     box = F.struct("x1", "y1", "x2", "y2")
     tag = F.struct(
         "type", "value", F.col("confidence").cast("string").alias("confidence"), box.alias("bounding_box"), "track_id",
         (F.col("is_new_track") if "is_new_track" in tags.columns else F.lit(None).cast("boolean")).alias("is_new_track"),
     )
     order = F.col("ord") if "ord" in tags.columns else tag
-    flat = tags.select("filename", F.col("frame_number").cast("string").alias("frame"), key.alias("hash"), tag.alias("tag"), order.alias("order"))
+    flat = tags.select("filename", F.col("frame_number").cast("string").alias("frame"), F.unhex(key).alias("hash") if made else key.alias("hash"), tag.alias("tag"), order.alias("order"))
+    # A row's document follows from its identity, so rows move once, and equal tags meet in their document.
+    docs = _documents(flat, ["filename"], F.struct("frame", "hash")).repartition("filename", "_doc")
     # equal tags of one frame are one entry: the one that was inserted last, at the place of the first
-    flat = flat.groupBy("filename", "frame", "hash").agg(F.max_by("tag", "order").alias("tag"), F.min("order").alias("order"))
-    docs = _documents(flat, ["filename"], F.struct("frame", "hash"))
+    docs = docs.groupBy("filename", "_doc", "frame", "hash").agg(F.max_by("tag", "order").alias("tag"), F.min("order").alias("order"))
+    docs = docs.withColumn("hash", F.lower(F.hex("hash"))) if made else docs
     placed = F.transform(F.sort_array(F.collect_list(F.struct("order", "hash", "tag"))), lambda t: F.struct(t["hash"], t["tag"]))
     per_frame = docs.groupBy("filename", "_doc", "frame").agg(F.map_from_entries(placed).alias("m"))
     per_doc = per_frame.groupBy("filename", "_doc").agg(F.map_from_entries(F.collect_list(F.struct("frame", "m"))).alias("m"))
     settings = F.lit(None).cast("map<string,string>") if not config else F.create_map(*[F.lit(x) for kv in config.items() for x in kv])
     per_doc.select(
         F.lit(timestamp).alias("timestamp"), settings.alias("tag_processing_config"), F.create_map("filename", "m").alias("tags")
-    ).write.mode("overwrite").json(path)
+    ).write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def read_tags_json(spark: SparkSession, path: str, multi_line: bool = False, placed: bool = False) -> DataFrame:
