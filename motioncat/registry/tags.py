@@ -80,7 +80,8 @@ def attach_tags_replace(spark, sf):
 
 def stores(spark, sf):
     """The two sides as stores: written once, then merged without moving a row."""
-    return [store.write_store(side, scratch_path(spark, "tags"), buckets=8) for side in sides_by_part(spark, sf)]
+    buckets = store.buckets_for(fx.tags(spark, sf).count())
+    return [store.write_store(side, scratch_path(spark, "tags"), buckets) for side in sides_by_part(spark, sf)]
 
 
 def named_hash(merged):

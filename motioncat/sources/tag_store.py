@@ -10,6 +10,7 @@ merge must have the same number of buckets (other numbers are right too, but shu
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from motioncat.session import scratch_path, small_side
 
 KEY = [*FRAME, "hash"]
 SIDES_AT_ONCE = 6
+BUCKET_ROWS = 500_000
 
 
 def _name(path: str) -> str:
@@ -44,9 +46,15 @@ def write_store(tags: DataFrame, path: str, buckets: int = 200) -> DataFrame:
     checked = F.when(placed, F.unhex(tag_hash())).otherwise(F.raise_error(F.lit("a tag needs a file and a frame")).cast("binary"))
     keyed = tags.drop("hash").withColumn("hash", checked)
     rest = [c for c in keyed.columns if c not in KEY]
-    last = keyed.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "ord").alias("_row"))
+    # rows move once, to their bucket, in which equal tags meet
+    last = keyed.repartition(buckets, *KEY).groupBy(*KEY).agg(F.max_by(F.struct(*rest), "ord").alias("_row"))
     rows = last.select(*KEY, *[F.col(f"_row.{c}").alias(c) for c in rest])
-    return _save(rows.repartition(buckets, *KEY), path, buckets)
+    return _save(rows, path, buckets)
+
+
+def buckets_for(rows: int) -> int:
+    """Number of buckets for stores of about ``rows`` tags, a power of two: a bucket holds ``BUCKET_ROWS`` at most."""
+    return 8 << max(0, math.ceil(math.log2(max(1, rows) / (8 * BUCKET_ROWS))))
 
 
 def open_store(spark: SparkSession, path: str, buckets: int, schema: str) -> DataFrame:
