@@ -141,7 +141,7 @@ def merge_candidates(tags: DataFrame, above: float = 0.9) -> DataFrame:
     """
     slim = materialize(tags.select(*TRACK, "frame_number", "value", *BOX, "ord"), "slim-tags")
     frames = materialize(numbered_frames(slim), "frames")
-    chunks = materialize(frame_sets(tags_to_tracks(slim).join(frames, FRAME)), "track-chunks")
+    chunks = materialize(frame_sets(tags_to_tracks(slim).drop("ord").join(frames, FRAME)), "track-chunks")
     moves = materialize(_chunk_moves(chunks), "track-moves")
     lost, new = moves.filter("kind = 'lost'"), moves.filter("kind = 'new'")
     met = overlap_join(lost, new, [*FRAME, "value"], above)
