@@ -8,40 +8,45 @@ from pyspark.sql import functions as F
 from motioncat.session import forget, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step: link the larger (or smaller) neighbours of a node to its least neighbour."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    around = both if large else both.filter(F.col("v") < F.col("u"))
-    least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    linked = around.join(least, "u")
-    if large:
-        moved = linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        own = least.filter(F.col("m") < F.col("u")).select("u", F.col("m").alias("v"))
-        moved = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
-    return moved.filter(F.col("u") != F.col("v")).distinct()
-
-
-def _all_stars(edges: DataFrame) -> bool:
-    """Does every node either hang on exactly one smaller node, or only carry others?"""
-    one, none = F.lit(1), F.lit(0)
-    ends = edges.select(F.col("u").alias("id"), one.alias("hangs"), none.alias("carries")).unionByName(
-        edges.select(F.col("v").alias("id"), none.alias("hangs"), one.alias("carries"))
-    )
-    nodes = ends.groupBy("id").agg(F.sum("hangs").alias("hangs"), F.max("carries").alias("carries"))
-    return nodes.filter((F.col("hangs") > 1) | ((F.col("hangs") == 1) & (F.col("carries") == 1))).isEmpty()
+def _contracted(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(id, to) of every node of ``edges`` (u, v), and the edges between those: a node goes to the least of itself
+    and its neighbours, in an order drawn anew each turn, so that a turn leaves two thirds of the nodes or fewer."""
+    place = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
+    both = edges.select(F.col("u").alias("id"), place("v").alias("p")).unionByName(edges.select(F.col("v").alias("id"), place("u").alias("p")))
+    least = both.groupBy("id").agg(F.min("p").alias("p")).select("id", F.least("p", place("id"))["id"].alias("to"))
+    least = materialize(least, "targets")
+    moved = edges.join(least.select(F.col("id").alias("u"), F.col("to").alias("a")), "u").select("a", "v")
+    moved = moved.join(least.select(F.col("id").alias("v"), F.col("to").alias("b")), "v").select("a", "b")
+    return least, _proper(moved)
+
+
+def _proper(edges: DataFrame) -> DataFrame:
+    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return materialize(ends.filter("u <> v").distinct(), "edges")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for nodes with an edge; the component is its smallest id.
 
-    ``edges`` has (a, b). Alternating star steps reach one star per component in a number
-    of rounds that grows with the logarithm of the diameter.
+    ``edges`` has (a, b). Each turn moves every node to a neighbour and keeps the edges between the
+    places reached, which shrink turn by turn, whatever the order of the ids; then the places are
+    handed back down the turns.
     """
-    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    state = materialize(ends.filter("u <> v").distinct(), "edges")
-    while not _all_stars(state):
-        before, state = state, materialize(_star(_star(state, large=True), large=False), "edges")
+    state, targets = _proper(edges), []
+    while not state.isEmpty():
+        before = state
+        least, state = _contracted(before, len(targets))
+        targets.append(least)
         forget(before)
-    roots = state.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots).distinct()
+    if not targets:
+        return state.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    forget(state)
+    places = targets.pop()
+    while targets:
+        above, below = places, targets.pop()
+        on = above.select(F.col("id").alias("to"), F.col("to").alias("_end"))
+        places = materialize(below.join(on, "to", "left").select("id", F.coalesce("_end", "to").alias("to")), "places")
+        forget(above)
+        forget(below)
+    least = places.groupBy("to").agg(F.min("id").alias("component"))
+    return places.join(least, "to").select("id", "component")

@@ -62,3 +62,33 @@ def test_scratch_is_bounded_and_deleted(spark):
     assert len(glob.glob(f"{shared_folder(spark)}/motioncat/run-{RUN}/*")) == 1
     cleanup(spark)
     assert glob.glob(f"{shared_folder(spark)}/motioncat/run-{RUN}*") == []
+
+
+def test_edges_shrink_while_components_are_found(spark, monkeypatch):
+    """Each turn keeps the edges between fewer nodes; all turns together write little more than the first."""
+    import numpy as np
+
+    from motioncat.operators import graph
+    from motioncat.session import materialize
+
+    written = []
+
+    def counted(df, name):
+        out = materialize(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    rng = np.random.default_rng(5)
+    pairs = {(int(a), 1000 + int(b)) for a, b in zip(rng.integers(0, 50, 1500), rng.integers(0, 1000, 1500))} | {(9000 + i, 9001 + i) for i in range(300)}
+    got = {r["id"]: r["component"] for r in graph.connected_components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    edges = [n for name, n in written if name == "edges"]
+    assert sum(edges) < 2.5 * edges[0], edges
+    label = {x: x for p in pairs for x in p}
+    for _ in range(len(label)):
+        before = dict(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            break
+    assert got == label
