@@ -117,3 +117,32 @@ def test_copies_of_a_vector_on_their_way_are_few():
 def test_links_as_stars():
     found = blocks.stars(np.array([5, 9, 7, 2]), np.array([9, 7, 3, 4]))
     assert sorted(zip(found["a"], found["b"])) == [(2, 4), (3, 5), (3, 7), (3, 9)]
+
+
+def test_pivots_are_kept_only_while_they_save_copies():
+    """A row is sent once for each block of every cell it goes to: without structure one cell of all blocks is the least."""
+    rng = np.random.default_rng(3)
+    loose = blocks.unit_rows(rng.normal(size=(400, 64)))
+    assert len(blocks._few_visits(loose, 32, 0.49, blocks.VISITS, 8.0)) == 1
+    base = rng.normal(size=(8, 64))
+    tight = blocks.unit_rows(np.repeat(base, 50, axis=0) + rng.normal(scale=0.01, size=(400, 64)))
+    pivots = blocks._few_visits(tight[rng.permutation(400)], 8, 0.1, blocks.VISITS, 8.0)
+    assert len(pivots) > 4
+
+
+def test_dbscan_compares_once_unless_pairs_are_many(spark, monkeypatch):
+    people = frame(spark, sample(n_groups=8, copies=30, hot=10))
+    passes, reduce_ = [], blocks.block_reduce
+
+    def counted(*a, **k):
+        passes.append(a[2])
+        return reduce_(*a, **k)
+
+    monkeypatch.setattr(blocks, "block_reduce", counted)
+    for samples in (1, 3, 29):
+        passes.clear()
+        monkeypatch.setattr(blocks, "TASK_PAIRS", 1 << 19)
+        once = labels_of(cl.cluster_dbscan(people, 0.1, samples))
+        assert len(passes) == 1
+        monkeypatch.setattr(blocks, "TASK_PAIRS", 5)
+        assert once == labels_of(cl.cluster_dbscan(people, 0.1, samples)) and len(passes) == 4
