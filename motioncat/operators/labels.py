@@ -20,7 +20,8 @@ from motioncat.session import materialize, small_side
 # ---- fixed values ----
 MIN_THRESHOLD, HIGH_CONFIDENCE = 0.7, 0.8
 NEGATIVES_PER_PERSON = 5
-COLLECTED_PROFILES, SCORED_ROWS = 4096, 2048
+# profiles scored at once, rows scored at once, and profiles in a broadcast as a multiple of the first
+COLLECTED_PROFILES, SCORED_ROWS, CHUNK_TILES = 4096, 512, 16
 GRAM_ROWS = 4  # rows for each coordinate from which a person's vectors are dealt over buckets
 # Pairs that the learned similarity is fitted on at most (about), partners of a row in them, and rows summed in each first branch.
 LABELLED_PAIRS, PARTNERS, BRANCHES = 500_000, 8, 16
@@ -229,41 +230,80 @@ def person_profiles(rows: DataFrame, person: str = "person") -> DataFrame:
     return stats.join(sim, person).select(person, F.col("mean").alias("profile"), "std", "samples", threshold.alias("threshold"))
 
 
-def _scores(embeddings: np.ndarray, profiles: np.ndarray) -> np.ndarray:
-    return blocks.unit_rows(embeddings, V.EPSILON) @ blocks.unit_rows(profiles, V.EPSILON).T
+class _Tile:
+    """At most ``COLLECTED_PROFILES`` profiles as unit vectors, in single precision too for a first look."""
+
+    def __init__(self, profiles: np.ndarray, thresholds: np.ndarray, names: np.ndarray) -> None:
+        self.unit, self.thresholds, self.names = blocks.unit_rows(profiles, V.EPSILON), thresholds, names
+        self.rough, self.margin = self.unit.T.astype(np.float32), (profiles.shape[1] + 8) * 2.0**-23
+        self.low = np.nextafter((thresholds - self.margin).astype(np.float32), np.float32(-np.inf))
+
+    def above(self, unit: np.ndarray, tops: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, profile, similarity) in double precision of all pairs above the profile's threshold, and among them
+        each row's ``tops`` highest; single precision, whose error stays within the margin, only leaves out pairs."""
+        sims = unit.astype(np.float32) @ self.rough
+        wanted = ~(sims <= self.low[None, :])
+        if tops:
+            rows, kth, found = np.arange(len(sims)), np.full(len(sims), -2, np.float32), []
+            for _ in range(tops if sims.shape[1] > tops else 0):
+                at = sims.argmax(axis=1)
+                kth = sims[rows, at]
+                found.append((at, kth))
+                sims[rows, at] = -np.inf
+            for at, value in found:
+                sims[rows, at] = value
+            wanted |= ~(sims < (kth - 2 * self.margin)[:, None])
+        i, j = np.nonzero(wanted)
+        if len(i) > sims.size // 16:  # too many to look at one by one
+            return i, j, (unit @ self.unit.T)[i, j]
+        return i, j, np.einsum("ij,ij->i", unit[i], self.unit[j])
+
+
+def _best(ids: np.ndarray, unit: np.ndarray, tile: _Tile) -> pd.DataFrame:
+    """Two highest similarities and the best profile above its own threshold, per embedding."""
+    i, j, sims = tile.above(unit, 2)
+    order = np.lexsort((j, -sims, i))
+    i, j, sims = i[order], j[order], sims[order]
+    starts = np.searchsorted(i, np.arange(len(ids)))
+    second = np.where(np.append(starts[1:], len(i)) - starts > 1, sims[np.minimum(starts + 1, len(i) - 1)], np.nan)
+    hit = np.flatnonzero((sims > tile.thresholds[j]) & (sims > 0))
+    row, first = np.unique(i[hit], return_index=True)
+    person, best = np.full(len(ids), None, dtype=object), np.zeros(len(ids))
+    person[row], best[row] = tile.names[j[hit[first]]], sims[hit[first]]
+    return pd.DataFrame({"ord": ids, "top1": sims[starts], "top2": second, "person": person, "best": best})
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, thresholds: np.ndarray, names: np.ndarray) -> pd.DataFrame:
-    """Two highest similarities and the best profile above its own threshold, per embedding."""
-    width = sims.shape[1]
-    top = np.sort(sims, axis=1)[:, -2:] if width > 1 else np.column_stack([np.full(len(ids), np.nan), sims[:, 0]])
-    above = np.where(sims > thresholds[None, :], sims, -np.inf)
-    at = above.argmax(axis=1)
-    value = above[np.arange(len(ids)), at]
-    found = (value > 0) & np.isfinite(value)
-    return pd.DataFrame({
-        "ord": ids, "top1": top[:, 1], "top2": top[:, 0],
-        "person": [names[i] if ok else None for i, ok in zip(at, found)], "best": np.where(found, value, 0.0),
-    })
+def _best_of_tiles(found: list[pd.DataFrame]) -> pd.DataFrame:
+    tops = np.sort(-np.column_stack([f[c].to_numpy() for f in found for c in ("top1", "top2")]), axis=1)  # highest first, NaN last
+    best = np.column_stack([f["best"].to_numpy() for f in found])
+    at, rows = best.argmax(axis=1), np.arange(len(best))
+    person = np.column_stack([f["person"].to_numpy(dtype=object) for f in found])[rows, at]
+    return pd.DataFrame({"ord": found[0]["ord"], "top1": -tops[:, 0], "top2": -tops[:, 1], "person": person, "best": best[rows, at]})
+
+
+def _matches(ids: np.ndarray, unit: np.ndarray, tile: _Tile) -> pd.DataFrame:
+    i, j, sims = tile.above(unit, 0)
+    keep = sims > tile.thresholds[j]
+    return pd.DataFrame({"ord": ids[i[keep]], "person": tile.names[j[keep]], "similarity": sims[keep]})
 
 
-def _matches(ids: np.ndarray, sims: np.ndarray, thresholds: np.ndarray, names: np.ndarray) -> pd.DataFrame:
-    i, j = np.nonzero(sims > thresholds[None, :])
-    return pd.DataFrame({"ord": ids[i], "person": names[j], "similarity": sims[i, j]})
+def _matches_of_tiles(found: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat([f for f in found if len(f)] or found[:1])
 
 
-def _against_profiles(rows: DataFrame, profiles: DataFrame, person: str, reduce, schema: str) -> DataFrame:
+def _against_profiles(rows: DataFrame, profiles: DataFrame, person: str, reduce, join, schema: str) -> DataFrame:
     """Apply ``reduce`` to the similarities of embeddings with all profiles, chunk by chunk of profiles.
 
-    A chunk of at most ``COLLECTED_PROFILES`` profiles travels to every task, so the embeddings are
-    never shuffled. With more profiles one chunk after another is broadcast and taken back, and each
-    leaves its few values per embedding in a written table; ``reduce`` sees one chunk at a time.
+    A chunk of profiles travels to every task, so the embeddings are never shuffled. With more than
+    ``COLLECTED_PROFILES`` one chunk after another, ``CHUNK_TILES`` times as large, is broadcast and taken back,
+    and each leaves its few values per embedding in a written table; ``reduce`` sees ``COLLECTED_PROFILES``
+    at a time, and ``join`` makes one answer of those of a chunk.
     """
     wanted = profiles.select(F.col(person).cast("string").alias("person"), "profile", "threshold")
     some = wanted.orderBy("person").limit(COLLECTED_PROFILES + 1).collect()
     if not some:
         return rows.sparkSession.createDataFrame([], schema)
-    rows = rows.select("ord", "embedding")
+    rows, size = rows.select("ord", "embedding"), COLLECTED_PROFILES
 
     def against(chunk: list) -> tuple[DataFrame, Broadcast]:
         packed = rows.sparkSession.sparkContext.broadcast((
@@ -272,10 +312,12 @@ def _against_profiles(rows: DataFrame, profiles: DataFrame, person: str, reduce,
 
         def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             vectors, thresholds, names = packed.value
+            tiles = [_Tile(vectors[i : i + size], thresholds[i : i + size], names[i : i + size]) for i in range(0, len(names), size)]
             for pdf in batches:
                 for at in range(0, len(pdf), SCORED_ROWS):
                     part = pdf.iloc[at : at + SCORED_ROWS]
-                    yield reduce(part["ord"].to_numpy(), _scores(blocks.matrix(part["embedding"]), vectors), thresholds, names)
+                    ids, unit = part["ord"].to_numpy(), blocks.unit_rows(blocks.matrix(part["embedding"]), V.EPSILON)
+                    yield join([reduce(ids, unit, tile) for tile in tiles])
 
         return rows.mapInPandas(stream, schema), packed
 
@@ -283,7 +325,7 @@ def _against_profiles(rows: DataFrame, profiles: DataFrame, person: str, reduce,
         return against(some)[0]
     rows = materialize(rows, "embeddings")
     placed = running(wanted.withColumn("_all", F.lit(0)), ["_all"], ["person"], {"nth": F.lit(1)})
-    placed = materialize(placed.withColumn("chunk", F.floor((F.col("nth") - 1) / COLLECTED_PROFILES)), "profiles")
+    placed = materialize(placed.withColumn("chunk", F.floor((F.col("nth") - 1) / (COLLECTED_PROFILES * CHUNK_TILES))), "profiles")
     written = []
     for c in range(placed.agg(F.max("chunk")).first()[0] + 1):
         found, packed = against(placed.filter(F.col("chunk") == c).orderBy("person").collect())
@@ -294,12 +336,12 @@ def _against_profiles(rows: DataFrame, profiles: DataFrame, person: str, reduce,
 
 def profile_matches(rows: DataFrame, profiles: DataFrame, person: str = "person") -> DataFrame:
     """(ord, person, similarity) for every profile whose own threshold the embedding exceeds."""
-    return _against_profiles(rows, profiles, person, _matches, "ord long, person string, similarity double")
+    return _against_profiles(rows, profiles, person, _matches, _matches_of_tiles, "ord long, person string, similarity double")
 
 
 def auto_label(rows: DataFrame, profiles: DataFrame, person: str = "person") -> DataFrame:
     """Best person per embedding (null when none) with confidence min(1, best + lead over the runner-up)."""
-    part = _against_profiles(rows, profiles, person, _best, "ord long, top1 double, top2 double, person string, best double")
+    part = _against_profiles(rows, profiles, person, _best, _best_of_tiles, "ord long, top1 double, top2 double, person string, best double")
     tops = F.array("top1", "top2")
     merged = part.groupBy("ord").agg(
         F.sort_array(F.filter(F.flatten(F.collect_list(tops)), lambda x: x.isNotNull() & ~F.isnan(x)), asc=False).alias("t"),

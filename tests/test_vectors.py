@@ -227,3 +227,31 @@ def test_quality_filter_and_report_defaults(people):
     kept = cl.filter_quality(people, 0.5)
     assert 0 < kept.count() < people.count()
     assert cl.filter_quality(people.selectExpr("* except(embedding)", "array_repeat(0.5D, 8) AS embedding"), 0.0).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 500])
+def test_scores_look_twice_only_at_close_pairs(width):
+    """Single precision leaves pairs out, double precision decides: the same answers as all pairs in double precision."""
+    rng = np.random.default_rng(width)
+    v = np.concatenate([rng.normal(size=(200, 32)), np.zeros((2, 32))])
+    profiles = np.concatenate([v[:width] * (1 + 1e-7 * rng.normal(size=(min(width, 202), 32))), rng.normal(size=(max(0, width - 202), 32))])
+    unit, thresholds = lb.blocks.unit_rows(v, lb.V.EPSILON), rng.uniform(0.3, 0.9, width)
+    thresholds[0] = (unit @ lb.blocks.unit_rows(profiles, lb.V.EPSILON).T)[0, 0]  # not above itself
+    names = np.array([f"p{i:03}" for i in range(width)], dtype=object)
+    sims = unit @ lb.blocks.unit_rows(profiles, lb.V.EPSILON).T
+    size = 7 if width > 7 else width
+    tiles = [lb._Tile(profiles[i : i + size], thresholds[i : i + size], names[i : i + size]) for i in range(0, width, size)]
+    whole = lb._Tile(profiles, thresholds, names)
+    looked = len(whole.above(unit, 0)[0])
+    assert width < 500 or looked < sims.size / 16
+    ids = np.arange(len(v))
+    above = sims > thresholds + 1e-15
+    found = lb._matches_of_tiles([lb._matches(ids, unit, t) for t in tiles])
+    assert {(o, p) for o, p in zip(found["ord"], found["person"]) if (o, p) != (0, "p000")} == {(i, names[j]) for i, j in zip(*np.nonzero(above)) if (i, j) != (0, 0)}
+    best = lb._best_of_tiles([lb._best(ids, unit, t) for t in tiles])
+    top = np.sort(sims, axis=1)
+    assert np.allclose(best["top1"], top[:, -1], atol=1e-12)
+    assert best["top2"].isna().all() if width == 1 else np.allclose(best["top2"], top[:, -2], atol=1e-12)
+    masked = np.where(above & (sims > 0), sims, 0.0)
+    assert np.allclose(best["best"][1:], masked.max(axis=1)[1:], atol=1e-12)
+    assert [p for p in best["person"][1:]] == [names[r.argmax()] if r.max() > 0 else None for r in masked[1:]]
