@@ -214,11 +214,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = jaccard.SHINGLE, similarity: float = jaccard.SIMILARITY) -> DataFrame:
     """One row of each group of near-duplicates stays: one with the group's smallest key; rows of a null key all stay.
 
-    Groups are those over pairs of texts whose shingle sets have a Jaccard similarity of ``similarity``
-    or more (``jaccard``); fingerprints and their bits do not matter here.
+    Texts are brought together by their fingerprints over ``shingle`` words (``near_duplicates``) and by bands
+    of MinHash values, which also find copies whose fingerprints are further apart (``jaccard``). The exact check
+    follows: groups are those over pairs of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
     """
     sets = materialize(jaccard.sketches(docs, key, text, shingle), "sketches")
-    coarse = materialize(jaccard.coarse_groups(sets), "coarse")
+    prints = jaccard.with_prints(docs.select(text), text, "_near_print", shingle)
+    near = near_duplicates(prints, "_near_print", text, shingle=shingle)
+    linked = near.filter("_near_print <> component_id").select(F.col("_near_print").alias("a"), F.col("component_id").alias("b")).distinct()
+    coarse = materialize(jaccard.coarse_groups(sets, linked), "coarse")
     # Joined by shuffle at every size: the prints grow with the documents, so they are never broadcast.
     own = coarse.select(F.col("print").alias("_near_print"), "coarse").withColumnRenamed("coarse", "_near_coarse")
     marked = materialize(jaccard.with_prints(docs, text, "_near_print", shingle).join(own.hint("merge"), "_near_print", "left"), "marked")

@@ -345,3 +345,14 @@ def test_near_duplicates_of_edited_texts(spark, monkeypatch):
     a, b = np.array(links).T
     assert (links_to_labels(len(texts), a, b)[one] == label[one]).all()
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == np.unique(label).tolist()
+
+
+def test_pipeline_stage_goes_through_fingerprints(spark, monkeypatch):
+    """Copies that share no band value meet by their fingerprints."""
+    words = [f"w{i}" for i in range(400)]
+    near = words[:200] + ["other"] + words[201:]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[::-1])), (4, None), (5, "")], "doc_id long, text string")
+    bits = bin((simhash.fingerprint(" ".join(words), jaccard.SHINGLE) ^ simhash.fingerprint(" ".join(near), jaccard.SHINGLE)) & (2**64 - 1)).count("1")
+    monkeypatch.setattr(simhash.near_duplicates, "__defaults__", ("doc_id", "text", max(2, bits), simhash.SHINGLE))
+    monkeypatch.setattr(jaccard, "bands", lambda found: np.zeros(0, np.int64))
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == [1, 3, 4]
