@@ -218,22 +218,23 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     of MinHash values, which also find copies whose fingerprints are further apart (``jaccard``). The exact check
     follows: groups are those over pairs of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
     """
-    sets = materialize(jaccard.sketches(docs, key, text, shingle), "sketches")
-    prints = jaccard.with_prints(docs.select(text), text, "_near_print", shingle)
-    near = near_duplicates(prints, "_near_print", text, shingle=shingle)
+    sketched = materialize(jaccard.with_sketches(docs, text, "_near_print", "_near_bands", shingle), "sketches")
+    sets = sketched.select(F.col("_near_print").alias("print"), F.col("_near_bands").alias("bands"), F.col(key).alias("_first"))
+    near = near_duplicates(sketched.select("_near_print", text), "_near_print", text, shingle=shingle)
     linked = near.filter("_near_print <> component_id").select(F.col("_near_print").alias("a"), F.col("component_id").alias("b")).distinct()
     coarse = materialize(jaccard.coarse_groups(sets, linked), "coarse")
-    # Joined by shuffle at every size: the prints grow with the documents, so they are never broadcast.
+    # Joined by shuffle at every size: the prints grow with the documents, so they are never broadcast. A partition's
+    # prints are hashed, as they are few bytes each and a print comes once; whole texts are not sorted.
     own = coarse.select(F.col("print").alias("_near_print"), "coarse").withColumnRenamed("coarse", "_near_coarse")
-    marked = materialize(jaccard.with_prints(docs, text, "_near_print", shingle).join(own.hint("merge"), "_near_print", "left"), "marked")
+    marked = materialize(sketched.drop("_near_bands").join(own.hint("shuffle_hash"), "_near_print", "left"), "marked")
     met = marked.filter(F.col("_near_coarse").isNotNull())
     texts = met.groupBy(F.col("_near_coarse").alias("coarse"), F.col("_near_print").alias("print")).agg(F.first(text).alias("text"))
     links = materialize(jaccard.near_sets(materialize(texts, "texts"), similarity, shingle), "near")
-    counts = sets.join(coarse.select("print"), "print").filter(F.col(key).isNotNull()).groupBy("print", F.col(key).alias("_first")).agg(F.count("*").alias("_rows"))
+    counts = sets.join(coarse.select("print"), "print").filter("_first IS NOT NULL").groupBy("print", "_first").agg(F.count("*").alias("_rows"))
     grouped = component_of(counts, "print", links)
     least = grouped.groupBy("component").agg(F.min(F.struct("_first", "print", "_rows")).alias("_least")).select("_least.*")
     firsts = materialize(least.select(F.col("print").alias("_near_print"), F.col("_first").alias("_near_first"), F.col("_rows").alias("_near_rows")), "firsts")
-    kept = met.join(firsts.hint("merge"), "_near_print").filter(F.col(key) == F.col("_near_first"))
+    kept = met.join(firsts.hint("shuffle_hash"), "_near_print").filter(F.col(key) == F.col("_near_first"))
     out = marked.filter(F.col("_near_coarse").isNull()).select(*docs.columns)
     out = out.unionByName(kept.filter("_near_rows = 1").select(*docs.columns))
     out = out.unionByName(kept.filter("_near_rows > 1").dropDuplicates(["_near_print"]).select(*docs.columns))
