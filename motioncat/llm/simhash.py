@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = jaccard.SHINGLE, similarity: float = jaccard.SIMILARITY) -> DataFrame:
-    """One row of each group of near-duplicates stays: one with the group's smallest key; rows of a null key all stay.
+    """One row of each group of near-duplicates stays: one with the group's smallest key; of its rows with a null key one stays too.
 
     Texts are brought together by their fingerprints over ``shingle`` words (``near_duplicates``) and by bands
     of MinHash values, which also find copies whose fingerprints are further apart (``jaccard``). The exact check
@@ -230,12 +230,11 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     met = marked.filter(F.col("_near_coarse").isNotNull())
     texts = met.groupBy(F.col("_near_coarse").alias("coarse"), F.col("_near_print").alias("print")).agg(F.first(text).alias("text"))
     links = materialize(jaccard.near_sets(materialize(texts, "texts"), similarity, shingle), "near")
-    counts = sets.join(coarse.select("print"), "print").filter("_first IS NOT NULL").groupBy("print", "_first").agg(F.count("*").alias("_rows"))
+    counts = sets.join(coarse.select("print"), "print").groupBy("print", "_first").agg(F.count("*").alias("_rows"))
     grouped = component_of(counts, "print", links)
-    least = grouped.groupBy("component").agg(F.min(F.struct("_first", "print", "_rows")).alias("_least")).select("_least.*")
+    least = grouped.groupBy("component", F.col("_first").isNull().alias("_bare")).agg(F.min(F.struct("_first", "print", "_rows")).alias("_least")).select("_least.*")
     firsts = materialize(least.select(F.col("print").alias("_near_print"), F.col("_first").alias("_near_first"), F.col("_rows").alias("_near_rows")), "firsts")
-    kept = met.join(firsts.hint("shuffle_hash"), "_near_print").filter(F.col(key) == F.col("_near_first"))
+    kept = met.join(firsts.hint("shuffle_hash"), "_near_print").filter(F.col(key).eqNullSafe(F.col("_near_first")))
     out = marked.filter(F.col("_near_coarse").isNull()).select(*docs.columns)
     out = out.unionByName(kept.filter("_near_rows = 1").select(*docs.columns))
-    out = out.unionByName(kept.filter("_near_rows > 1").dropDuplicates(["_near_print"]).select(*docs.columns))
-    return out.unionByName(met.filter(F.col(key).isNull()).select(*docs.columns))
+    return out.unionByName(kept.filter("_near_rows > 1").dropDuplicates(["_near_print", key]).select(*docs.columns))

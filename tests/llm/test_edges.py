@@ -92,6 +92,18 @@ def test_keep_first_decides_by_row(spark):
     assert sorted(map(tuple, kept)) == [(1, one), (2, two), (3, three), (5, "first of two"), (5, "second of two")]
 
 
+def test_keep_first_drops_copies_without_id(spark):
+    """Rows without id are compared too: of each group one of them stays."""
+    one, two, three = ("red green blue white black grey", "the quick brown fox jumps over", "some other words that stand alone")
+    long = [f"w{i}" for i in range(200)]
+    near = [*long[:100], "other", *long[101:]]
+    rows = [(1, one), (None, one), (None, one), (None, two), (None, two), (None, three), (None, None), (None, " "), (3, " ".join(near)), (4, " ".join(long)), (5, " ".join(near))]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str((r.doc_id, (r.text or "").strip())) for r in kept) == sorted(map(str, [(1, one), (None, one), (None, two), (None, three), (None, ""), (3, " ".join(near))]))
+    bare = simhash.keep_first(spark.createDataFrame([(None, " ".join(long)), (None, " ".join(near)), (None, three)], "doc_id long, text string")).collect()
+    assert len(bare) == 2 and three in {r.text for r in bare}
+
+
 def test_redaction_takes_effect(docs, tagger):
     rows = {r["doc_id"]: r for r in pii.redact_personal_data(docs, tagger=tagger).collect()}
     assert rows[5]["text"] == "mail me at <email> or <phone>" and rows[2]["text"] is None and rows[4]["text"] == LONG
