@@ -86,3 +86,45 @@ def test_long_class_lists_and_many_siblings():
     page = parse("<body>" + "<p>a</p>" * 100 + "<div>b</div>" * 400 + "</body>")
     found = features(page, {})
     assert found[2, 6] == pytest.approx(0.2) and found[-1, 6] == pytest.approx(0.8)
+
+
+def test_search_plans_are_bounded(spark):
+    """Queries that visit every ring travel packed, one row for a ring and a slice of them, in frames of bounded size."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(i, i, None, [float(x) for x in rng.integers(-300, 300, 64)]) for i in range(130)]
+    queries = spark.createDataFrame(rows, "query_id long, query_row long, kth double, query array<double>").coalesce(1)
+    plan = topk._plan(queries, lambda part: tuple(x.ravel() for x in np.indices((len(part), 500)))).collect()
+    assert len(plan) == 500 * 3 and {r["ring"] for r in plan} == set(range(500)) and {r["kind"] for r in plan} == {"int16"}
+    assert sum(len(r["query"]) for r in plan) == 130 * 500 * 64 * 2
+    sent = {(r["ring"], q): v for r in plan for q, v in zip(np.frombuffer(r["query_id"], np.int64).tolist(), np.frombuffer(r["query"], r["kind"]).reshape(-1, 64).tolist())}
+    assert len(sent) == 130 * 500 and all(sent[ring, i] == rows[i][3] for ring in (0, 499) for i in range(130))
+
+
+def test_second_search_hands_on_what_beats_the_first(spark, monkeypatch):
+    """Vectors without structure in many rings: the same rows as by brute force, and few candidates after the first search."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3000, 16))
+    v[100:140] = v[100]
+    monkeypatch.setattr(topk, "SEED_ROWS", 512)
+    monkeypatch.setattr(topk, "PART_ROWS", 16)
+    found, real = [], topk._search
+    monkeypatch.setattr(topk, "_search", lambda *a: found.append(topk.materialize(real(*a), "found")) or found[-1])
+    vectors = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5).collect())
+    e, want = np.floor(v * 256), []
+    for q in range(0, 3000, 50):
+        s = (e @ e[q]).astype(int)
+        best = sorted((i for i in range(3000) if i != q), key=lambda i: (-s[i], i))[:5]
+        want += [(q, n, i, s[i]) for n, i in enumerate(best, 1)]
+    assert got == want
+    assert found[-1].count() < 60 * 20
+    plans = []
+    monkeypatch.setattr(topk, "_search", lambda plan, filed, *a: plans.append(real(plan, filed, *a)) or plans[-1])
+    topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+    for plan in plans:  # vectors are not broadcast: what is comes from small tables made by the driver
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("strategy=broadcast") == 2 or text.count("LocalRelation") >= 2, text
