@@ -12,7 +12,6 @@ vector by its own first row.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 import numpy as np
@@ -58,37 +57,34 @@ def _distance(sims: np.ndarray) -> np.ndarray:
     return 1 - np.clip(sims, 0.0, 1.0)
 
 
-def _counts(frame: pd.DataFrame) -> np.ndarray:
-    return blocks.matrix(frame["n"]) if len(frame) else np.zeros((0, 1))
+def _of(frame: pd.DataFrame, column: str, rows: np.ndarray) -> np.ndarray:
+    """The arrays in ``column`` of the given rows as a matrix, a row for each of ``rows``; missing entries are infinite."""
+    some, place = np.unique(rows, return_inverse=True)
+    found = [[np.inf if x is None or x != x else x for x in row] for row in frame[column].to_numpy()[some]]
+    return np.array(found, float)[place] if found else np.zeros((0, 1))
 
 
-def _nearest(wanted: dict[int, tuple[int, float]]) -> blocks.Reducer:
+def _nearest(wanted: dict[int, tuple[int, float]]) -> blocks.PairReducer:
     """The nearest rows of each row in the populations of ``wanted`` (population: how many, how far), with their copies."""
+    columns = ["id", "population", "d", "copies"]
 
-    def side(ids: np.ndarray, own: np.ndarray, other: np.ndarray, d: np.ndarray) -> list[pd.DataFrame]:
+    def reducer(left, right, i, j, sims):
+        d = _distance(sims)
+        a, b = left["id"].to_numpy(np.int64)[i], right["id"].to_numpy(np.int64)[j]
+        n, m = _of(left, "n", i), _of(right, "n", j)
         out = []
-        for population, (most, eps) in wanted.items():
-            there = np.flatnonzero(other[:, population] > 0)
-            rows = np.flatnonzero(own[:, population] > 0)
-            if not len(there) or not len(rows):
-                continue
-            near = d[np.ix_(rows, there)]
-            order = np.argpartition(near, most - 1, axis=1)[:, :most] if near.shape[1] > most else np.tile(np.arange(near.shape[1]), (len(rows), 1))
-            found = np.take_along_axis(near, order, axis=1)
-            at, k = np.nonzero(found <= eps)
-            out.append(pd.DataFrame({"id": ids[rows[at]], "population": population, "d": found[at, k], "copies": other[there[order[at, k]], population]}))
-        return out
-
-    def reducer(left, right, sims, valid):
-        d = np.where(valid, _distance(sims), np.inf)
-        if left is right:
-            d = np.minimum(d, d.T)
-        a, b = _counts(left), _counts(right)
-        found = side(left["id"].to_numpy(), a, b, d)
-        if left is not right:
-            found += side(right["id"].to_numpy(), b, a, d.T)
-        return pd.concat(found) if found else pd.DataFrame({c: [] for c in ("id", "population", "d", "copies")})
-
+        for population, (_, eps) in wanted.items() if len(i) else ():
+            near = (d <= eps) & (0 < n[:, population]) & (n[:, population] < np.inf) & (0 < m[:, population]) & (m[:, population] < np.inf)
+            copies = np.concatenate([m[near, population], n[near, population]]).astype(np.int64)
+            out.append(pd.DataFrame({"id": np.concatenate([a[near], b[near]]), "population": population, "d": np.tile(d[near], 2), "copies": copies}))
+        return merge(pd.concat(out)) if out else pd.DataFrame({c: [] for c in columns})
+
+    def merge(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["population", "id", "d"])
+        most = found["population"].map({p: m for p, (m, _) in wanted.items()})
+        return found[found.groupby(["population", "id"]).cumcount() < most]
+
+    reducer.merge = merge
     return reducer
 
 
@@ -100,7 +96,7 @@ def core_distances(reps: DataFrame, cells: DataFrame, plan: Families) -> DataFra
             most, reach = wanted.get(population, (0, 0.0))
             wanted[population] = (max(most, samples - 1), max(reach, eps))
     if wanted:
-        found = blocks.block_reduce(cells, "cell", "id long, population int, d double, copies long", _nearest(wanted))
+        found = blocks.block_reduce(cells, "cell", "id long, population int, d double, copies long", _nearest(wanted), floor=blocks.near_floor(plan.reach))
         most = max(m for m, _ in wanted.values())
         # a row is met once in every pair of blocks; of each only its nearest few come back
         near = found.groupBy("id", "population").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "copies"))), 1, most).alias("near"))
@@ -120,52 +116,57 @@ def core_distances(reps: DataFrame, cells: DataFrame, plan: Families) -> DataFra
     return materialize(rows.select("id", F.array(*[core(*f) for f in plan.families]).alias("core")), "core-distances")
 
 
+def least_forest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the edges a[i]-b[i] of the least spanning forest of ``n`` nodes; of equal weights the first edge counts.
+
+    In each turn every tree takes its least edge to another one (Boruvka's method).
+    """
+    order = np.argsort(w, kind="stable")
+    a, b = a[order], b[order]
+    taken, label, live = np.zeros(len(order), bool), np.arange(n), np.arange(len(order))
+    while True:
+        x, y = label[a[live]], label[b[live]]
+        apart = x != y
+        live, x, y = live[apart], x[apart], y[apart]
+        if not len(live):
+            return order[taken]
+        least = np.full(n, len(order))
+        np.minimum.at(least, x, live)
+        np.minimum.at(least, y, live)
+        chosen = np.unique(least[least < len(order)])
+        taken[chosen] = True
+        label = blocks.least_labels(n, label[a[chosen]], label[b[chosen]])[label]
+
+
 def spanning_tree(weight: np.ndarray) -> list[tuple[int, int, float]]:
-    """Least spanning forest of a symmetric matrix of weights, infinite where there is no edge (Prim's method)."""
-    n = len(weight)
-    best, parent, todo = np.full(n, np.inf), np.full(n, -1), np.ones(n, bool)
-    edges = []
-    for _ in range(n):
-        open_rows = np.where(todo, best, np.inf)
-        x = int(open_rows.argmin())
-        if not math.isfinite(open_rows[x]):
-            x = int(todo.argmax())  # a new tree
-        else:
-            edges.append((int(parent[x]), x, float(best[x])))
-        todo[x] = False
-        closer = todo & (weight[x] < best)
-        best[closer], parent[closer] = weight[x][closer], x
-    return edges
-
-
-def _forests(families: list[tuple[int, int, float]]) -> blocks.Reducer:
+    """Least spanning forest of a symmetric matrix of weights, infinite where there is no edge."""
+    a, b = np.nonzero(np.triu(np.isfinite(weight), k=1))
+    w = weight[a, b]
+    return [(int(a[e]), int(b[e]), float(w[e])) for e in least_forest(len(weight), a, b, w)]
+
+
+def _forests(families: list[tuple[int, int, float]]) -> blocks.PairReducer:
     """Edges (family, a, b, w) of each family's least spanning forest within two blocks."""
 
-    def reducer(left, right, sims, valid):
+    def reducer(left, right, i, j, sims):
+        d = _distance(sims)
+        a, b = left["id"].to_numpy(np.int64)[i], right["id"].to_numpy(np.int64)[j]
+        one, two = _of(left, "core", i), _of(right, "core", j)
         out = []
-        if len(left) and len(right):
-            ids = left["id"].to_numpy() if left is right else np.concatenate([left["id"], right["id"]])
-            d = np.where(valid, _distance(sims), np.inf)
-            if left is right:
-                d = np.minimum(d, d.T)
-            cores = [np.array([[np.inf if c is None or c != c else c for c in row] for row in frame["core"]]) for frame in (left, right)]
-            for f, (_, _, eps) in enumerate(families):
-                w = np.maximum(d, np.maximum(cores[0][:, f, None], cores[1][None, :, f]))
-                w[w > eps] = np.inf
-                finite = np.isfinite(w)
-                i, j = np.flatnonzero(finite.any(axis=1)), np.flatnonzero(finite.any(axis=0))
-                if not len(i):
-                    continue
-                part = w[np.ix_(i, j)]
-                if left is right:
-                    names, square = ids[i], part
-                else:
-                    square = np.full((len(i) + len(j),) * 2, np.inf)
-                    square[: len(i), len(i) :], square[len(i) :, : len(i)] = part, part.T
-                    names = np.concatenate([ids[i], ids[len(left) + j]])
-                out += [(f, names[a], names[b], weight) for a, b, weight in spanning_tree(square)]
-        return pd.DataFrame(out, columns=["family", "a", "b", "w"])
-
+        for f, (_, _, eps) in enumerate(families) if len(i) else ():
+            w = np.maximum(d, np.maximum(one[:, f], two[:, f]))
+            near = w <= eps
+            out.append(pd.DataFrame({"family": f, "a": a[near], "b": b[near], "w": w[near]}))
+        return merge(pd.concat(out)) if out else pd.DataFrame({c: [] for c in ("family", "a", "b", "w")})
+
+    def merge(found: pd.DataFrame) -> pd.DataFrame:
+        out = [found.iloc[:0]]
+        for _, part in found.groupby("family"):
+            ids, place = np.unique(np.concatenate([part["a"], part["b"]]), return_inverse=True)
+            out.append(part.iloc[least_forest(len(ids), place[: len(part)], place[len(part) :], part["w"].to_numpy())])
+        return pd.concat(out)
+
+    reducer.merge = merge
     return reducer
 
 
@@ -180,7 +181,7 @@ def density_labels(people: DataFrame, settings: list[tuple[str, float, float, in
     cells = blocks.in_cells(reps, 1 - plan.reach)
     cores = core_distances(reps, cells, plan)
     reached = cells.join(cores, "id")
-    forest = materialize(blocks.block_reduce(reached, "cell", "family int, a long, b long, w double", _forests(plan.families)), "forests")
+    forest = materialize(blocks.block_reduce(reached, "cell", "family int, a long, b long, w double", _forests(plan.families), floor=blocks.near_floor(plan.reach)), "forests")
     cuts = [(s, plan.of(quality, samples), plan.qualities.index(quality), eps, quality) for s, (_, quality, eps, samples) in enumerate(plan.settings)]
     each = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(family).alias("family"), F.lit(population).alias("population"), F.lit(eps).alias("eps")) for s, family, population, eps, _ in cuts])
     table = F.broadcast(people.sparkSession.createDataFrame(cuts, "s int, family int, population int, eps double, least double"))  # one row a setting
@@ -207,5 +208,5 @@ def _border(cells: DataFrame, labels: DataFrame, population: int, eps: float) ->
     accept = lambda s: _distance(s) <= eps
     own = cells.filter(F.col("n")[population] > 0).join(labels.select("id", F.col("cluster").alias("key")), "id", "left")
     keyed = own.withColumns({"flag": F.col("key").isNotNull(), "key": F.coalesce("key", F.lit(0))})
-    touched = blocks.block_reduce(keyed, "cell", "id long, key long", blocks.least_neighbour(accept))
+    touched = blocks.block_reduce(keyed, "cell", "id long, key long", blocks.least_neighbour(accept), floor=blocks.near_floor(eps))
     return touched.join(labels, "id", "left_anti").groupBy("id").agg(F.min("key").alias("cluster"))
