@@ -123,7 +123,7 @@ def _chunk_moves(chunks: DataFrame) -> DataFrame:
     edge = chunks.select(*TRACK, "chunk", (F.col("frames") < 0).alias("last"), (F.col("frames").bitwiseAND(1) != 0).alias("first"))
     before = edge.select(*TRACK, (F.col("chunk") + 1).alias("chunk"), F.col("last").alias("_before"))
     after = edge.select(*TRACK, (F.col("chunk") - 1).alias("chunk"), F.col("first").alias("_after"))
-    placed = chunks.join(before, [*TRACK, "chunk"], "left").join(after, [*TRACK, "chunk"], "left")
+    placed = chunks.join(before.hint("merge"), [*TRACK, "chunk"], "left").join(after.hint("merge"), [*TRACK, "chunk"], "left")
     place = "CAST(p.nth % 64 AS INT)"
     seen_next = f"if({place} = 63, coalesce(_after, false), (shiftrightunsigned(frames, {place} + 1) & 1) = 1)"
     seen_last = f"if({place} = 0, coalesce(_before, false), (shiftrightunsigned(frames, {place} - 1) & 1) = 1)"
@@ -138,10 +138,14 @@ def merge_candidates(tags: DataFrame, above: float = 0.9) -> DataFrame:
 
     Pairs that share a frame anywhere in the file are left out, which is seen from the bit sets
     of their frames. Each meeting is a vote to rename the larger id to the smaller.
+
+    Tags move once, to their frame, for both the last tag of a track and the frame's number. What is written here packs
+    so well on disk that a small file may hold more rows than the driver can: these joins never broadcast.
     """
     slim = materialize(tags.select(*TRACK, "frame_number", "value", *BOX, "ord"), "slim-tags")
     frames = materialize(numbered_frames(slim), "frames")
-    chunks = materialize(frame_sets(tags_to_tracks(slim).drop("ord").join(frames, FRAME)), "track-chunks")
+    points = tags_to_tracks(slim.repartition(*FRAME)).drop("ord").join(frames.hint("merge"), FRAME)
+    chunks = materialize(frame_sets(points), "track-chunks")
     moves = materialize(_chunk_moves(chunks), "track-moves")
     lost, new = moves.filter("kind = 'lost'"), moves.filter("kind = 'new'")
     met = overlap_join(lost, new, [*FRAME, "value"], above)
@@ -152,7 +156,7 @@ def merge_candidates(tags: DataFrame, above: float = 0.9) -> DataFrame:
         ),
         "track-pairs",
     )
-    one, two = (chunks.select("filename", F.col("track_id").alias(side), "chunk", F.col("frames").alias(f"{side}_frames")) for side in ("lost", "new"))
+    one, two = (chunks.select("filename", F.col("track_id").alias(side), "chunk", F.col("frames").alias(f"{side}_frames")).hint("merge") for side in ("lost", "new"))
     both = pairs.select("filename", "lost", "new").distinct().join(one, ["filename", "lost"]).join(two, ["filename", "new", "chunk"])
     clash = both.filter(F.col("lost_frames").bitwiseAND(F.col("new_frames")) != 0).select("filename", "lost", "new").distinct()
     votes = pairs.join(clash, ["filename", "lost", "new"], "left_anti")

@@ -38,6 +38,16 @@ def test_uncrowded_tags_move_once(tags):
     assert plan(one).count("Exchange hashpartitioning(filename") == 1
 
 
+def test_track_merge_broadcasts_no_table_that_grows(tags, monkeypatch):
+    """Frames and chunks pack so well on disk that Spark would broadcast millions of them; and tags move once to their frame."""
+    plans, original = {}, tracks.materialize
+    monkeypatch.setattr(tracks, "materialize", lambda df, name: plans.setdefault(name, plan(df)) and original(df, name))
+    assert tracks.merge_candidates(tags, 0.5).count() >= 0
+    for name in ("track-chunks", "track-moves"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name], plans[name]
+    assert plans["track-chunks"].count("Exchange hashpartitioning(filename") == 3  # tags and frames to their frame, points to their chunk
+
+
 def test_json_files_are_packed_and_come_back(spark, tags):
     path = scratch_path(spark, "tags-json")
     documents.write_tags_json(tags, path, "now")
