@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motioncat.functions.boxes import tag_hash
+from motioncat.session import small_side
 
 # ---- fixed values ----
 TAG_STRUCT = (
@@ -35,9 +36,13 @@ DOC_ROWS = 5000
 
 
 def _documents(rows: DataFrame, keys: list[str], spread: Column) -> DataFrame:
-    """Add ``_doc``: rows of one key split into as many documents as its size needs."""
-    counts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / DOC_ROWS).alias("_docs"))
-    return rows.join(counts, keys).withColumn("_doc", F.pmod(F.xxhash64(spread), F.col("_docs"))).drop("_docs")
+    """Add ``_doc``: rows of one key split into as many documents as its size needs; rows without key are left out.
+
+    Only keys of more than one document are looked up, which are few and broadcast, so that no row moves for this.
+    """
+    counts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / DOC_ROWS).alias("_docs")).filter("_docs > 1").dropna(subset=keys)
+    split = rows.dropna(subset=keys).join(small_side(counts), keys, "left")
+    return split.withColumn("_doc", F.pmod(F.xxhash64(spread), F.coalesce("_docs", F.lit(1).cast("long")))).drop("_docs")
 
 
 # ---- tags ----

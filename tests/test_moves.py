@@ -48,6 +48,19 @@ def test_track_merge_broadcasts_no_table_that_grows(tags, monkeypatch):
     assert plans["track-chunks"].count("Exchange hashpartitioning(filename") == 3  # tags and frames to their frame, points to their chunk
 
 
+def test_documents_are_numbered_without_moving_rows(spark, tags, monkeypatch):
+    """Only files of more than one document are looked up; rows without file are left out, as before."""
+    monkeypatch.setattr(documents, "DOC_ROWS", 3)
+    rows = tags.unionByName(tags.limit(2).withColumn("filename", ops.F.lit(None).cast("string")))
+    found = documents._documents(rows, ["filename"], ops.F.col("ord"))
+    text = plan(found)
+    assert "SortMergeJoin" not in text and "Exchange hashpartitioning(filename" not in text
+    sizes = {r["filename"]: r["n"] for r in tags.groupBy("filename").agg(ops.F.count("*").alias("n")).collect()}
+    got = found.groupBy("filename").agg(ops.F.count("*").alias("n"), ops.F.max("_doc").alias("last")).collect()
+    assert {r["filename"]: r["n"] for r in got} == sizes
+    assert all(r["last"] < -(-r["n"] // 3) for r in got) and max(r["last"] for r in got) > 0
+
+
 def test_json_files_are_packed_and_come_back(spark, tags):
     path = scratch_path(spark, "tags-json")
     documents.write_tags_json(tags, path, "now")
