@@ -29,6 +29,18 @@ def test_merge_of_a_database_is_written_once(spark, tags, monkeypatch):
     assert found.count() > 0 and "hash" in found.columns
 
 
+def test_overlaps_outside_the_catalog_are_not_looked_for(spark, tags, monkeypatch):
+    """The same tags as by removing all overlaps first; lengths of tracks count tags of all clips."""
+    seen, fold = [], ops._fold_small
+    monkeypatch.setattr(ops, "_fold_small", lambda boxes, above: seen.append(boxes.select("filename").distinct()) or fold(boxes, above))
+    clips = tags.select("filename").distinct().orderBy("filename").limit(1)
+    got = ops.tag_database([tags, tags.limit(5)], clips)
+    want = ops.collect_clip_tags(ops.nms_dedup(ops.merge_tags(tags, tags.limit(5)).drop("hash"), 0.8).withColumn("hash", ops.tag_hash()), clips)
+    assert tags.select("filename").distinct().count() > 1 and seen[0].count() == 1
+    assert sorted(map(str, got.select(sorted(want.columns)).collect())) == sorted(map(str, want.select(sorted(want.columns)).collect()))
+    assert got.columns == want.columns and got.count() > 0
+
+
 def test_track_lengths_move_no_tag(tags):
     assert "SortMergeJoin" not in plan(ops.with_track_length(tags)) and "hashpartitioning(_k" not in plan(ops.with_track_length(tags))
 
